@@ -40,6 +40,26 @@ def _initial(links: DataFrame) -> DataFrame:
     return ends.groupBy("hierarchy", F.col("e.node").alias("node")).agg(F.min("e.up").alias("up"))
 
 
+def _jump(undone: DataFrame, state: DataFrame) -> DataFrame:
+    """The undone nodes after a round: each takes over the pointer of the node it points at."""
+    seen = state.select(
+        "hierarchy",
+        F.col("node").alias("ptr"),
+        F.col("ptr").alias("p2"),
+        F.col("dist").alias("d2"),
+        F.col("low").alias("l2"),
+        F.col("done").alias("done2"),
+    )
+    return undone.join(seen, ["hierarchy", "ptr"]).select(
+        "hierarchy",
+        "node",
+        F.col("p2").alias("ptr"),
+        (F.col("dist") + F.col("d2")).alias("dist"),
+        F.least("low", "l2").alias("low"),
+        F.col("done2").alias("done"),
+    )
+
+
 def resolve(links: DataFrame) -> DataFrame:
     """``(hierarchy, node, root, depth, cyclic)`` of every node in ``links(hierarchy, parent, child)``.
 
@@ -62,41 +82,23 @@ def resolve(links: DataFrame) -> DataFrame:
     jumped, before = 1, -1
     while True:
         undone = state.where(~F.col("done")).count()
-        if undone == 0 or (undone == before and jumped > undone):
+        if undone in (0, before):
             break
         before = undone
-        seen = state.select(
-            "hierarchy",
-            F.col("node").alias("ptr"),
-            F.col("ptr").alias("p2"),
-            F.col("dist").alias("d2"),
-            F.col("low").alias("l2"),
-            F.col("done").alias("done2"),
-        )
-        moved = (
-            state.where(~F.col("done"))
-            .join(seen, ["hierarchy", "ptr"])
-            .select(
-                "hierarchy",
-                "node",
-                F.col("p2").alias("ptr"),
-                (F.col("dist") + F.col("d2")).alias("dist"),
-                F.least("low", "l2").alias("low"),
-                F.col("done2").alias("done"),
-            )
-        )
-        state = scratch.replace(state, state.where("done").unionByName(moved))
+        state = scratch.replace(state, state.where("done").unionByName(_jump(state.where(~F.col("done")), state)))
         jumped *= 2
-    if undone:
-        on_cycle = state.where(~F.col("done")).select("hierarchy", F.col("node").alias("ptr"), F.col("low").alias("least"))
-        cyclic = (
-            state.where(~F.col("done"))
-            .join(on_cycle, ["hierarchy", "ptr"])
-            .select("hierarchy", "node", F.col("least").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic"))
-        )
-    tree = state.where("done").select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("cyclic"))
     scratch.keep(state)
-    return tree.unionByName(cyclic) if undone else tree
+    tree = state.where("done").select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("cyclic"))
+    if not undone:
+        return tree
+    rings = scratch.write(state.where(~F.col("done")))  # they point at one another only
+    while jumped <= undone:
+        rings = scratch.replace(rings, _jump(rings, rings))
+        jumped *= 2
+    scratch.keep(rings)
+    least = rings.select("hierarchy", F.col("node").alias("ptr"), F.col("low").alias("root"))
+    cyclic = rings.select("hierarchy", "node", "ptr").join(least, ["hierarchy", "ptr"])
+    return tree.unionByName(cyclic.select("hierarchy", "node", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic")))
 
 
 def paths(links: DataFrame, separator: str = " > ") -> DataFrame:
