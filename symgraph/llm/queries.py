@@ -8,11 +8,49 @@ from pyspark.sql import functions as F
 from ..operators.packed import split_packed
 from ..plans.registry import Registry
 from ..sources.tables import distinct_edges, latest_nodes, norm_kind, read
-from . import frequency, mixing, tokenize
+from . import docpairs, frequency, handwritten, mixing, tokenize
 
 registry = Registry()
 
 
+# --- p1: files not written by hand -----------------------------------------------------------
+
+
+def _p1(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify(read(spark, d, "files"), read(spark, d, "file_content"))
+
+
+@registry.query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).select("project_id", "path")
+
+
+@registry.query("p1_reasons")
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d)
+
+
+@registry.query("p1_handwritten")
+def p1_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    """What remains, with the greatest known size of each file."""
+    files = read(spark, d, "files")
+    kept = files.where(F.col("path").isNotNull()).groupBy("project_id", "path").agg(F.max("size_bytes").alias("size_bytes"))
+    return kept.join(_p1(spark, d), ["project_id", "path"], "left_anti")
+
+
+# --- p2: functions with their documentation --------------------------------------------------
+
+
+@registry.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(read(spark, d, "nodes")).where("own").select("id")
+
+
+@registry.query("p2_pairs")
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(read(spark, d, "nodes"), read(spark, d, "edges"), read(spark, d, "file_content"))
+
+
 # --- p6: terms -----------------------------------------------------------------------------
 
 
