@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import split_packed
 from ..plans.registry import Registry
 from ..sources.tables import distinct_edges, latest_nodes, norm_kind, read
-from . import docpairs, frequency, handwritten, mixing, tokenize
+from . import docpairs, frequency, handwritten, mixing, tokenize, unparsable
 
 registry = Registry()
 
@@ -91,6 +91,29 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.mark(frequency.count_terms(_terms(spark, d)))
 
 
+# --- p7: files that do not parse ---------------------------------------------------------------
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable.parse_all(read(spark, d, "files"), read(spark, d, "file_content"))
+
+
+@registry.query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).where(F.col("error").isNotNull()).select("project_id", "path")
+
+
+@registry.query("p7_files")
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """The cases with the error and, for a wrong extension, the language the text is valid in."""
+    return _p7(spark, d).where(F.col("error").isNotNull())
+
+
+@registry.query("p7_rates")
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable.rates(_p7(spark, d))
+
+
 # --- p8: token ids -------------------------------------------------------------------------
 
 
