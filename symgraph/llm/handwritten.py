@@ -48,6 +48,11 @@ NOTICES = (
     "created by a tool",
     "machine generated",
     "machine-generated",
+    "machine made",
+    "machine-made",
+    "edit the schema instead",
+    "edit the source instead",
+    "edit the template instead",
     "automatisch erzeugt",
     "automatisch generiert",
     "nicht bearbeiten",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import split_packed
 from ..plans.registry import Registry
 from ..sources.tables import distinct_edges, latest_nodes, norm_kind, read
-from . import docpairs, frequency, handwritten, mixing, tokenize, unparsable
+from . import docpairs, frequency, handwritten, mixing, tokenize, truncated, unparsable
 
 registry = Registry()
 
@@ -139,3 +139,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     sized = _sized(spark, d)
     targets = read(spark, d, "mix_targets")
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
+
+
+# --- p10: truncated texts --------------------------------------------------------------------
+
+
+@registry.query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.judge(read(spark, d, "documents")).where(F.col("reason").isNotNull()).select("doc_id").distinct()
+
+
+@registry.query("p10_reasons")
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.judge(read(spark, d, "documents")).where(F.col("reason").isNotNull())
+
+
+@registry.query("p10_rates")
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    docs = read(spark, d, "documents")
+    return truncated.rates(docs, truncated.judge(docs))
