@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain as D
 from ..functions import predicates as P
-from ..session import Scratch
+from ..session import Growing, Scratch
 
 
 def links(edges: DataFrame, kinds: tuple[str, ...], reverse: bool = False) -> DataFrame:
@@ -33,30 +33,22 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
     scratch = Scratch(seeds.sparkSession, "reach")
     steps = scratch.keep(scratch.write(steps.withColumn("leaf", leaf if leaf is not None else F.lit(False)).select("src", "dst", "leaf")))
     first = seeds.select("seed", "node").where(F.col("node").isNotNull()).distinct()
-    visited = scratch.write(first.select("seed", "node", F.lit(0).alias("depth"), F.lit(False).alias("leaf")))
+    visited = Growing(scratch, first.select("seed", "node", F.lit(0).alias("depth"), F.lit(False).alias("leaf")))
     full: DataFrame | None = None
     for level in range(1, depth + 1):
-        frontier = visited.where((F.col("depth") == level - 1) & ~F.col("leaf"))
+        frontier = visited.last.where(~F.col("leaf"))
         if full is not None:
             frontier = frontier.join(full.select("seed"), "seed", "left_anti")
         step = frontier.select("seed", F.col("node").alias("src")).join(steps, "src")
         found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min("leaf").alias("leaf"))
-        found = found.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth"), "leaf")
-        found = scratch.write(found)
-        if found.isEmpty():
-            scratch.drop(found)
+        found = found.join(visited.df.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth"), "leaf")
+        if not visited.add(found):
             break
-        visited = scratch.replace(visited, visited.unionByName(found))
-        scratch.drop(found)
-        if most is not None:
-            full = scratch.write(visited.groupBy("seed").count().where(F.col("count") > most).select("seed"))
-    scratch.keep(visited)
-    out = visited.select("seed", "node", "depth")
-    if full is None:
+        if most is not None and visited.total > most:
+            full = scratch.keep(scratch.write(visited.df.groupBy("seed").count().where(F.col("count") > most).select("seed")))
+    out = visited.keep().select("seed", "node", "depth")
+    if full is None or full.isEmpty():
         return out.withColumn("truncated", F.lit(False))
-    if full.isEmpty():
-        return out.withColumn("truncated", F.lit(False))
-    scratch.keep(full)
     cut = out.join(full, "seed", "left_semi")
     w = Window.partitionBy("seed").orderBy("depth", "node")
     kept = cut.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("seed", "node", "depth", F.lit(True).alias("truncated"))
@@ -75,20 +67,16 @@ def impact(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2,
     calls = edges.where(F.col("kind") != "contains").select("source", "target", "kind").distinct().join(about, "source", "left_semi")
     calls = scratch.keep(scratch.write(calls.select(F.col("target").alias("src"), F.col("source").alias("dst"), "kind")))
     first = seeds.select("seed", "node").distinct()
-    state = scratch.write(first.select("seed", "node", F.lit(0).alias("level"), F.lit("").alias("kind"), F.lit(True).alias("reached")))
+    seen = Growing(scratch, first.select("seed", "node", F.lit(0).alias("level"), F.lit("").alias("kind"), F.lit(True).alias("reached")))
     for level in range(1, depth + 1):
-        frontier = state.where((F.col("level") == level - 1) & F.col("reached")).select("seed", F.col("node").alias("src"))
+        frontier = seen.last.where("reached").select("seed", F.col("node").alias("src"))
         best = F.min(F.struct(P.edge_rank("kind").alias("r"), F.col("kind"))).alias("b")
         found = frontier.join(calls, "src").groupBy("seed", F.col("dst").alias("node")).agg(best)
-        found = found.join(state.select("seed", "node"), ["seed", "node"], "left_anti")
+        found = found.join(seen.df.select("seed", "node"), ["seed", "node"], "left_anti")
         found = found.select("seed", "node", F.lit(level).alias("level"), F.col("b.kind").alias("kind"), F.col("b.kind").isin(*D.REACH_KINDS).alias("reached"))
-        found = scratch.write(found)
-        if found.isEmpty():
-            scratch.drop(found)
+        if not seen.add(found):
             break
-        state = scratch.replace(state, state.unionByName(found))
-        scratch.drop(found)
-    scratch.keep(state)
+    state = seen.keep()
     w = Window.partitionBy("seed").orderBy("level", P.edge_rank("kind"), "node")
     listed = state.where((F.col("level") > 0) & (F.col("reached") | (F.col("level") == 1)))
     return listed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
@@ -165,21 +153,15 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFra
     scratch = Scratch(pairs.sparkSession, "paths")
     steps = scratch.keep(scratch.write(links(edges, D.PATH_KINDS)))
     ask = pairs.select("source", "target").where(F.col("source") != F.col("target")).distinct()
-    state = scratch.write(ask.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("hops")))
+    seen = Growing(scratch, ask.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("hops")))
     for level in range(1, hops + 1):
-        frontier = state.where(F.col("hops") == level - 1)
-        step = frontier.join(steps, frontier["node"] == steps["src"])
+        step = seen.last.join(steps, F.col("node") == F.col("src"))
         # the path is extended after the choice: it is fixed by its predecessor
         found = step.groupBy("source", F.col("dst").alias("node")).agg(F.min("path").alias("before"))
-        found = found.join(state.select("source", "node"), ["source", "node"], "left_anti")
-        found = found.select("source", "node", F.concat("before", F.array("node")).alias("path"), F.lit(level).alias("hops"))
-        found = scratch.write(found)
-        if found.isEmpty():
-            scratch.drop(found)
+        found = found.join(seen.df.select("source", "node"), ["source", "node"], "left_anti")
+        if not seen.add(found.select("source", "node", F.concat("before", F.array("node")).alias("path"), F.lit(level).alias("hops"))):
             break
-        state = scratch.replace(state, state.unionByName(found))
-        scratch.drop(found)
-    scratch.keep(state)
+    state = seen.keep()
     return ask.join(state.where(F.col("hops") > 0).withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops", "path")
 
 
@@ -214,21 +196,17 @@ def feature(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 3
     e = edges.where(F.col("kind").isin(*down, "calls")).select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind").distinct()
     steps = scratch.keep(scratch.write(e.join(known, "dst", "left_semi").join(data, "dst", "left").select("src", "dst", "kind", F.coalesce("data", F.lit(False)).alias("data"))))
     first = seeds.select("seed", "node").distinct()
-    state = scratch.write(first.select("seed", "node", F.lit(0).alias("level"), F.lit(True).alias("leads"), F.lit(True).alias("calls")))
+    seen = Growing(scratch, first.select("seed", "node", F.lit(0).alias("level"), F.lit(True).alias("leads"), F.lit(True).alias("calls")))
     for level in range(1, depth + 1):
-        frontier = state.where((F.col("level") == level - 1) & F.col("leads")).select("seed", F.col("node").alias("src"), "calls")
+        frontier = seen.last.where("leads").select("seed", F.col("node").alias("src"), "calls")
         step = frontier.join(steps, "src").where((F.col("kind") != "calls") | (F.col("calls") & F.col("data")))
         found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.max(F.col("kind").isin(*chain)).alias("leads"), F.max(F.col("kind") == "routes_to").alias("calls"))
-        found = found.join(state.select("seed", "node"), ["seed", "node"], "left_anti")
-        found = scratch.write(found.select("seed", "node", F.lit(level).alias("level"), "leads", "calls"))
-        if found.isEmpty():
-            scratch.drop(found)
+        found = found.join(seen.df.select("seed", "node"), ["seed", "node"], "left_anti")
+        if not seen.add(found.select("seed", "node", F.lit(level).alias("level"), "leads", "calls")):
             break
-        state = scratch.replace(state, state.unionByName(found))
-        scratch.drop(found)
+    state = seen.keep()
     up = edges.where(F.col("kind").isin("routes_to", "renders", "relates_to")).select(F.col("target").alias("n0"), F.col("source").alias("node")).distinct()
     above = first.withColumnRenamed("node", "n0").join(up, "n0").select("seed", "node").distinct().join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
-    scratch.keep(state)
     above = above.join(state.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(-1).alias("level"))
     every = state.select("seed", "node", "level").unionByName(above)
     w = Window.partitionBy("seed").orderBy(F.abs("level"), F.desc("level"), "node")

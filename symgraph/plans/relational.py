@@ -116,7 +116,7 @@ def directory_rollup(s: SparkSession, d: str) -> DataFrame:
     return per_file.groupBy("project_id", P.directory_at("file_path", 2).alias("directory")).agg(F.sum("c").alias("symbols"), F.count(F.lit(1)).alias("files"))
 
 
-@q("edge_breakdown", f"WITH {S.E} SELECT target, string_agg(k, ', ' ORDER BY c DESC, kind) AS breakdown FROM (SELECT target, kind, count(*) AS c, count(*) || ' ' || kind AS k FROM e WHERE kind <> 'contains' GROUP BY ALL) GROUP BY target")
+@q("edge_breakdown", f"WITH {S.E} SELECT target, string_agg(c || ' ' || kind, ', ' ORDER BY c DESC, kind) AS breakdown FROM (SELECT target, kind, count(*) AS c FROM e WHERE kind <> 'contains' AND target IS NOT NULL GROUP BY ALL) GROUP BY target")
 def edge_breakdown(s: SparkSession, d: str) -> DataFrame:
     """Incoming edge kinds of each symbol as text; at most one element per kind."""
     c = G.edges(s, d, "target").where((F.col("kind") != "contains") & F.col("target").isNotNull()).groupBy("target", "kind").agg(F.count(F.lit(1)).alias("c"))

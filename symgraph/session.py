@@ -121,3 +121,41 @@ class Scratch:
         for path in self.paths.values():
             remove(self.spark, path)
         self.paths.clear()
+
+
+class Growing:
+    """A table that only grows, a part per level of a loop; no part is written twice.
+
+    ``add`` writes the new rows and returns how many they were (read from the files' footers).
+    """
+
+    def __init__(self, scratch: Scratch, first: DataFrame) -> None:
+        self.scratch, self.parts, self.total = scratch, [], 0
+        self.schema = None
+        self.add(first)
+
+    def add(self, df: DataFrame) -> int:
+        part = self.scratch.write(df)
+        self.schema = self.schema or part.schema
+        n = part.count()
+        self.total += n
+        if n or not self.parts:
+            self.parts.append(part)
+        else:
+            self.scratch.drop(part)
+        return n
+
+    @property
+    def last(self) -> DataFrame:
+        return self.parts[-1]
+
+    @property
+    def df(self) -> DataFrame:
+        paths = [self.scratch.paths[id(p)] for p in self.parts]
+        return self.scratch.spark.read.schema(self.schema).parquet(*paths)
+
+    def keep(self) -> DataFrame:
+        out = self.df
+        for p in self.parts:
+            self.scratch.keep(p)
+        return out
