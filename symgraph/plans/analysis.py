@@ -576,3 +576,40 @@ def after_synthesis(s: SparkSession, d: str) -> DataFrame:
     e = G.edges(s, d, "source", "target", "provenance")
     fresh = R.reverse_relations(e).where(F.startswith("source", F.lit("tidewater::"))).select("source", "target", F.lit("relates_to").alias("kind"), F.lit("synthesis:reverse").alias("provenance"))
     return M.replace_synthesized(e, "tidewater", "synthesis:reverse", fresh).groupBy("kind", "provenance").agg(F.count(F.lit(1)).alias("edges"))
+
+
+# --- extraction (A2-A6, N1) ------------------------------------------------------------------------------------------------
+
+
+@q("extract_records")
+def extract_records(s: SparkSession, d: str) -> DataFrame:
+    """All source files through their extractors: records per kind."""
+    from .. import extraction as X
+
+    return X.extract(G.content(s, d)).groupBy("language", "record", "kind").agg(F.count(F.lit(1)).alias("records"))
+
+
+@q("extract_nodes")
+def extract_nodes(s: SparkSession, d: str) -> DataFrame:
+    from .. import extraction as X
+
+    n = X.tables(X.extract(G.content(s, d)))["nodes"]
+    return n.select("id", "kind", "name", "file_path", "start_line", "end_line", "signature").distinct()
+
+
+@q(
+    "css_selectors",
+    r"""WITH c AS (SELECT DISTINCT project_id, file_path, content FROM file_content WHERE suffix(lower(file_path), '.css')),
+b AS (SELECT project_id, file_path, regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), '"[^"\n]*"', '', 'g') AS t FROM c),
+h AS (SELECT project_id, file_path, unnest(regexp_extract_all(t, '([^{}]*)\{', 1)) AS head FROM b),
+n AS (SELECT DISTINCT project_id, file_path, unnest(regexp_extract_all(head, '[.#]-?[A-Za-z_][\w-]*')) AS selector FROM h WHERE NOT starts_with(trim(head, E' \n\r\t'), '@'))
+SELECT project_id, file_path, selector FROM n""",
+)
+def css_selectors(s: SparkSession, d: str) -> DataFrame:
+    """Selectors of style sheets in the JVM alone (the extractor's rule as expressions)."""
+    c = G.content(s, d).where(F.lower("file_path").endswith(".css"))
+    t = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r'"[^"\n]*"', "")
+    heads = c.select("project_id", "file_path", F.explode(F.regexp_extract_all(t, F.lit(r"([^{}]*)\{"), F.lit(1))).alias("head"))
+    heads = heads.where(~F.startswith(F.regexp_replace("head", r"^\s+", ""), F.lit("@")))
+    names = F.explode(F.regexp_extract_all("head", F.lit(r"([.#]-?[A-Za-z_][\w-]*)"), F.lit(1)))
+    return heads.select("project_id", "file_path", names.alias("selector")).distinct()
