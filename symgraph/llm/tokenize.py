@@ -15,17 +15,22 @@ right. Where the scan of the window meets a word end of the right side (two byte
 window's end, for more text could still change what follows), everything outside is provably
 stable; otherwise the window grows, at worst over the whole right side. Decoding concatenates the bytes of the ids.
 
+Leaves that are whole texts need no words; they go through the faster of two libraries that read
+the same public vocabulary, where its file lies beside the other.
+
 Defined results: an empty and a null text have the empty list; strings that look like special
 tokens are ordinary text; any other text decodes to itself exactly.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +56,39 @@ class Piece:
 
 
 class Encoder:
-    def __init__(self, path: str, leaf: int = LEAF) -> None:
-        from tokenizers import Tokenizer
+    """``path``: the tokenizer's JSON file; ranks are read from the same name with ``.tiktoken``."""
 
-        self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
-        self.t.no_padding()
-        self.t.no_truncation()
-        self.leaf = leaf
+    def __init__(self, path: str, leaf: int = LEAF) -> None:
+        self.path, self.leaf = path, leaf
+        self._t = None
         self._vocab: list[bytes] | None = None
+        self.ranks = self._read_ranks(path)
+
+    @staticmethod
+    def _read_ranks(path: str):
+        """An encoder of whole texts by ranks, or None without its file or library."""
+        file = path.removesuffix(".json") + ".tiktoken"
+        try:
+            import public_tokenizers
+            import tiktoken
+
+            with open(file, "rb") as f:
+                ranks = {base64.b64decode(w): int(n) for w, n in map(bytes.split, f)}
+            return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        except (ImportError, OSError):
+            return None
+
+    @property
+    def t(self):
+        """The encoder that knows words, read when first needed."""
+        if self._t is None:
+            from tokenizers import Tokenizer
+
+            self._t = Tokenizer.from_file(self.path)
+            self._t.encode_special_tokens = True
+            self._t.no_padding()
+            self._t.no_truncation()
+        return self._t
 
     @property
     def vocab(self) -> list[bytes]:
@@ -154,8 +183,12 @@ class Encoder:
         """The ids of each text. Texts of one leaf go through the library in one batch."""
         out: list[list[int]] = [[] for _ in texts]
         short = [i for i, t in enumerate(texts) if t and len(t) <= self.leaf]
-        for i, e in zip(short, self.t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-            out[i] = e.ids
+        if self.ranks is not None:
+            for i in short:
+                out[i] = self.ranks.encode_ordinary(texts[i])
+        else:
+            for i, e in zip(short, self.t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
+                out[i] = e.ids
         for i, t in enumerate(texts):
             if t and len(t) > self.leaf:
                 out[i] = self._reduce(self._pieces(self._halves(t))).ids
@@ -176,13 +209,14 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, leaf: in
     path = path or tokenizer_path()
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf)
-        for pdf in batches:
-            yield pd.DataFrame({"_k": pdf["_k"], "ids": e.encode([t if isinstance(t, str) else None for t in pdf["_t"]])})
+        for batch in batches:
+            ids = pa.array(e.encode(batch.column(1).to_pylist()), type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["_k", "ids"])
 
     narrow = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return narrow.mapInPandas(run, f"_k {kind}, ids array<int>").withColumnRenamed("_k", key)
+    return narrow.mapInArrow(run, f"_k {kind}, ids array<int>").withColumnRenamed("_k", key)
 
 
 def token_counts(df: DataFrame, columns: list[str], text: str, path: str | None = None) -> DataFrame:

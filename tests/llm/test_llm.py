@@ -252,11 +252,21 @@ _SMALL: dict[int, tokenize.Encoder] = {}
 def _small(leaf):
     if leaf not in _SMALL:
         e = tokenize.Encoder(PATH, leaf)
-        e._vocab = WHOLE.vocab
+        e._vocab, e._t = WHOLE.vocab, WHOLE.t
         _SMALL[leaf] = e
     return _SMALL[leaf]
 
 
+def test_both_libraries_agree():
+    from symgraph.llm.tokenize import Encoder
+
+    e = Encoder(PATH)
+    slow = Encoder(PATH)
+    slow.ranks = None
+    texts = ["it's  a\n\n test <|endoftext|>", " " * 500 + "x", "日本語 👍", "", None, "a" * 900]
+    assert e.ranks is not None and e.encode(texts) == slow.encode(texts)
+
+
 def test_encode_table(spark):
     long = "word 数字 <|endoftext|> it's\n" * 6000
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a<|endoftext|>", 0), (4, long, 0), (5, "a" * 40_000, 0)], "doc_id bigint, text string, ids int")
