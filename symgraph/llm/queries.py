@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import split_packed
 from ..plans.registry import Registry
+from ..session import Scratch
 from ..sources.tables import distinct_edges, latest_nodes, norm_kind, read
 from . import docpairs, frequency, handwritten, mixing, tokenize, truncated, unparsable
 
@@ -126,7 +127,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.token_counts(read(spark, d, "documents"), ["doc_id", "source"], "text")
+    scratch = Scratch(spark, "sized")  # lengths are read several times, texts are encoded once
+    return scratch.keep(scratch.write(tokenize.token_counts(read(spark, d, "documents"), ["doc_id", "source"], "text")))
 
 
 @registry.query("p9_mix")
