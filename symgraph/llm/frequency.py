@@ -63,8 +63,9 @@ def mark(counts: DataFrame, rare: int = 5, common: float = 0.1) -> DataFrame:
     Rare: in fewer than ``rare`` records. Common: in more than ``common`` of the records with a
     term in the field. A term that is both is rare. The totals are one row per field.
     """
-    totals = counts.where(F.col("term").isNull()).select("field", F.col("records").alias("_all"))
-    terms = counts.where(F.col("term").isNotNull()).join(totals, "field")
+    # one entry per field, read as a scalar: a join by field would gather a field's terms
+    totals = counts.where(F.col("term").isNull()).agg(F.map_from_entries(F.collect_list(F.struct("field", "records")))).scalar()
+    terms = counts.where(F.col("term").isNotNull()).withColumn("_all", totals[F.col("field")])
     share = F.col("records") / F.col("_all")
     verdict = F.when(F.col("records") < rare, "rare").when(F.col("records") > common * F.col("_all"), "common")
     return terms.select("field", "term", "occurrences", "records", share.alias("share"), verdict.alias("mark"))
