@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 # What generators write about their output. A comment line with one is a notice.
 NOTICES = (
     "@generated",
@@ -248,6 +250,9 @@ def classify(files: DataFrame, content: DataFrame) -> DataFrame:
     bare = both.where(F.col("_there").isNull()).select("project_id", "path", F.lit(None).cast("string").alias("content"))
     rest = bare.mapInPandas(_verdicts, "project_id string, path string, reason string, mark bigint")
     both = both.where(F.col("_there").isNotNull()).select("project_id", "path", "reason", "mark").unionByName(rest)
+    # read twice below: the verdicts are written once, the contents never pass again
+    scratch = Scratch(files.sparkSession, "handwritten")
+    both = scratch.keep(scratch.write(both))
     origins = both.where(F.col("reason").isin("vendored", "banner") & F.col("mark").isNotNull()).select("mark").distinct().withColumn("_copy", F.lit(True))
     out = both.join(origins, "mark", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_copy"), F.lit("copy"))))
     return out.where(F.col("reason").isNotNull()).select("project_id", "path", "reason")
