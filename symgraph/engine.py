@@ -234,6 +234,15 @@ class Engine:
     def explore(self, query: str, files: int = 10) -> DataFrame:
         return SE.explore(self.nodes, self.edges, self.content, query, files)
 
+    def enrich(self, pattern: str, limit: int = 4) -> DataFrame:
+        """For a search: the best definitions with how many call, test and run through them."""
+        found = self.search(pattern, 50).where(P.is_definition("kind")).limit(limit).select("id", "kind", "name", "file_path", "start_line")
+        mine = self.edges.where(F.col("kind") != "contains").join(found.select(F.col("id").alias("target")), "target", "left_semi")
+        about = R.related(mine, self.nodes, "source").groupBy(F.col("symbol").alias("id")).agg(F.count(F.lit(1)).alias("callers"), F.count(F.when(P.is_covering("kind", "file_path"), 1)).alias("tests"))
+        runs = self.flow_tables[1].groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("flows"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return found.join(about, "id", "left").join(runs, "id", "left").select("id", "kind", "name", "file_path", "start_line", zero("callers"), zero("tests"), zero("flows"))
+
     def resolve(self) -> DataFrame:
         mappings = RES.import_mappings(self.content) if self.content is not None else None
         return RES.resolve(self.refs, self.candidates, self.nodes, mappings)
@@ -242,5 +251,5 @@ class Engine:
 #: The tools by name, for the command line.
 TOOLS = (
     "node", "at", "callers", "callees", "dark_callers", "impact", "tests", "subclasses", "orphans", "model", "feature", "path", "flows", "affected_flows", "changed",
-    "winnow", "winnow_cascade", "overview", "files_rollup", "status", "routes", "links", "history", "symbol_history", "as_of", "search", "explore", "resolve",
+    "winnow", "winnow_cascade", "overview", "files_rollup", "status", "routes", "links", "history", "symbol_history", "as_of", "search", "explore", "enrich", "resolve",
 )

@@ -171,9 +171,10 @@ def connect(groups: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     A group is what a name may mean (callers bound both numbers). Pairs of an owner and its own
     member are left out.
     """
-    a = groups.select(F.col("name").alias("from_name"), F.col("id").alias("source"))
-    b = groups.select(F.col("name").alias("to_name"), F.col("id").alias("target"))
-    pairs = a.join(b, F.col("from_name") < F.col("to_name"))
+    one = F.lit(1).alias("_k")
+    a = groups.select(F.col("name").alias("from_name"), F.col("id").alias("source"), one)
+    b = groups.select(F.col("name").alias("to_name"), F.col("id").alias("target"), one)
+    pairs = a.join(b, "_k").where(F.col("from_name") < F.col("to_name")).drop("_k")
     pairs = pairs.where(~F.startswith("target", F.concat("source", F.lit("."))) & ~F.startswith("source", F.concat("target", F.lit("."))))
     both = pairs.unionByName(pairs.select(F.col("to_name").alias("from_name"), F.col("target").alias("source"), F.col("from_name").alias("to_name"), F.col("source").alias("target")))
     found = shortest_paths(both, edges).join(both, ["source", "target"])

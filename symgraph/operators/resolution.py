@@ -96,6 +96,116 @@ def by_locality(refs: DataFrame, nodes: DataFrame, fold: bool = False) -> DataFr
     return _out(near.unionByName(rest), F.col("c"), "fuzzy" if fold else "exact")
 
 
+# The language that a kind of reference leads to, and kinds that lead to no other.
+TARGET_LANGUAGE = {k: "python" for k in ("routes_to", "relates_to", "receives", "admin_of", "tests", "reads", "returns", "type_of", "uses_tag")} | {"handles": "javascript"}
+STRICT_LANGUAGE = ("handles", "instantiates")
+
+
+def _target_language() -> Column:
+    own = F.when(F.lower("language").isin("py", "python"), "python").when(F.lower("language").isin("javascript", "htmldjango"), "javascript")
+    table = F.create_map(*[F.lit(x) for kv in TARGET_LANGUAGE.items() for x in kv])
+    return F.when(F.col("reference_kind") == "instantiates", own).otherwise(table[F.col("reference_kind")])
+
+
+def by_language(refs: DataFrame, nodes: DataFrame, fold: bool = False) -> DataFrame:
+    """:func:`by_locality` within the language that the kind of reference leads to.
+
+    Names without a definition in that language may bind to another one, unless the kind is
+    strict about it.
+    """
+    key = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
+    r = refs.withColumn("_want", _target_language()).withColumn("_n", key("reference_name"))
+    there = nodes.where(~F.col("kind").isin("import", "external")).select("project_id", key("name").alias("_n"), F.col("language").alias("_want")).distinct()
+    wanted = r.where(F.col("_want").isNotNull())
+    some = wanted.join(there, ["project_id", "_n", "_want"], "left_semi")
+    other = wanted.join(there, ["project_id", "_n", "_want"], "left_anti").where(~F.col("reference_kind").isin(*STRICT_LANGUAGE))
+    free = r.where(F.col("_want").isNull()).unionByName(other)
+    columns = refs.columns
+    out = by_locality(free.select(*columns), nodes, fold)
+    for language in ("python", "javascript"):
+        mine = some.where(F.col("_want") == language).select(*columns)
+        out = out.unionByName(by_locality(mine, nodes.where(F.col("language") == language), fold))
+    return out
+
+
+def _nearest(pairs: DataFrame, hi: float, lo: float, strategy: str) -> DataFrame:
+    """Of scoped candidates ``(ref_id, reference_kind, r_path, id, kind, file_path)`` the
+    preferred one in the nearest folder, or the sole loose one."""
+    p = pairs.where(~F.col("kind").isin("import", "external")).distinct()
+    p = p.withColumn("pref", F.array_contains(_preferred(F.col("reference_kind")), F.col("kind"))).withColumn("depth", P.shared_depth("r_path", "file_path"))
+    best = F.min(F.when(F.col("pref"), F.struct((-F.col("depth")).alias("d"), "id"))).alias("b")
+    g = p.groupBy("ref_id", "reference_kind").agg(F.count(F.when(F.col("pref"), 1)).alias("n"), F.count(F.lit(1)).alias("m"), best, F.min(F.struct("id", "kind")).alias("o"))
+    near = g.where(F.col("n") > 0).select("ref_id", F.col("b.id").alias("target"), F.when(F.col("n") == 1, hi).otherwise(lo).alias("c"))
+    loose = g.where((F.col("n") == 0) & (F.col("m") == 1) & ~F.col("reference_kind").isin(*D.STRICT_KINDS) & ~F.col("o.kind").isin(*D.LOOSE_BARRED))
+    return _out(near.unionByName(loose.select("ref_id", F.col("o.id").alias("target"), F.lit(lo).alias("c"))), F.col("c"), strategy)
+
+
+def scoped_calls(refs: DataFrame, nodes: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Calls by name within what their file can see: its own definitions and those whose top
+    owner it imports; a script without imports sees the file-level definitions of other scripts,
+    as long as one file alone has the name."""
+    r = refs.where((F.col("reference_kind") == "calls") & F.col("reference_name").isNotNull())
+    r = r.select("ref_id", "project_id", "reference_kind", F.col("reference_name").alias("name"), F.col("file_path").alias("r_path"), "language")
+    n = nodes.select("id", "project_id", "kind", "name", "file_path", "qualified_name", P.top_owner("qualified_name").alias("top"))
+    cols = ["ref_id", "reference_kind", "r_path", "id", "kind", "file_path"]
+    own = r.join(n.withColumn("r_path", F.col("file_path")), ["project_id", "name", "r_path"]).select(*cols)
+    seen = mappings.where(F.col("exported_name") != "").select("project_id", F.col("file_path").alias("r_path"), F.col("exported_name").alias("top")).distinct()
+    imported = r.join(seen, ["project_id", "r_path"]).join(n, ["project_id", "name", "top"]).select(*cols)
+    script = F.lower("language") == "javascript"
+    alone = r.where(script).join(mappings.select("project_id", F.col("file_path").alias("r_path")).distinct(), ["project_id", "r_path"], "left_anti").join(own.select("ref_id"), "ref_id", "left_anti")
+    level = n.where(F.lower("file_path").rlike(r"\.m?js$") & (F.substring_index("qualified_name", "::", -1) == F.col("name")))
+    one = level.groupBy("project_id", "name").agg(F.count_distinct("file_path").alias("_f"), F.min(F.struct("id", "kind", "file_path")).alias("g")).where(F.col("_f") == 1)
+    shared = alone.join(one, ["project_id", "name"]).select("ref_id", "reference_kind", "r_path", "g.id", "g.kind", "g.file_path")
+    return _nearest(own.unionByName(imported).unionByName(shared), 0.9, 0.6, "scoped")
+
+
+def scoped_handlers(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Template handlers that their own file defines (others bind by name)."""
+    r = refs.where(F.col("reference_kind") == "handles").select("ref_id", "project_id", "reference_kind", F.col("reference_name").alias("name"), F.col("file_path").alias("r_path"))
+    n = nodes.select("id", "project_id", "kind", "name", "file_path", F.col("file_path").alias("r_path"))
+    return _nearest(r.join(n, ["project_id", "name", "r_path"]).select("ref_id", "reference_kind", "r_path", "id", "kind", "file_path"), 0.9, 0.6, "scoped")
+
+
+def scoped_routes(refs: DataFrame, steer: DataFrame, nodes: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Route handlers inside the module that the URL file imports their receiver from, else what
+    the file defines or imports itself."""
+    r = refs.where(F.col("reference_kind") == "routes_to").join(steer.select("ref_id", "plain"), "ref_id", "left")
+    r = r.select("ref_id", "project_id", "reference_kind", F.col("reference_name").alias("name"), F.col("file_path").alias("r_path"), F.split(F.coalesce("plain", F.lit("")), r"\.")[0].alias("receiver"))
+    n = nodes.select("id", "project_id", "kind", "name", "file_path", P.dotted_module("file_path").alias("dotted"), P.top_owner("qualified_name").alias("top"))
+    m = mappings.select("project_id", F.col("file_path").alias("r_path"), F.col("local_name").alias("receiver"), "source", "exported_name")
+    via = r.join(m, ["project_id", "r_path", "receiver"])
+    package = F.replace(P.directory(P.forward("r_path")), F.lit("/"), F.lit("."))
+    base = F.when(F.col("source").startswith("."), F.concat_ws(".", F.nullif(package, F.lit("")), F.nullif(F.regexp_replace("source", r"^\.+", ""), F.lit("")))).otherwise(F.col("source"))
+    via = via.withColumn("dotted", F.concat_ws(".", base, F.nullif("exported_name", F.lit(""))))
+    cols = ["ref_id", "reference_kind", "r_path", "id", "kind", "file_path"]
+    inside = via.join(n, ["project_id", "name", "dotted"]).select(*cols)
+    rest = r.join(via.select("ref_id"), "ref_id", "left_anti")
+    own = rest.join(n.withColumn("r_path", F.col("file_path")), ["project_id", "name", "r_path"]).select(*cols)
+    seen = m.where(F.col("exported_name") != "").select("project_id", "r_path", F.col("exported_name").alias("top")).distinct()
+    imported = rest.join(seen, ["project_id", "r_path"]).join(n, ["project_id", "name", "top"]).select(*cols)
+    return _nearest(inside.unionByName(own).unionByName(imported), 0.9, 0.6, "scoped")
+
+
+# Endings of class names and the folders where their definitions conventionally lie.
+CONVENTIONS = (("(View|ViewSet)$", ("class", "function", "view"), ("views", "/api/")), ("Form$", ("class",), ("forms",)), ("Model$|^[A-Z][a-z]+$", ("class", "model"), ("models",)))
+
+
+def conventions(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Python names bound by the framework's folders: the sole candidate of the kinds, else the
+    first in a conventional folder (0.8)."""
+    r = refs.where(F.lower("language").isin("py", "python") & F.col("reference_name").isNotNull())
+    rule = F.coalesce(*[F.when(F.col("reference_name").rlike(rx), F.lit(i)) for i, (rx, _, _) in enumerate(CONVENTIONS)])
+    r = r.withColumn("rule", rule).where(F.col("rule").isNotNull()).select("ref_id", "project_id", F.col("reference_name").alias("name"), "rule")
+    out = None
+    for i, (_, kinds, folders) in enumerate(CONVENTIONS):
+        at = F.col("file_path").rlike("|".join(folders))
+        g = nodes.where(F.col("kind").isin(*kinds)).groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("any"), F.min(F.when(at, F.col("id"))).alias("placed"))
+        hit = r.where(F.col("rule") == i).join(g, ["project_id", "name"]).select("ref_id", F.when(F.col("n") == 1, F.col("any")).otherwise(F.col("placed")).alias("target"))
+        found = _out(hit.where(F.col("target").isNotNull()), 0.8, "framework")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def companion_methods(refs: DataFrame, steer: DataFrame, nodes: DataFrame, flag: str, suffixes: tuple[str, ...], ends: tuple[str, ...], builtins: tuple[str, ...]) -> DataFrame:
     """Calls on a queryset or service: the sole method of that name on such a class (0.85), else
     the sole one whose class is the model's name with a known suffix (0.8)."""
@@ -216,7 +326,8 @@ def prefer(ranked: list[tuple[int, DataFrame]]) -> DataFrame:
 def resolve(refs: DataFrame, candidates: DataFrame, nodes: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """``(ref_id, target, confidence, strategy)`` of all references that bind.
 
-    Kinds of later passes stay pending; imports have their own ways; a dispatched call binds by
+    ``mappings``: the imports of files; with them calls and route handlers bind only to what
+    their file can see. Kinds of later passes stay pending; imports have their own ways; a dispatched call binds by
     its dispatch or not at all; super calls never bind here; a reference to itself is dropped.
     """
     scratch = Scratch(refs.sparkSession, "resolve")
@@ -240,12 +351,15 @@ def resolve(refs: DataFrame, candidates: DataFrame, nodes: DataFrame, mappings:
         (2, companion_methods(names, q, nodes, "service", SERVICES, ("Service",), SERVICE_BUILTINS)),
         (3, typed_receivers(names, q, nodes)),
         (4, instance_methods(plain, candidates, nodes)),
-        (5, by_locality(plain, nodes)),
-        (7, by_locality(plain, nodes, fold=True)),
-        (8, imports(live, steer, nodes, mappings)),
+        (5, scoped_handlers(plain, nodes)),
+        (10, imports(live, steer, nodes, mappings)),
     ]
+    wide = plain
     if mappings is not None:
-        ways.append((6, via_imports(plain, mappings, nodes)))
+        # what a file can see bounds calls and routes; without mappings all names are visible
+        ways += [(6, scoped_calls(plain, nodes, mappings)), (6, scoped_routes(plain, steer, nodes, mappings)), (8, via_imports(plain, mappings, nodes))]
+        wide = plain.where(~F.col("reference_kind").isin("calls", "routes_to"))
+    ways += [(7, by_language(wide, nodes)), (9, by_language(wide, nodes, fold=True)), (11, conventions(plain, nodes))]
     out = prefer([(p, keep(df)) for p, df in ways])
     return out.join(refs.select("ref_id", "from_node_id"), "ref_id").where(~F.col("target").eqNullSafe(F.col("from_node_id"))).select(*OUT)
 
@@ -276,13 +390,14 @@ def link_names(refs: DataFrame, nodes: DataFrame, kinds: dict[str, tuple[str, ..
     for ref_kind, targets in kinds.items():
         n = nodes.where(F.col("kind").isin(*targets)).select("id", "project_id", F.col("name").alias("reference_name"))
         per = n.groupBy("reference_name", "project_id").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("target"))
-        total = per.groupBy("reference_name").agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("c", "project_id", "target"))).alias("first"))
-        # only projects with one definition can answer, and of those at most two matter
+        # only a project with one definition can answer; with the own one aside at most one is left,
+        # so the first and the last of them are enough
+        single = F.when(F.col("c") == 1, F.struct("project_id", "target"))
+        total = per.groupBy("reference_name").agg(F.sum("c").alias("all"), F.min(single).alias("lo"), F.max(single).alias("hi"))
         r = refs.where(F.col("reference_kind") == ref_kind).select("ref_id", "project_id", "reference_name")
         own = r.join(per.select("reference_name", "project_id", F.col("c").alias("own")), ["reference_name", "project_id"], "left")
-        two = total.select("reference_name", "all", F.slice("first", 1, 2).alias("two"))
-        hit = own.join(two, "reference_name").where(F.col("all") - F.coalesce("own", F.lit(0)) == 1)
-        other = F.element_at(F.filter("two", lambda x: x["project_id"] != F.col("project_id")), 1)["target"]
+        hit = own.join(total, "reference_name").where(F.col("all") - F.coalesce("own", F.lit(0)) == 1)
+        other = F.when(F.col("lo.project_id") != F.col("project_id"), F.col("lo.target")).otherwise(F.col("hi.target"))
         found = _out(hit.select("ref_id", other.alias("target")).where(F.col("target").isNotNull()), 0.8, f"link-{ref_kind}")
         out = found if out is None else out.unionByName(found)
     return out

@@ -6,6 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of history that are ordered in one task at most.
+SLICE = 30 * 86_400
+
+
+def numbered(df: DataFrame, keys: list[str], time: str, order: list, carry: str | None = None, width: int = SLICE) -> DataFrame:
+    """``df`` with ``position`` (from 1) in each group's order, and ``before``: the ``carry`` of
+    the row before (as a struct, so that a null value differs from no row).
+
+    A group with very many rows is not sorted in one task: rows are ordered within slices of
+    time, and the slices' counts and last values (one row per slice) complete them. ``order``
+    begins with ``time``.
+    """
+    s = df.withColumn("_slice", F.coalesce(F.floor(F.col(time) / width), F.lit(-(2**62))).cast("long"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    value = F.struct(F.col(carry).alias("v")) if carry else F.struct(F.lit(None).cast("string").alias("v"))
+    s = s.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.lag(value).over(w))
+    ends = s.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"), F.max_by(value, "_n").alias("_last"))
+    v = Window.partitionBy(*keys).orderBy("_slice")
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_s2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.lag("_last").over(v).alias("_prev"))
+    match = s["_slice"] == ends["_s2"]
+    for k in keys:
+        match = match & s[k].eqNullSafe(ends[f"_{k}"])
+    out = s.join(ends, match).withColumn("position", (F.col("_n") + F.col("_off")).cast("int"))
+    return out.withColumn("before", F.when(F.col("_n") == 1, F.col("_prev")).otherwise(F.col("_b"))).select(*df.columns, "position", "before")
+
+
 def by_commit(commits: DataFrame, files: DataFrame, like: str) -> DataFrame:
     """Per commit the files under a path pattern (case-insensitive) with their line counts.
 
@@ -35,10 +62,11 @@ def symbol_changes(revisions: DataFrame) -> DataFrame:
 
     Null-safe comparison with the revision before; rows that change nothing are dropped.
     """
-    w = Window.partitionBy("project_id", "file_path", "qualified_name").orderBy("committed_at", F.col("commit_hash").cast("long"), "commit_hash")
-    r = revisions.withColumn("before", F.lag("signature").over(w)).withColumn("n", F.row_number().over(w))
-    kind = F.when(F.col("n") == 1, "added").when(~F.col("before").eqNullSafe(F.col("signature")), "modified")
-    return r.withColumn("change_kind", kind).where(F.col("change_kind").isNotNull()).drop("n")
+    order = ["committed_at", F.col("commit_hash").try_cast("long"), "commit_hash"]
+    r = numbered(revisions, ["project_id", "file_path", "qualified_name"], "committed_at", order, "signature")
+    kind = F.when(F.col("before").isNull(), "added").when(~F.col("before.v").eqNullSafe(F.col("signature")), "modified")
+    r = r.withColumn("change_kind", kind).withColumn("before", F.col("before.v"))
+    return r.where(F.col("change_kind").isNotNull()).drop("position")
 
 
 def diff_revisions(touches: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -49,8 +77,10 @@ def diff_revisions(touches: DataFrame, symbols: DataFrame) -> DataFrame:
     Every symbol is laid against its own revision and, shifted by one, against the next one of
     its file, so one aggregate yields both sides. A removal carries the signature it had.
     """
-    w = Window.partitionBy("project_id", "file_path").orderBy("committed_at", "commit_hash")
-    t = touches.distinct().withColumn("following", F.lead("commit_hash").over(w))
+    # the revision that follows each one: its successor knows it as the one before
+    t = numbered(touches.distinct(), ["project_id", "file_path"], "committed_at", ["committed_at", "commit_hash"], "commit_hash")
+    after = t.where(F.col("before").isNotNull()).select("project_id", "file_path", F.col("before.v").alias("commit_hash"), F.col("commit_hash").alias("following"))
+    t = t.select("project_id", "file_path", "commit_hash").join(after, ["project_id", "file_path", "commit_hash"], "left")
     s = symbols.join(t, ["project_id", "file_path", "commit_hash"])
     now = s.select("project_id", "file_path", "commit_hash", "qualified_name", F.struct("signature").alias("new"), F.lit(None).cast("struct<signature:string>").alias("old"))
     was = s.where(F.col("following").isNotNull()).select(
@@ -81,9 +111,8 @@ def as_of(changes: DataFrame, at: int) -> DataFrame:
 
 def file_touches(commits: DataFrame, files: DataFrame) -> DataFrame:
     """The revisions of every file in order."""
-    w = Window.partitionBy("project_id", "file_path").orderBy("committed_at", "commit_hash")
     t = files.select("project_id", "commit_hash", "file_path").distinct().join(commits.select("project_id", "commit_hash", "committed_at"), ["project_id", "commit_hash"])
-    return t.withColumn("revision", F.row_number().over(w))
+    return numbered(t, ["project_id", "file_path"], "committed_at", ["committed_at", "commit_hash"]).withColumnRenamed("position", "revision").drop("before")
 
 
 def symbol_history(changes: DataFrame, symbol: str) -> DataFrame:

@@ -613,3 +613,52 @@ def css_selectors(s: SparkSession, d: str) -> DataFrame:
     heads = heads.where(~F.startswith(F.regexp_replace("head", r"^\s+", ""), F.lit("@")))
     names = F.explode(F.regexp_extract_all("head", F.lit(r"([.#]-?[A-Za-z_][\w-]*)"), F.lit(1)))
     return heads.select("project_id", "file_path", names.alias("selector")).distinct()
+
+
+# --- further reads (C12, D5, K10, L6, L11, L14) ---------------------------------------------------------------------------------
+
+
+@q("reverse_targets", f"WITH {S.E} SELECT DISTINCT source, target FROM e WHERE kind = 'relates_to' AND starts_with(provenance, 'synthesis:reverse')")
+def reverse_targets(s: SparkSession, d: str) -> DataFrame:
+    e = G.edges(s, d, "source", "target", "provenance")
+    return e.where((F.col("kind") == "relates_to") & F.col("provenance").startswith("synthesis:reverse")).select("source", "target").distinct()
+
+
+@q("flow_edge_counts", f"WITH {S.E} SELECT source, count(*) AS edges FROM e WHERE kind IN ({S.quoted(D.FLOW_KINDS)}) GROUP BY source")
+def flow_edge_counts(s: SparkSession, d: str) -> DataFrame:
+    return G.edges(s, d, "source").where(F.col("kind").isin(*D.FLOW_KINDS)).groupBy("source").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@q(
+    "handlers",
+    f"""WITH {S.E}, a AS (SELECT source AS route, min(target) AS view FROM e WHERE kind = 'routes_to' GROUP BY source), b AS (SELECT source AS view, min(target) AS template FROM e WHERE kind = 'renders' GROUP BY source)
+SELECT route, view, template FROM a LEFT JOIN b USING (view)""",
+)
+def handlers(s: SparkSession, d: str) -> DataFrame:
+    """What each routing symbol leads to: its first handler and that one's first template."""
+    e = G.edges(s, d, "source", "target")
+    first = lambda kind, a, b: e.where(F.col("kind") == kind).groupBy(F.col("source").alias(a)).agg(F.min("target").alias(b))
+    return first("routes_to", "route", "view").join(first("renders", "view", "template"), "view", "left").select("route", "view", "template")
+
+
+@q("symbol_history", f"WITH {S.CHANGES} SELECT qualified_name, commit_hash, change_kind FROM changes WHERE change_kind IS NOT NULL AND (qualified_name = 'purchase' OR suffix(qualified_name, '.purchase') OR suffix(qualified_name, '::purchase'))")
+def symbol_history(s: SparkSession, d: str) -> DataFrame:
+    return T.symbol_history(T.symbol_changes(G.revisions(s, d)), "purchase").select("qualified_name", "commit_hash", "change_kind")
+
+
+@q(
+    "resolve_by_convention",
+    f"""WITH {S.N}, {S.R}, x AS (SELECT ref_id, project_id, reference_name AS name, CASE WHEN regexp_matches(reference_name, '(View|ViewSet)$') THEN 0 WHEN regexp_matches(reference_name, 'Form$') THEN 1 WHEN regexp_matches(reference_name, 'Model$|^[A-Z][a-z]+$') THEN 2 END AS rule
+  FROM r WHERE lower(language) IN ('py', 'python')),
+c AS (SELECT ref_id, n.id, CASE rule WHEN 0 THEN regexp_matches(file_path, 'views|/api/') WHEN 1 THEN regexp_matches(file_path, 'forms') ELSE regexp_matches(file_path, 'models') END AS placed FROM x JOIN n USING (project_id, name)
+  WHERE (rule = 0 AND n.kind IN ('class', 'function', 'view')) OR (rule = 1 AND n.kind = 'class') OR (rule = 2 AND n.kind IN ('class', 'model')))
+SELECT ref_id, target FROM (SELECT ref_id, CASE WHEN count(*) = 1 THEN min(id) ELSE min(CASE WHEN placed THEN id END) END AS target FROM c GROUP BY ref_id) WHERE target IS NOT NULL""",
+)
+def resolve_by_convention(s: SparkSession, d: str) -> DataFrame:
+    return RES.conventions(G.refs(s, d), G.nodes(s, d, "project_id", "name", "file_path")).select("ref_id", "target")
+
+
+@q("resolve_scoped_calls")
+def resolve_scoped_calls(s: SparkSession, d: str) -> DataFrame:
+    n = G.nodes(s, d, "project_id", "name", "qualified_name", "file_path")
+    return RES.scoped_calls(G.refs(s, d), n, RES.import_mappings(G.content(s, d)))

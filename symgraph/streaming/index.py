@@ -34,9 +34,10 @@ def bursts(events: DataFrame, quiet_ms: int = QUIET_MS, most: int = MOST_PATHS)
     """
     changes = events.where(~F.col("kind").isin("read", "metadata"))
     w = F.session_window("ts", f"{quiet_ms} milliseconds")
-    g = changes.groupBy("project_id", w.alias("w")).agg(F.collect_set("path").alias("_p"), F.max("is_dir").alias("_d"))
-    scope = F.when(F.col("_d") | (F.size("_p") > most), "full").otherwise("scoped")
-    return g.select("project_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), F.size("_p").alias("paths"), scope.alias("scope"))
+    # a sketch instead of the paths themselves: a burst may name very many
+    g = changes.groupBy("project_id", w.alias("w")).agg(F.approx_count_distinct("path", 0.01).alias("paths"), F.max("is_dir").alias("_d"))
+    scope = F.when(F.col("_d") | (F.col("paths") > most), "full").otherwise("scoped")
+    return g.select("project_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths", scope.alias("scope"))
 
 
 class IncrementalIndex:

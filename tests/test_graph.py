@@ -158,6 +158,7 @@ def test_engine_tools(spark, g):
     assert "audit" not in [x[0] for x in rows(en.orphans(), "name")]
     assert en.search("chckvw").count() == 1 and en.search("order").count() >= 1
     assert en.flows("checkout").count() == 1
+    assert rows(en.enrich("recalculate_totals"), "callers", "tests", "flows") == [(2, 1, 1)]
     page, cursor, note = en.page(en.overview(), None, 2)
     assert page.count() == 2 and cursor == "2.0" and note is None
     assert en.winnow([("kind", "eq", "model")], "risk").count() == 3

@@ -91,6 +91,34 @@ def test_reexports_and_aliases(spark):
     assert got[1] == ("shop::Deep", 0.8, "re-export") and got[2] == ("shop::run", 0.8, "import-alias")
 
 
+def test_scopes(spark):
+    nodes = [
+        node("shop::a.go", "function", "go", "a/utils.py", qn="a/utils.py::go"),
+        node("shop::b.go", "function", "go", "b/utils.py", qn="b/utils.py::go"),
+        node("shop::v1", "view", "detail", "a/page_views.py", qn="a/page_views.py::detail"),
+        node("shop::v2", "view", "detail", "b/page_views.py", qn="b/page_views.py::detail"),
+        node("shop::js", "function", "ajax", "static/one.js", qn="static/one.js::ajax", lang="javascript"),
+        node("shop::OrderForm1", "class", "OrderForm", "x/other.py"),
+        node("shop::OrderForm2", "class", "OrderForm", "y/forms.py"),
+        node("shop::open_js", "function", "open", "static/m.js", qn="static/m.js::open", lang="javascript"),
+        node("shop::open_py", "function", "open", "t/x.py", qn="t/x.py::open"),
+    ]
+    content = spark.createDataFrame([("shop", "c/use.py", "from b.utils import go\n"), ("shop", "c/urls.py", "from a import page_views\n")], "project_id string, file_path string, content string")
+    m = RES.import_mappings(content)
+    got = bind(
+        spark,
+        nodes,
+        [(1, "go", "calls", [], "shop::x", "c/use.py"), (2, "go", "calls", [], "shop::x", "d/blind.py"), (3, "detail", "routes_to", ["page_views.detail"], "shop::x", "c/urls.py"), (4, "OrderForm", "calls", [], "shop::x", "z.py"), (5, "open", "handles", [], "shop::x", "t.html")],
+        m,
+    )
+    # the import names the function, not its file, so both definitions are seen; the first wins
+    assert got[1][0] in ("shop::a.go", "shop::b.go") and got[1][1] == 0.6 and 2 not in got
+    assert got[3] == ("shop::v1", 0.9, "scoped") and got[4] == ("shop::OrderForm2", 0.8, "framework") and got[5][0] == "shop::open_js"
+    r, _ = refs(spark, [(1, "ajax", "calls", [], "shop::x", "static/two.js")])
+    n = spark.createDataFrame(nodes, __import__("tests.fixtures", fromlist=["N"]).N)
+    assert rows(RES.scoped_calls(r.withColumn("language", F.lit("javascript")), n, m), "target") == [("shop::js",)]
+
+
 def test_links_across_projects(spark):
     n = spark.createDataFrame([node("platform::base.Base", "class", "Base", "base/models.py"), node("other::x.Base", "class", "Base", "x/gen_pb2.py"), node("lib::y.Base", "class", "Base", "lib/core.py"), node("lib::z.Solo", "model", "Solo", "lib/z.py")], __import__("tests.fixtures", fromlist=["N"]).N)
     r, c = refs(spark, [(1, "Base", "imports", ["base.models"]), (2, "Base", "imports", ["lib.other"]), (3, "Solo", "relates_to", []), (4, "Base", "relates_to", [])])
