@@ -3,38 +3,35 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from . import jsparse
 from .grammars import rank
 
-# What a cut may leave behind a text.
-MARK = re.compile(
-    r"(?:\s|\x00|…|\.\.\.+|�|\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:snip|truncated|more)>)+$", re.I
-)
+# What a cut may leave behind a text, besides blanks and dots.
+_SIGNS = "…�\x00"
+_NOTE = re.compile(r"(?:\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:snip|truncated|more)>)$", re.I)
 TERMINATORS = ".!?。！？"
-_TOKEN = re.compile(r"[^\W\d_]*\d[^\W_]*|[^\W\d_]+|_|\s+|[^\w\s]", re.UNICODE)
-_SPLIT = re.compile(r"(?<=[。！？])")
+_TOKEN = re.compile(r"(\s*)(?:([^\W\d_]*\d[^\W_]*)|([^\W\d_]+|_|[^\w\s]))", re.UNICODE)
 LINE = "\n"
 
 
 def body(text: str) -> str:
-    """The text without blanks and marks of a cut at its end."""
-    return MARK.sub("", text)
+    """The text without blanks and marks of a cut at its end (read from the end only)."""
+    while True:
+        t = text.rstrip().rstrip(_SIGNS)
+        if t.endswith("..."):
+            t = t.rstrip(".")
+        elif m := _NOTE.search(t[-16:]):
+            t = t[: len(t) - len(m.group())]
+        if t == text:
+            return t
+        text = t
 
 
 def tokens(line: str) -> list[tuple[str, bool]]:
     """``(token, blank before)`` of a line: words, runs with digits as ``0``, single signs."""
-    out, gap = [], False
-    for m in _TOKEN.finditer(line):
-        t = m.group()
-        if t.isspace():
-            gap = True
-            continue
-        if any(c.isdigit() for c in t):
-            t = "0"
-        out.append((t, gap))
-        gap = False
-    return out
+    return [("0" if run else t, gap != "") for gap, run, t in _TOKEN.findall(line)]
 
 
 def lines(text: str) -> list[str]:
@@ -60,27 +57,51 @@ def contexts(toks: list[tuple[str, bool]], i: int) -> list[str]:
     return out
 
 
-def observe(text: str, seen: dict[str, list[int]]) -> None:
-    """Add to ``seen[context]`` how often the line goes on there, and how often it ends there.
+_QUOTES = frozenset("\"'`)]}»”’")
+_STOPS = frozenset(TERMINATORS)
+
+
+def observe(text: str, on: Counter, end: Counter) -> None:
+    """Count the contexts of all tokens: in ``on`` where their line goes on, in ``end`` where it
+    ends with them and others follow.
 
     Behind a terminator only what follows without a blank goes on. The end of the text is not
-    counted: a cut would look like an end.
+    counted: a cut would look like an end. Contexts are built per line, as :func:`contexts` has
+    them, and counted as lists.
     """
     rows = lines(body(text))
+    final = len(rows) - 1
     for n, line in enumerate(rows):
         toks = tokens(line)
-        for i in range(len(toks)):
-            if i + 1 < len(toks):
-                at = 1 if toks[i][0] in TERMINATORS and (toks[i + 1][1] or toks[i + 1][0] in "\"'`)]}»”’") else 0
-            elif n == len(rows) - 1:
-                break
-            else:
-                at = 1
-            for k in contexts(toks, i):
-                c = seen.get(k)
-                if c is None:
-                    seen[k] = c = [0, 0]
-                c[at] += 1
+        if not toks:
+            continue
+        raw = [t for t, _ in toks]
+        words = [" " + t if gap else t for t, gap in toks]
+        two = [a + "\x01" + w for a, w in zip([LINE, *raw], words)]
+        three = [a + "\x01" + k for a, k in zip([LINE, LINE, *raw], two)]
+        frames = [raw[0] + "\x02" + w for w in words[2:FRAME]]
+        last = len(raw) - 1
+        stops = [i for i in range(last) if raw[i] in _STOPS and (toks[i + 1][1] or raw[i + 1] in _QUOTES)]
+        for i in stops:
+            end.update((three[i], two[i], words[i]))
+            if 2 <= i < FRAME:
+                end[frames[i - 2]] += 1
+        if n < final:
+            end.update((three[last], two[last], words[last]))
+            if 2 <= last < FRAME:
+                end[frames[last - 2]] += 1
+        if stops:
+            out = {last, *stops}
+            keep = [i for i in range(last) if i not in out]
+            on.update([three[i] for i in keep])
+            on.update([two[i] for i in keep])
+            on.update([words[i] for i in keep])
+            on.update([f for i, f in enumerate(frames, 2) if i not in out])
+        else:
+            on.update(three[:last])
+            on.update(two[:last])
+            on.update(words[:last])
+            on.update(frames[: max(0, last - 2)])
 
 
 _MASK = (1 << 61) - 1

@@ -24,6 +24,7 @@ several ids has one verdict; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,7 +53,8 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
             if not isinstance(text, str):
                 continue
-            rows = lines(body(text))
+            text = body(text)
+            rows = lines(text)
             toks = tokens(rows[-1]) if rows else []
             if not toks:
                 continue
@@ -64,7 +66,7 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 (
                     doc,
                     source,
-                    _h(body(text)),
+                    _h(text),
                     left_open(text),
                     last in TERMINATORS,
                     word,
@@ -83,19 +85,22 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _observations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[str, list[int]] = {}
+    on: Counter = Counter()
+    end: Counter = Counter()
 
     def flush() -> pd.DataFrame:
-        words = [k if "\x02" not in k and k.count("\x01") < 2 and k.rpartition("\x01")[2].lstrip(" ").isalpha() else None for k in seen]
-        out = pd.DataFrame({"key": [_h(k) for k in seen], "w": words, "f": [c[0] for c in seen.values()], "e": [c[1] for c in seen.values()]})
-        seen.clear()
+        keys = list({**on, **end})
+        words = [k if "\x02" not in k and k.count("\x01") < 2 and k.rpartition("\x01")[2].lstrip(" ").isalpha() else None for k in keys]
+        out = pd.DataFrame({"key": [_h(k) for k in keys], "w": words, "f": [on[k] for k in keys], "e": [end[k] for k in keys]})
+        on.clear()
+        end.clear()
         return out
 
     for pdf in batches:
         for text in pdf["text"]:
             if isinstance(text, str):
-                observe(text, seen)
-                if len(seen) > HELD:
+                observe(text, on, end)
+                if len(on) > HELD:
                     yield flush()
     yield flush()
 
