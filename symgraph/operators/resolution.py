@@ -68,30 +68,42 @@ def _prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.least(F.size(real), F.lit(64))), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(real, F.lit(1), i), "/").alias("prefix")))
 
 
-def by_locality(refs: DataFrame, nodes: DataFrame, fold: bool = False) -> DataFrame:
+def by_locality(refs: DataFrame, nodes: DataFrame, fold: bool = False, languages: bool = False) -> DataFrame:
     """Exact (or, with ``fold``, case-blind) names to preferred kinds by locality; or the sole
     other definition, where the kind of reference allows it.
 
     ``refs(ref_id, project_id, reference_name, reference_kind, file_path)``. Confidence 0.9 for
-    the only preferred candidate, 0.6 among several (0.5 and 0.4 folded).
+    the only preferred candidate, 0.6 among several (0.5 and 0.4 folded). ``languages``: within
+    the language that the kind of reference leads to (``refs`` and ``nodes`` have ``language``);
+    a name without a definition there may bind to another one, unless the kind is strict.
     """
     key = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
     hi, lo = (0.5, 0.4) if fold else (0.9, 0.6)
     r = refs.where(F.col("reference_name").isNotNull() & F.col("reference_kind").isNotNull()).withColumn("_name", key("reference_name"))
     n = nodes.where(~F.col("kind").isin("import", "external")).withColumn("_name", key("name"))
     asked = r.select("project_id", "_name").distinct()
-    n = n.join(asked, ["project_id", "_name"], "left_semi").select("id", "project_id", "_name", "kind", "file_path")
-    counts = n.groupBy("project_id", "_name", "kind").agg(F.count(F.lit(1)).alias("c"))
-    places = n.select("id", "project_id", "_name", "kind", F.explode(_prefixes(F.col("file_path"))).alias("p"))
-    places = places.groupBy("project_id", "_name", "kind", "p.prefix").agg(F.min("id").alias("target"))
-    wanted = r.select("ref_id", "project_id", "_name", F.explode(_preferred(F.col("reference_kind"))).alias("kind"), "file_path")
-    total = wanted.join(counts, ["project_id", "_name", "kind"]).groupBy("ref_id").agg(F.sum("c").alias("n"))
-    at = wanted.select("ref_id", "project_id", "_name", "kind", F.explode(_prefixes(F.coalesce("file_path", F.lit("")))).alias("p")).select("*", "p.*")
-    best = at.join(places, ["project_id", "_name", "kind", "prefix"]).groupBy("ref_id").agg(F.min(F.struct((-F.col("depth")).alias("d"), "target")).alias("b"))
+    n = n.join(asked, ["project_id", "_name"], "left_semi")
+    # a node answers under its own language and under any
+    spoken = F.array(F.lit("*"), F.coalesce("language", F.lit(""))) if languages else F.array(F.lit("*"))
+    n = n.select("id", "project_id", "_name", "kind", "file_path", F.explode(spoken).alias("_lang"))
+    if languages:
+        there = n.select("project_id", "_name", "_lang").distinct().withColumn("_there", F.lit(True))
+        r = r.withColumn("_lang", F.coalesce(_target_language(), F.lit("*"))).join(there, ["project_id", "_name", "_lang"], "left")
+        r = r.where(F.col("_there") | ~F.col("reference_kind").isin(*STRICT_LANGUAGE)).withColumn("_lang", F.when(F.col("_there"), F.col("_lang")).otherwise("*"))
+    else:
+        r = r.withColumn("_lang", F.lit("*"))
+    by = ["project_id", "_name", "_lang"]
+    counts = n.groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("c"))
+    places = n.select("id", *by, "kind", F.explode(_prefixes(F.col("file_path"))).alias("p"))
+    places = places.groupBy(*by, "kind", "p.prefix").agg(F.min("id").alias("target"))
+    wanted = r.select("ref_id", *by, F.explode(_preferred(F.col("reference_kind"))).alias("kind"), "file_path")
+    total = wanted.join(counts, [*by, "kind"]).groupBy("ref_id").agg(F.sum("c").alias("n"))
+    at = wanted.select("ref_id", *by, "kind", F.explode(_prefixes(F.coalesce("file_path", F.lit("")))).alias("p")).select("*", "p.*")
+    best = at.join(places, [*by, "kind", "prefix"]).groupBy("ref_id").agg(F.min(F.struct((-F.col("depth")).alias("d"), "target")).alias("b"))
     near = best.join(total, "ref_id").select("ref_id", F.col("b.target").alias("target"), F.when(F.col("n") == 1, hi).otherwise(lo).alias("c"))
     # nothing preferred: the only definition of the name, unless the reference is strict
-    loose = n.groupBy("project_id", "_name").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "kind")).alias("o")).where((F.col("m") == 1) & ~F.col("o.kind").isin(*D.LOOSE_BARRED))
-    rest = r.where(~F.col("reference_kind").isin(*D.STRICT_KINDS)).join(near.select("ref_id"), "ref_id", "left_anti").join(loose, ["project_id", "_name"])
+    loose = n.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "kind")).alias("o")).where((F.col("m") == 1) & ~F.col("o.kind").isin(*D.LOOSE_BARRED))
+    rest = r.where(~F.col("reference_kind").isin(*D.STRICT_KINDS)).join(near.select("ref_id"), "ref_id", "left_anti").join(loose, by)
     rest = rest.select("ref_id", F.col("o.id").alias("target"), F.lit(lo).alias("c"))
     return _out(near.unionByName(rest), F.col("c"), "fuzzy" if fold else "exact")
 
@@ -107,27 +119,6 @@ def _target_language() -> Column:
     return F.when(F.col("reference_kind") == "instantiates", own).otherwise(table[F.col("reference_kind")])
 
 
-def by_language(refs: DataFrame, nodes: DataFrame, fold: bool = False) -> DataFrame:
-    """:func:`by_locality` within the language that the kind of reference leads to.
-
-    Names without a definition in that language may bind to another one, unless the kind is
-    strict about it.
-    """
-    key = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
-    r = refs.withColumn("_want", _target_language()).withColumn("_n", key("reference_name"))
-    there = nodes.where(~F.col("kind").isin("import", "external")).select("project_id", key("name").alias("_n"), F.col("language").alias("_want")).distinct()
-    wanted = r.where(F.col("_want").isNotNull())
-    some = wanted.join(there, ["project_id", "_n", "_want"], "left_semi")
-    other = wanted.join(there, ["project_id", "_n", "_want"], "left_anti").where(~F.col("reference_kind").isin(*STRICT_LANGUAGE))
-    free = r.where(F.col("_want").isNull()).unionByName(other)
-    columns = refs.columns
-    out = by_locality(free.select(*columns), nodes, fold)
-    for language in ("python", "javascript"):
-        mine = some.where(F.col("_want") == language).select(*columns)
-        out = out.unionByName(by_locality(mine, nodes.where(F.col("language") == language), fold))
-    return out
-
-
 def _nearest(pairs: DataFrame, hi: float, lo: float, strategy: str) -> DataFrame:
     """Of scoped candidates ``(ref_id, reference_kind, r_path, id, kind, file_path)`` the
     preferred one in the nearest folder, or the sole loose one."""
@@ -359,7 +350,7 @@ def resolve(refs: DataFrame, candidates: DataFrame, nodes: DataFrame, mappings:
         # what a file can see bounds calls and routes; without mappings all names are visible
         ways += [(6, scoped_calls(plain, nodes, mappings)), (6, scoped_routes(plain, steer, nodes, mappings)), (8, via_imports(plain, mappings, nodes))]
         wide = plain.where(~F.col("reference_kind").isin("calls", "routes_to"))
-    ways += [(7, by_language(wide, nodes)), (9, by_language(wide, nodes, fold=True)), (11, conventions(plain, nodes))]
+    ways += [(7, by_locality(wide, nodes, languages=True)), (9, by_locality(wide, nodes, True, True)), (11, conventions(plain, nodes))]
     out = prefer([(p, keep(df)) for p, df in ways])
     return out.join(refs.select("ref_id", "from_node_id"), "ref_id").where(~F.col("target").eqNullSafe(F.col("from_node_id"))).select(*OUT)
 
