@@ -10,7 +10,7 @@ from .grammars import rank
 
 # What a cut may leave behind a text, besides blanks and dots.
 _SIGNS = "…�\x00"
-_NOTE = re.compile(r"(?:\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:snip|truncated|more)>)$", re.I)
+_NOTE = re.compile(r"(?:\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:cut|snip|truncated|more)>)$", re.I)
 TERMINATORS = ".!?。！？"
 _TOKEN = re.compile(r"(\s*)(?:([^\W\d_]*\d[^\W_]*)|([^\W\d_]+|_|[^\w\s]))", re.UNICODE)
 LINE = "\n"
@@ -123,12 +123,17 @@ def prefix_hashes(context: str) -> list[int]:
 
 
 _CODE = re.compile(
-    r"^\s*(?:def |class |async |import |from \S+ import|return\b|if .*[:{(]$|for .*[:{]$|while |try[:{ ]|except|else[:{ ]|elif |const |let |var |function\b|export |[})\]]+[;,]?$|@\w|//|/\*|\*|#|[\w.\[\]]+ = |[\w.]+\(.*\);?$|\"\"\"|logger|payload|rows)"
+    r"^\s*(?:def |class |async |import |from \S+ import|return\b|if .*[:{(]$|for .*[:{]$|while |try[:{ ]|except|else[:{ ]|elif |const |let |var |function\b|export |[})\]]+[;,]?$|@\w|[\w.\[\]]+ = |[\w.]+\(.*\);?$|\"\"\"|logger|payload|rows)"
 )
 
 
+_REMARK = re.compile(r"^\s*(?://|/\*|#)|^\s+\*")
+
+
 def looks_like_code(rows: list[str]) -> bool:
-    return len(rows) >= 2 and sum(bool(_CODE.match(x)) for x in rows) >= 0.5 * len(rows)
+    """At least half of the lines are code or remarks, and some are code."""
+    code = sum(bool(_CODE.match(x)) for x in rows)
+    return len(rows) >= 2 and code > 0 and code + sum(bool(_REMARK.match(x)) for x in rows) >= 0.5 * len(rows)
 
 
 def left_open(text: str) -> str | None:
@@ -169,7 +174,7 @@ def _open_code(text: str, rows: list[str]) -> str | None:
             said = str(e.msg)
             at = e.lineno or 0
             total = len(text.rstrip().split("\n"))
-            if "never closed" in said or "unterminated" in said or "EOF" in said or at >= total:
+            if "never closed" in said or "unterminated triple" in said or "EOF" in said or at >= total:
                 return "statement"
             return None
         except (ValueError, RecursionError, MemoryError):

@@ -12,7 +12,7 @@ Method: search for values that are strict prefixes of longer copies elsewhere, a
   and neither lines nor other texts end with them, the text was cut. Behind a full stop only an
   adjacent follower goes on (``version 4.`` of ``version 4.2``).
 
-Besides, a text that leaves a fence, bracket, quote, string, block or statement open is cut.
+Code that its grammar accepts as whole is judged by words only. Besides, a text that leaves a fence, bracket, quote, string, block or statement open is cut.
 Sign-offs, titles, list items and dots set on purpose end other texts and lines as well, so they
 have counts as ends.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .tails import TERMINATORS, body, contexts, left_open, lines, observe, prefix_hashes, tokens
+from .tails import FRAME, TERMINATORS, body, contexts, left_open, lines, looks_like_code, observe, prefix_hashes, tokens
 
 #: Contexts that a Python worker holds before it hands them on.
 HELD = 300_000
@@ -43,7 +43,7 @@ def _h(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_TAIL = "doc_id bigint, source string, body bigint, open string, stop boolean, word boolean, k3 bigint, k4 bigint, k2 bigint, k1 bigint, p2 bigint, p1 bigint"
+_TAIL = "doc_id bigint, source string, body bigint, open string, code boolean, title boolean, stop boolean, word boolean, k3 bigint, k4 bigint, k2 bigint, k1 bigint, p2 bigint, p1 bigint"
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,6 +68,8 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     source,
                     _h(text),
                     left_open(text),
+                    looks_like_code(rows),
+                    len(rows) == 1 and len(toks) < FRAME,
                     last in TERMINATORS,
                     word,
                     _h(keys[0]),
@@ -190,11 +192,17 @@ def _verdict() -> Column:
     # from the widest context to the narrowest, so that the narrowest decides
     for n, least in (("1", 20), ("2", 3), ("4", 3), ("3", 3)):
         f, e, t = own(n)
-        # behind a full stop only two contexts are narrow enough
+        # behind a full stop only two contexts are narrow enough; in a text of a few words, where
+        # the frame of the line is known to be rare, the wide ones need more
+        least = F.when(F.col("title"), 20).otherwise(least) if n in "12" else F.lit(least)
         enough = (f + e + t >= least) & (~F.col("stop") | F.lit(n in "23"))
         goes = (f >= least) & (e <= 0.02 * f) & (t <= 0.03 * f + F.when(f >= 20, 2).otherwise(1))
         stopped = (f >= least) & (e + t <= 0.05 * f)
         out = F.when(enough, F.when(F.when(F.col("stop"), stopped).otherwise(goes), F.lit("sequence"))).otherwise(out)
+    # code that is whole by its grammar ends a statement, whatever may follow its last name; a
+    # word that by itself often ends lines and texts is a sign-off
+    f, e, t = own("1")
+    out = F.when(~F.col("code") & (F.col("stop") | (e + t <= 0.3 * f + 2)), out)
     for n in ("1", "2"):
         f, e, t = own(n)
         p = F.coalesce(F.col(f"pre{n}"), F.lit(0))
@@ -212,7 +220,7 @@ def judge(docs: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", "source", "text")
     tails = scratch.keep(scratch.write(narrow.mapInPandas(_tails, _TAIL)))
     undecided = tails.where(F.col("open").isNull())
-    ending = ["stop", "word", "k3", "k4", "k2", "k1", "p2", "p1"]
+    ending = ["code", "title", "stop", "word", "k3", "k4", "k2", "k1", "p2", "p1"]
     endings = scratch.keep(scratch.write(undecided.select(*ending).distinct()))
     slots = endings.select(
         F.explode(F.array("k3", "k4", "k2", "k1")).alias("key"),
@@ -239,9 +247,9 @@ def judge(docs: DataFrame) -> DataFrame:
         judged = judged.join(longer.select(F.col("key").alias(f"p{n}"), F.col("p").alias(f"pre{n}")), f"p{n}", "left")
     cut = judged.withColumn("why", _verdict()).where(F.col("why").isNotNull()).select(*ending, "why")
     # the endings that were cut are rare by definition, so this join has no hot key
-    match = tails["k3"].eqNullSafe(cut["k3"]) & tails["k4"].eqNullSafe(cut["k4"]) & (tails["k1"] == cut["k1"]) & (tails["k2"] == cut["k2"])
+    match = (tails["code"] == cut["code"]) & (tails["title"] == cut["title"]) & tails["k3"].eqNullSafe(cut["k3"]) & tails["k4"].eqNullSafe(cut["k4"]) & (tails["k1"] == cut["k1"]) & (tails["k2"] == cut["k2"])
     copies = prefix_texts(narrow).withColumn("copy", F.lit(True))
-    out = tails.join(cut.select("k3", "k4", "k2", "k1", "why"), match, "left").select(tails["doc_id"], tails["source"], tails["body"], tails["open"], "why").join(copies, "body", "left")
+    out = tails.join(cut.select("code", "title", "k3", "k4", "k2", "k1", "why"), match, "left").select(tails["doc_id"], tails["source"], tails["body"], tails["open"], "why").join(copies, "body", "left")
     reason = F.when(F.col("open").isNotNull(), "open").when(F.col("why").isNotNull(), F.col("why")).when(F.col("copy"), "copy")
     return out.select("doc_id", "source", reason.alias("reason")).distinct()
 

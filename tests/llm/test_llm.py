@@ -361,4 +361,6 @@ def test_prefix_texts(spark):
 
 def test_tails():
     assert tails.body("a b … (more) \n") == "a b" and tails.body("I guess…") == "I guess"
+    assert tails.body("The `Batch.canc <cut>") == "The `Batch.canc"
+    assert tails.left_open("x = 'it\ndef f():\n    return 1\n") is None and tails.left_open("x = 1\ndef f():\n    \"\"\"open\n") == "statement"
     assert tails.left_open("see `a.b") == "quote" and tails.left_open("fine. :)") is None and tails.left_open("a (b)") is None
