@@ -12,7 +12,8 @@ from .grammars import rank
 _SIGNS = "…�\x00"
 _NOTE = re.compile(r"(?:\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:cut|snip|truncated|more)>)$", re.I)
 TERMINATORS = ".!?。！？"
-_TOKEN = re.compile(r"(\s*)(?:([^\W\d_]*\d[^\W_]*)|([^\W\d_]+|_|[^\w\s]))", re.UNICODE)
+# letters of other scripts stand beside numbers without a blank, so only Latin ones join a run
+_TOKEN = re.compile(r"(\s*)(?:([A-Za-z]*\d[A-Za-z\d]*)|([^\W\d_]+|[^\w\s]|\w))", re.UNICODE)
 LINE = "\n"
 
 
