@@ -142,21 +142,14 @@ def paths(links: DataFrame, separator: str = " > ") -> DataFrame:
     return state.select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path")
 
 
-def descendants(links: DataFrame) -> DataFrame:
-    """``(hierarchy, ancestor, node, distance)`` of every node below another, trees only.
+def _closure(scratch: Scratch, first: DataFrame, again: bool = False) -> DataFrame:
+    """All pairs above the links ``first(hierarchy, ancestor, node, distance)``, each once.
 
-    Doubling of the closure: pairs of distance up to ``d`` join the pairs of distance exactly
-    ``d``, which gives all pairs up to ``2d`` without a duplicate. Rings are excluded first.
+    Doubling: pairs of distance up to ``d`` join the pairs of distance exactly ``d``, which gives
+    all pairs up to ``2d`` without a duplicate. ``again``: ancestors may come again, around a
+    ring; each counts where it is met first, and no node is its own ancestor. Once a way up meets
+    an ancestor again it meets only such, so that a ring ends by itself.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "descendants")
-    trees = resolve(links)
-    first = (
-        _initial(links)
-        .where(F.col("up").isNotNull())
-        .join(trees.where("cyclic").select("hierarchy", "node"), ["hierarchy", "node"], "left_anti")
-        .select("hierarchy", F.col("up").alias("ancestor"), "node", F.lit(1).cast("long").alias("distance"))
-    )
     pairs = scratch.write(first)
     reach = 1
     while True:
@@ -167,6 +160,8 @@ def descendants(links: DataFrame) -> DataFrame:
             .join(pairs.select("hierarchy", F.col("node").alias("mid"), "ancestor", F.col("distance").alias("d2")), ["hierarchy", "mid"])
             .select("hierarchy", "ancestor", "node", (F.col("d2") + reach).alias("distance"))
         )
+        if again:
+            more = more.where(F.col("ancestor") != F.col("node")).join(pairs, ["hierarchy", "ancestor", "node"], "left_anti")
         added = scratch.write(more)
         if added.isEmpty():
             scratch.drop(added)
@@ -174,5 +169,30 @@ def descendants(links: DataFrame) -> DataFrame:
         pairs = scratch.replace(pairs, pairs.unionByName(added))
         scratch.drop(added)
         reach *= 2
-    scratch.keep(pairs)
-    return pairs
+    return scratch.keep(pairs)
+
+
+def _first(links: DataFrame, cyclic: DataFrame, how: str) -> DataFrame:
+    """The links whose child is (``left_semi``) or isn't (``left_anti``) one of ``cyclic``, as pairs."""
+    up = _initial(links).where(F.col("up").isNotNull() & (F.col("up") != F.col("node"))).join(cyclic, ["hierarchy", "node"], how)
+    return up.select("hierarchy", F.col("up").alias("ancestor"), "node", F.lit(1).cast("long").alias("distance"))
+
+
+def descendants(links: DataFrame) -> DataFrame:
+    """``(hierarchy, ancestor, node, distance)`` of every node below another, trees only.
+
+    Nodes on or below a ring are excluded first; :func:`all_descendants` has them too.
+    """
+    cyclic = resolve(links).where("cyclic").select("hierarchy", "node")
+    return _closure(Scratch(links.sparkSession, "descendants"), _first(links, cyclic, "left_anti"))
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """``(hierarchy, ancestor, node, distance)`` of every node below another, rings included.
+
+    The trees below a ring are listed like any other; the members of the ring are ancestors of
+    them and of one another, each at its least distance.
+    """
+    cyclic = resolve(links).where("cyclic").select("hierarchy", "node")
+    trees = _closure(Scratch(links.sparkSession, "descendants"), _first(links, cyclic, "left_anti"))
+    return trees.unionByName(_closure(Scratch(links.sparkSession, "rings"), _first(links, cyclic, "left_semi"), again=True))

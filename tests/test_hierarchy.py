@@ -58,3 +58,25 @@ def test_nulls_duplicates_and_nothing(spark):
     assert rows(H.descendants(links(spark, []))) == []
     odd = links(spark, [("a", "b"), ("a", "b"), (None, "b"), ("a", None)])
     assert rows(H.resolve(odd), "node", "root", "depth") == [("a", "a", 0), ("b", "a", 1)]
+
+
+def test_descendants_on_and_below_rings(spark):
+    rnd = random.Random(8)
+    below = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("s", "s"), ("s", "t")]
+    got = rows(H.all_descendants(links(spark, below)), "ancestor", "node", "distance")
+    assert ("z", "w", 1) in got and ("x", "w", 3) in got and ("y", "x", 1) in got and ("s", "t", 1) in got and ("s", "s", 1) not in got
+    ids = [f"n{i:03}" for i in range(61)]
+    ring = [(f"r{i:02}", f"r{(i + 1) % 21:02}") for i in range(21)] + [("r03", "n000")]
+    for pairs in (below, ring, [(rnd.choice(ids), c) for c in ids if rnd.random() < 0.9] + ring):
+        up = {}
+        for p, c in pairs:
+            up[c] = min(p, up.get(c, p))
+        want = []
+        for x in up:
+            at, seen = up[x], [x]
+            while at is not None and at not in seen:
+                want.append((at, x, len(seen)))
+                seen.append(at)
+                at = up.get(at)
+        assert rows(H.all_descendants(links(spark, pairs)), "ancestor", "node", "distance") == sorted(want, key=repr)
+    assert rows(H.all_descendants(links(spark, []))) == []
