@@ -2,9 +2,10 @@
 
 Method: search for values that are strict prefixes of longer copies elsewhere, at three sizes.
 
-* *Texts.* All bodies (without blanks and marks of a cut at the end) are sorted by range; one
-  that is a strict prefix of another is a prefix of its successor, which is one comparison per
-  text and no pairs. It counts where the longer copy goes on within the word or the sentence.
+* *Texts.* All bodies (without blanks and marks of a cut at the end) are sorted by range; those
+  that are strict prefixes of a text stand before it and are kept as a stack, over the bounds of
+  ranges as well. A prefix counts where a longer copy goes on within the word or the sentence; where
+  that is open (before a name, number or quotation), if no copy shows a whole title or sentence.
 * *Words.* The last word of a text is looked up among the hashed beginnings of all longer words
   that follow the same token anywhere: a fragment that is never a word of its own was cut.
 * *Sequences.* The last tokens of a text (after two others, in the frame of its line, after one,
@@ -118,37 +119,69 @@ def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "p": pd.Series(counts, dtype="int64")})
 
 
-_EDGE = "pid int, first boolean, last boolean, body bigint, head string, hit boolean"
+#: Evidence of a continuation: within the word or sentence, perhaps within it, behind a whole title or sentence.
+STRONG, WEAK, AGAINST = 1, 2, 4
+#: A line from this length on may have been wrapped.
+WRAPPED = 40
+_EDGE = "pid int, first boolean, last boolean, body bigint, text string, kind int"
 
 
-def _goes_on(short: str, longer: str) -> bool:
-    """Whether ``longer`` continues ``short`` within the word or the sentence."""
+def _goes_on(short: str, longer: str) -> int:
+    """How ``longer`` continues ``short``: ``STRONG``, ``WEAK``, ``AGAINST``, or 0 for no sign of either.
+
+    Before a name, a number, a quotation or a wrapped line a sentence may go on or a new one begin.
+    """
     if len(longer) <= len(short) or not longer.startswith(short):
-        return False
+        return 0
     a, rest = short[-1:], longer[len(short) :]
     if a.isalnum() and rest[0].isalnum():
-        return True
+        return STRONG
+    if a in TERMINATORS:
+        return AGAINST
     follower = rest.lstrip(" \t")
-    return a not in TERMINATORS and follower[:1].islower()
+    title = "\n" not in short and len(tokens(short)) < FRAME
+    if follower[:1].islower():
+        # what a body follows in another text is a title, and a name in lower case may begin a sentence
+        return WEAK if title else STRONG
+    if follower[:1] in ("\r", "\n"):
+        wrapped = follower.removeprefix("\r").removeprefix("\n")
+        if wrapped[:1] in ("\r", "\n"):
+            return AGAINST
+        last = short[short.rfind("\n") + 1 :]
+        return WEAK if wrapped[:1].islower() and len(last) >= WRAPPED and not looks_like_code(lines(short)) else 0
+    # behind a smiley or closing sign, and behind a title in its line, a sentence begins
+    if follower[:1] in TERMINATORS + "…" or not any(c.isalnum() for c in follower) or not (a.isalnum() or a in ",;") or (title and follower[:1].isupper()):
+        return 0
+    return WEAK
 
 
 def _sorted_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compares each text of a sorted partition with its successor; ends are left to the caller."""
-    before: tuple[int, int, str] | None = None
-    first = True
+    """Compares each text of a sorted partition with all that are prefixes of it.
+
+    These are a stack, each a prefix of the next. What is on it at the end is left to the caller,
+    who may have to compare it with texts of later partitions, so that every text comes out too.
+    """
+    stack: list[list] = []  # body, text, kinds
+    pid, first = None, True
     cols = [x.split()[0] for x in _EDGE.split(", ")]
     for pdf in batches:
         out = []
         for pid, h, text in zip(pdf["pid"], pdf["body"], pdf["text"]):
-            if first:
-                out.append((pid, True, False, h, text, False))
-                first = False
-            elif before and before[2] != text and _goes_on(before[2], text):
-                out.append((pid, False, False, before[1], None, True))
-            before = (pid, h, text)
+            while stack and not text.startswith(stack[-1][1]):
+                done = stack.pop()
+                if done[2]:
+                    out.append((pid, False, False, done[0], None, done[2]))
+            if stack and stack[-1][1] == text:
+                continue
+            for x in stack:
+                if not x[2] & STRONG:
+                    x[2] |= _goes_on(x[1], text)
+            stack.append([h, text, 0])
+            out.append((pid, first, False, h, text, 0))
+            first = False
         yield pd.DataFrame(out, columns=cols)
-    if before:
-        yield pd.DataFrame([(before[0], False, True, before[1], before[2], False)], columns=cols)
+    if stack:
+        yield pd.DataFrame([(pid, False, True, h, text, kind) for h, text, kind in stack], columns=cols)
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,27 +191,44 @@ def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"body": pd.Series([_h(t) for t in texts], dtype="int64"), "text": texts})
 
 
-def _pairs_of_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The last text of each partition against the first of the next one that has any."""
-    firsts = pdf[pdf["first"]].sort_values("pid")
-    lasts = pdf[pdf["last"]].sort_values("pid")
+def _carried(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The texts of earlier partitions that the first text of a partition starts with."""
+    stacks: dict[int, list[tuple[int, str]]] = {}
+    for pid, h, text in pdf.loc[pdf["last"], ["pid", "body", "text"]].itertuples(index=False):
+        stacks.setdefault(pid, []).append((h, text))
+    carried: list[tuple[int, str]] = []
     out = []
-    for pid, h, text in zip(lasts["pid"], lasts["body"], lasts["head"]):
-        after = firsts[firsts["pid"] > pid]
-        if len(after) and _goes_on(text, after["head"].iloc[0]):
-            out.append(h)
-    return pd.DataFrame({"body": pd.Series(out, dtype="int64")})
+    for pid, text in pdf.loc[pdf["first"], ["pid", "text"]].sort_values("pid").itertuples(index=False):
+        carried = [x for x in carried if text.startswith(x[1])]
+        out += [(pid, h, short) for h, short in carried]
+        own = sorted(stacks[pid], key=lambda x: len(x[1]))
+        carried = [x for x in carried if own[-1][1].startswith(x[1])] + own
+    return pd.DataFrame(out, columns=["pid", "body", "short"]).astype({"pid": "int32", "body": "int64"})
+
+
+def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        kinds = [_goes_on(a, b) for a, b in zip(pdf["short"], pdf["text"])]
+        yield pd.DataFrame({"body": pdf["body"], "kind": pd.Series(kinds, dtype="int32")})
 
 
 def prefix_texts(docs: DataFrame) -> DataFrame:
-    """``body`` hashes of the texts that a longer text elsewhere continues mid-word or mid-sentence."""
+    """``body`` hashes of the texts that a longer text elsewhere continues mid-word or mid-sentence.
+
+    All longer texts count: one that goes on within the sentence decides, one that perhaps does
+    only if none has a whole title or sentence before it.
+    """
     texts = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(_bodies, "body bigint, text string")
-    ordered = texts.repartitionByRange("text").sortWithinPartitions("text").withColumn("pid", F.spark_partition_id())
     found = Scratch(docs.sparkSession, "prefixes")
+    ordered = texts.repartitionByRange("text").sortWithinPartitions("text").withColumn("pid", F.spark_partition_id())
     rows = found.keep(found.write(ordered.mapInPandas(_sorted_prefixes, _EDGE)))
-    # two rows per partition: as few as there are partitions
-    edges = rows.where("first or last").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_pairs_of_edges, "body bigint")
-    return rows.where("hit").select("body").unionByName(edges).distinct()
+    # a row per partition and text of its last chain of prefixes
+    edges = rows.where("first or last").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_carried, "pid int, body bigint, short string")
+    edges = found.keep(found.write(edges))
+    over = rows.where("text is not null and not last").select("pid", "text").join(edges, "pid").where(F.col("text").startswith(F.col("short"))).mapInPandas(_kinds, "body bigint, kind int")
+    kinds = rows.where("kind > 0").select("body", "kind").unionByName(over).groupBy("body").agg(F.bit_or("kind").alias("kind"))
+    sure = F.col("kind").bitwiseAND(STRONG) > 0
+    return kinds.where(sure | (F.col("kind").bitwiseAND(WEAK | AGAINST) == WEAK)).select("body")
 
 
 def _verdict() -> Column:

@@ -359,6 +359,28 @@ def test_prefix_texts(spark):
     assert hashes["abc def ghi"] not in got and hashes["middle"] not in got
 
 
+def test_prefix_texts_beyond_the_successor(spark):
+    deep = ["The walker of " + "x y " * i + "keeps" for i in range(3)]
+    cut = ["abc", "La recherche de", "The total of all open orders is", "Die Prüfung der alten Daten nutzt die", "chain", "chain of", "lone"]
+    more = ["abc\nnext", "abc def", "La recherche de `A.b` perd 8 noms.", "The total of all open orders is 42 today.", "Die Prüfung der alten Daten nutzt die Tabelle.", "chain of all", "lone"] + [f"lone Z{i:03} filler" for i in range(400)] + ["lone zebra"]
+    whole = ["Add index", "Add index on ids", "Sum up", "Done.", "Done. :)"]
+    after = ["Add index\n\nThis adds one.", "Add index on ids One of 3 is enough.", "Sum up :)", "Sum up\n\nIt is `a`.", "Sum up `a`", "Done. More", "Done. :) More", "Fine, I guess", "Fine, I guess… More"]
+    texts = cut + more + deep + whole + after
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    hashes = {truncated._h(t): t for t in texts}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the ranges are merged into one
+        for n in ("1", "7"):  # "lone" and its only telling copy are in different ranges
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {hashes[r[0]] for r in rows(truncated.prefix_texts(df))}
+            assert got == set(cut)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_tails():
     assert tails.body("a b … (more) \n") == "a b" and tails.body("I guess…") == "I guess"
     assert tails.body("The `Batch.canc <cut>") == "The `Batch.canc"
