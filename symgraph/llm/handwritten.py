@@ -80,6 +80,15 @@ _MIGRATION = re.compile(r"^\d{3,}_\w+\.py$")
 _COMMENT = re.compile(r"^(?:#!?|//+!?|/\*+!?|\*+/?|<!--|\{#|--|;)")
 _LICENCE = re.compile(r"@licen[cs]e|\blicen[cs]ed?\b|\b(?:mit|bsd|isc|apache|l?gpl|mpl)\b|\(c\)|copyright", re.I)
 _RELEASE = re.compile(r"(?:\bv?|/)\d+\.\d+(?:\.\d+)?\b")
+# a licence by name, and a name with its release at the beginning of a line
+_TERMS = re.compile(r"@licen[cs]e|\blicen[cs]ed? under\b|\blicen[cs]es?:|\breleased under\b|\b(?:mit|bsd|isc|apache|l?gpl|mpl)\b", re.I)
+_NAMED = re.compile(r"^(?:@version\s+v?|(?:@(?:name|module|preserve)\s+)?(?!(?:version|python|node|requires?|since|needs)\b)[^\W\d][\w.@/+-]*(?: [\w.-]+){0,4}?[ @/-]v?)\d+\.\d+(?:\.\d+)*\b", re.I)
+_BLOCK = re.compile(r"/\*|<!--|[rRuU]?(?:\"\"\"|''')|\{%\s*comment\b[^%]*%\}")
+_QUOTES = ('"""', "'''")
+_CLOSE = {"/*": re.compile(r"\*/"), "<!--": re.compile("-->"), '"""': re.compile('"""'), "'''": re.compile("'''")}
+_END = {"/*": "*/", "<!--": "-->"}
+_OF_FILE = re.compile(r"@(?:generated|file|fileoverview|overview|licen[cs]e|preserve)\b|\bthis (?:file|module|code|script) (?:is|was|has been)\b", re.I)
+_ORDER = re.compile(r"\b(?:do not|don't) (?:edit|modify)(?:\W*$|\W+(?:by hand|manually|this|directly)\b|[.!;])", re.I)
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|\b\d[\w.]*')
 _WORD = re.compile(r"[^\W\d]\w*")
 _DATA_URI = re.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]+")
@@ -123,33 +132,88 @@ def _is_notice(line: str) -> bool:
     return notice
 
 
-def _outer_comments(lines: list[str]) -> tuple[list[str], list[str]]:
-    """The comment lines before the first and after the last line of code."""
-    head: list[str] = []
-    for x in lines:
-        s = x.strip()
+def _blocks(lines: list[str], ext: str) -> tuple[list[tuple[str, list[str]]], int]:
+    """The comments before the first line of code as ``(opening, lines)``, and where they end.
+
+    A block goes on until it is closed; line comments below one another are one block. A ``/**``
+    comment right above code describes that code, not the file, unless it says otherwise.
+    """
+    out: list[tuple[str, list[str]]] = []
+    i = 0
+    while i < len(lines):
+        s = lines[i].strip()
         if not s:
+            i += 1
+            continue
+        m = _BLOCK.match(s)
+        opening = m.group().lstrip("rRuU") if m and (ext in ("py", "pyi") or m.group()[-1] not in "\"'") else ""
+        if not opening:
+            if not _COMMENT.match(s):
+                break
+            start = i
+            while i < len(lines) and _COMMENT.match(x := lines[i].strip()) and not _BLOCK.match(x):
+                i += 1
+            out.append(("", [x.strip() for x in lines[start:i]]))
             continue
-        if not _COMMENT.match(s) or s.startswith("/**") and s == "/**":
+        close = _CLOSE.get(opening) or re.compile(r"\{%\s*endcomment\b.*?%\}")
+        block, end, at = [], None, m.end()
+        for j in range(i, len(lines)):
+            line = lines[j].strip()
+            block.append(line)
+            end = close.search(line, at)
+            at = 0
+            if end:
+                break
+        if not end:
             break
-        head.append(s)
+        code = block[-1][end.end() :].strip()
+        after = lines[j + 1].strip() if j + 1 < len(lines) else ""
+        if block[0] == "/**" and (code or after) and not (after and _COMMENT.match(after)) and not any(map(_OF_FILE.search, block)):
+            break
+        out.append((opening, block))
+        i = j + 1
+        if code and not _COMMENT.match(code):
+            break
+    return out, i
+
+
+def _foot(lines: list[str]) -> list[str]:
+    """The comment lines after the last line of code."""
     foot: list[str] = []
-    for x in reversed(lines[len(head) :]):
+    for x in reversed(lines):
         s = x.strip()
         if not s:
             continue
         if not _COMMENT.match(s):
             break
         foot.append(s)
-    return head, foot
+    return foot
 
 
-def _is_banner(head: list[str]) -> bool:
-    """A third-party banner: in the first comment a release number and a licence."""
-    for line in head[:2]:
+def _is_noticed(block: tuple[str, list[str]]) -> bool:
+    """Whether a comment is a notice. A docstring may speak of generated things, so there it must begin like one."""
+    opening, lines = block
+    if opening not in _QUOTES:
+        return any(map(_is_notice, lines))
+    bare = [x.strip().strip("\"'").strip() for x in lines]
+    return any(_is_notice(x) and (_OF_FILE.search(x) or _automaton_start(x) or _ORDER.search(x)) for x in bare)
+
+
+def _automaton_start(line: str) -> bool:
+    text = _bare(line).lower()
+    return text.startswith(NOTICES) or text.startswith(OPENINGS)
+
+
+def _is_banner(block: list[str]) -> bool:
+    """A third-party banner: in the first comment a release number and a licence.
+
+    On one of its first two lines, or a name with its release on one and a licence on another; a
+    copyright alone or the number of the licence itself isn't enough there.
+    """
+    for line in block[:2]:
         if _LICENCE.search(line) and _RELEASE.search(line):
             return True
-    return False
+    return any(_TERMS.search(x) for x in block) and any(_NAMED.search(_bare(x)) and not _TERMS.search(x) for x in block)
 
 
 def _is_minified(ext: str, text: str, lines: list[str]) -> bool:
@@ -176,6 +240,10 @@ def _is_data(ext: str, text: str) -> bool:
 def fingerprint(text: str) -> int | None:
     """Of the text without its banner, line ends and outer blanks; None if it is short."""
     lines = [x.rstrip() for x in text.split("\n")]
+    blocks, _ = _blocks(lines, "")
+    if blocks and len(blocks[0][1]) > 1 and blocks[0][0] and _is_banner(blocks[0][1]):
+        whole = next(i for i, x in enumerate(lines) if x) + len(blocks[0][1])
+        lines[:whole] = [lines[whole - 1].partition(_END.get(blocks[0][0], "\0"))[2].strip()]
     while lines and (not lines[0] or (_COMMENT.match(lines[0]) and _is_banner([lines[0]]))):
         lines.pop(0)
     body = "\n".join(lines).strip()
@@ -215,10 +283,10 @@ def verdict(path: str, content: str | None) -> tuple[str | None, int | None]:
         return reason, mark
     lines = text.split("\n")
     ext = name.rsplit(".", 1)[-1].lower()
-    head, foot = _outer_comments(lines)
-    if any(map(_is_notice, head)) or any(map(_is_notice, foot)):
+    head, end = _blocks(lines, ext)
+    if any(map(_is_noticed, head)) or any(map(_is_notice, _foot(lines[end:]))):
         return "notice", mark
-    if _is_banner(head):
+    if head and head[0][0] not in _QUOTES and _is_banner(head[0][1]):
         return "banner", mark
     if _is_data(ext, body):
         return "data", mark

@@ -58,6 +58,33 @@ def test_handwritten(path, text, reason):
     assert handwritten.verdict(path, text)[0] == reason
 
 
+@pytest.mark.parametrize(
+    "path,text,reason",
+    [
+        ("a/x.js", "/**\n * @generated\n */\nvar a = 1;\n", "notice"),
+        ("a/x.css", "/**\n * Styles of the site.\n * Do not edit, compiled from scss.\n */\n\n.a { b: c }\n", "notice"),
+        ("a/x.js", "/*\n  Automatically generated by w.\n*/\nf();\n", "notice"),
+        ("a/x.py", '"""Client.\n\nThis file was automatically generated by toolx.\n"""\n' + CODE, "notice"),
+        ("a/x.py", "#!/usr/bin/env python\n'''Autogenerated by Thrift. DO NOT EDIT.'''\n" + CODE, "notice"),
+        ("a/x.html", "<!--\n  Auto-generated file\n-->\n<p>a</p>\n", "notice"),
+        ("a/x.html", "{% comment %}\n@generated\n{% endcomment %}\n<p>a</p>\n", "notice"),
+        ("a/x.js", "/*!\n * jQuery v3.6.0\n * Released under the MIT license\n */\nf();\n", "banner"),
+        ("a/x.js", "/**\n * Formats automatically generated rows.\n */\nfunction f() {}\n", None),
+        ("a/x.py", '"""Reads automatically generated reports. Do not edit rows in a loop."""\n' + CODE, None),
+        ("a/x.py", CODE + '"""\n@generated\n"""\n' + CODE, None),
+        ("a/x.js", "/*\n * Copyright (c) 2023 the crew.\n * Orders 1.2\n */\nf();\n", None),
+        ("a/x.js", "/*\n * Needs node 18.2\n * Licensed under the Apache License\n */\nf();\n", None),
+    ],
+)
+def test_notices_in_whole_headers(path, text, reason):
+    assert handwritten.verdict(path, text)[0] == reason
+
+
+def test_copies_under_long_banners_have_one_fingerprint():
+    banner = "/*!\n * jQuery v3.6.0\n * Released under the MIT license\n */\n"
+    assert handwritten.fingerprint(banner + CODE) == handwritten.fingerprint(CODE) is not None
+
+
 def test_copies_and_odd_rows(spark):
     body = "function load(a) {\n  return a.map((x) => x + 1).filter(Boolean);\n}\n// a comment of some length here\n"
     s = "project_id string, file_path string, content string, reason string, mark int"
