@@ -230,6 +230,14 @@ def htmldjango(text: str) -> None:
         for lang in rank(text):
             if lang != "htmldjango" and _parses(lang, text):
                 raise ValueError(f"text in {lang}")
+    # nearly any text is a template, so one that another grammar accepts as a whole is in that language
+    # if it has more of its telling tokens than of templates' outside of strings and comments
+    for lang in rank(text):
+        if lang == "htmldjango":
+            continue
+        signs = len(_SIGNS[lang].findall(text))
+        if signs and signs > len(_SIGNS["htmldjango"].findall(_LITERALS[lang].sub(" ", text))) and _parses(lang, text):
+            raise ValueError(f"text in {lang}")
 
 
 PARSERS = {"python": python, "javascript": javascript, "css": css, "htmldjango": htmldjango}
@@ -252,6 +260,14 @@ _SIGNS = {
 }
 
 
+_PLAIN = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+_LITERALS = {
+    "python": re.compile(r'""".*?"""|\'\'\'.*?\'\'\'|' + _PLAIN + r"|#[^\n]*", re.S),
+    "javascript": re.compile(r"/\*.*?\*/|//[^\n]*|`(?:[^`\\]|\\.)*`|" + _PLAIN, re.S),
+    "css": re.compile(r"/\*.*?\*/|" + _PLAIN, re.S),
+}
+
+
 def rank(text: str) -> list[str]:
     """The languages by how many of their telling tokens the text has."""
     n = {k: len(p.findall(text)) for k, p in _SIGNS.items()}

@@ -236,6 +236,25 @@ def test_wrong_extensions():
     assert grammars.diagnose("python", "")[0] is None and grammars.diagnose("css", None)[0] is None
 
 
+@pytest.mark.parametrize(
+    "text,actual",
+    [
+        ("# <auto-generated> by w </auto-generated>\nimport logging\n\n\ndef f(x):\n    return None\n", "python"),
+        ("import logging\n\nROWS = ['<li>a</li>', '<li>b</li>', '<b>c</b>']\n", "python"),
+        ("def f(a):\n    return f'{{a}} {a}'\n", "python"),
+        ("function f(a) {\n  return `<b>{{ ${a} }}</b>`;\n}\n", "javascript"),
+        ("/* <li>a</li> */\n.a {\n  color: red;\n}\n", "css"),
+        ("{{ a }}\n", None),
+        ("<p>import logging</p>\n<script>\nconst a = 1;\nf(null);\n</script>\n", None),
+        ("<style>\n.a {\n  color: red;\n  margin: 0;\n  top: 0;\n}\n</style>\n", None),
+        ("{% load x %}\nimport logging\nself None\n", None),
+    ],
+)
+def test_other_languages_with_marks_of_templates(text, actual):
+    error, other = grammars.diagnose("htmldjango", text)
+    assert other == actual and (error is None) is (actual is None)
+
+
 SCRIPT = ["a = b ? c : d;", "if (a) { b(); } else c;", "for (const x of y) { z(x); }", "const f = async (a, {b, c: [d]}) => { await g(a); };", "class A extends B { m() { return `t${1}`; } }", "x = /re/g.test(s) / 2;", "switch (a) { case 1: break; default: c(); }", "try { a(); } catch { b(); }"]
 
 
