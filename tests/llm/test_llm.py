@@ -339,6 +339,24 @@ def test_fill_is_the_best(items, budget):
     assert sum(n * k for n, k in taken.items()) == max(r for r in reach if r <= budget)
 
 
+@pytest.mark.parametrize(
+    "lengths,counts,budget",
+    [([9000, 9001], [1, 1], 10_000), ([5000, 6000], [2, 1], 10_000), ([5000], [3], 14_999), ([3, 7000, 50_000], [1, 40, 9], 300_000), ([4100, 9999], [400, 300], 1_000_000)],
+)
+def test_long_documents_fill_the_budget(lengths, counts, budget):
+    passes, take = mixing.plan_source(lengths, counts, budget, 1)
+    assert passes == 0 and all(k <= c for k, c in zip(take, counts))
+    best = max(a * lengths[-1] + b for a in range(counts[-1] + 1) if (b := _rest(lengths[:-1], counts[:-1], budget - a * lengths[-1])) is not None)
+    assert sum(n * k for n, k in zip(lengths, take)) == best
+
+
+def _rest(lengths, counts, budget):
+    if budget < 0 or not lengths:
+        return None if budget < 0 else 0
+    tries = (k * lengths[-1] for k in range(min(counts[-1], budget // lengths[-1]) + 1))
+    return max(x + _rest(lengths[:-1], counts[:-1], budget - x) for x in tries)
+
+
 def test_mix(spark):
     rnd = random.Random(2)
     docs = [(i, s, rnd.randrange(1, 50)) for i, s in enumerate(["big"] * 300 + ["Small "] * 8 + ["other"] * 20)] + [(900, "big", 0), (901, None, 5), (902, "hot", 7)] + [(1000 + i, "hot", 7) for i in range(400)]
