@@ -20,12 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Growing, Scratch
 from ..sources.tables import latest_nodes, norm_kind
 
-#: How many levels of base classes are climbed.
-LEVELS = 16
-
 # Texts that stand where documentation should be (lower case, without punctuation).
 PLACEHOLDERS = frozenset(
     """
@@ -171,10 +168,10 @@ def documented(nodes: DataFrame) -> DataFrame:
     return _callables(nodes, "docstring", "name", "signature").mapInPandas(_flag, "id string, own boolean")
 
 
-def overridden(nodes: DataFrame, edges: DataFrame, levels: int = LEVELS) -> DataFrame:
+def overridden(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, base)``: the method that a method overrides, by link or by class hierarchy.
 
-    The nearest level wins; on a level the smallest id. Rings of classes end at ``levels``.
+    The nearest level wins; on a level the smallest id. No class is climbed to twice, so rings end.
     """
     scratch = Scratch(nodes.sparkSession, "overridden")
     e = edges.select(norm_kind(F.col("kind")).alias("kind"), "source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull())
@@ -186,11 +183,21 @@ def overridden(nodes: DataFrame, edges: DataFrame, levels: int = LEVELS) -> Data
     found = direct.withColumn("level", F.lit(0))
     # climb only where the way can lead further; the frontier shrinks with every level
     frontier = scratch.write(methods.join(direct.select("id"), "id", "left_anti").select("id", "name", "cls"))
-    for level in range(1, levels + 1):
-        climbed = scratch.replace(frontier, frontier.join(bases, "cls").select("id", "name", F.col("up").alias("cls")).distinct())
+    level, seen = 0, None
+    while True:
+        level += 1
+        up = frontier.join(bases, "cls").select("id", "name", F.col("up").alias("cls")).distinct()
+        if seen:
+            up = up.join(seen.df, ["id", "cls"], "left_anti").select("id", "name", "cls")
+        climbed = scratch.replace(frontier, up)
         if climbed.isEmpty():
             scratch.drop(climbed)
             break
+        been = climbed.select("id", "cls")
+        if seen:
+            seen.add(been)
+        else:
+            seen = Growing(scratch, been)
         hits = climbed.join(methods.select("cls", "name", F.col("id").alias("base")), ["cls", "name"]).where(F.col("id") != F.col("base"))
         hits = scratch.keep(scratch.write(hits.groupBy("id").agg(F.min("base").alias("base"))))
         found = found.unionByName(hits.withColumn("level", F.lit(level)))

@@ -156,6 +156,15 @@ def test_pairs_inherit(spark):
     assert docpairs.pairs(nodes.limit(0), edges.limit(0), content.limit(0)).count() == 0
 
 
+def test_bases_of_any_height(spark):
+    high = 20
+    N = "id string, kind string, name string, updated_at bigint"
+    nodes = spark.createDataFrame([("C0.go", "method", "go", 1), (f"C{high}.go", "method", "go", 1), ("R0.up", "method", "up", 1)], N)
+    links = [(f"C{i}", f"C{i + 1}", "extends") for i in range(high)] + [("R0", "R1", "extends"), ("R1", "R2", "extends"), ("R2", "R0", "extends")]
+    edges = spark.createDataFrame([*links, ("C0", "C0.go", "contains"), (f"C{high}", f"C{high}.go", "contains"), ("R0", "R0.up", "contains")], "source string, target string, kind string")
+    assert rows(docpairs.overridden(nodes, edges)) == [("C0.go", f"C{high}.go")]
+
+
 # --- p6 -----------------------------------------------------------------------------------------
 
 
