@@ -1,10 +1,11 @@
 """How often every distinct value or term occurs, kept up by signed deltas.
 
 Method: the counts are a persistent table ``(field, term, occurrences, records)`` in partitions
-by field and by a hash of the term. A run reads only added, changed and deleted records as rows
-of sign +1 or -1, reduces them to a change per term (partial aggregation before the shuffle) and
-merges those changes into the counts, where a term that is left in no record disappears. The
-first run is the same merge into an empty table, with every record an added one.
+by field and by a hash of the term. A later run is to read only added, changed and deleted records as rows
+of sign +1 or -1, to reduce them to a change per term (partial aggregation before the shuffle) and to
+merge those changes into the counts, where a term that is left in no record disappears. The
+first run is the same merge into an empty table, with every record an added one; the registered
+queries are always first runs, and the step from a record diff to signed rows is the caller's.
 
 Terms arrive as ``(field, record_id, term)``, one row per occurrence. A record counts once for a
 term it has several times. The number of records with at least one term in a field is kept under
@@ -52,7 +53,7 @@ def merge_counts(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
 
 
 def write_counts(counts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Persist counts partitioned by field and term bucket (a later run rewrites what it touches)."""
+    """Persist counts partitioned by field and term bucket; all that is at ``path`` is overwritten."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     counts.withColumn("bucket", bucket).repartition("field", "bucket").write.partitionBy("field", "bucket").mode("overwrite").parquet(path)
 
