@@ -17,6 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Tables by application that results still read.
+_KEPT: dict[str, list[str]] = {}
 
 
 def get_spark(app: str = "symgraph", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -62,6 +64,27 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(cls(path), True)
 
 
+def release(spark: SparkSession) -> int:
+    """Free the tables kept for results so far, once those are consumed; how many there were.
+
+    For long sessions and streams: a result whose plan still reads such a table is void afterwards.
+    """
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            release(spark)
+    except Exception:  # the session is gone, and on a local master its folder with it
+        pass
+
+
 class Scratch:
     """Tables written under the shared folder, each dropped when its successor stands.
 
@@ -69,8 +92,8 @@ class Scratch:
     ...     state = scratch.write(first)
     ...     state = scratch.replace(state, step(state))
 
-    ``keep`` hands the final table to the caller: it stays until the session ends, because the
-    caller's lazy plan still reads it.
+    ``keep`` hands the final table to the caller: it stays until :func:`release` or the end of
+    the session, because the caller's lazy plan still reads it.
     """
 
     def __init__(self, spark: SparkSession, name: str = "scratch") -> None:
@@ -103,17 +126,15 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.paths.pop(id(df), None)
         if path:
-            spark = self.spark
-
-            def clean() -> None:
-                try:
-                    remove(spark, path)
-                except Exception:  # the session is gone, and its folder with it
-                    pass
-
-            atexit.register(clean)
+            _KEPT.setdefault(self.spark.sparkContext.applicationId, []).append(path)
         return df
 
+    def folder(self, name: str) -> str:
+        """A path for a table of the caller's own, kept like a final table."""
+        path = f"{self.root}/{name}"
+        _KEPT.setdefault(self.spark.sparkContext.applicationId, []).append(path)
+        return path
+
     def __enter__(self) -> "Scratch":
         return self
 

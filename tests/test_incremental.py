@@ -67,6 +67,56 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert t.version() == 1 and t.snapshot().count() == 1
 
 
+@pytest.mark.parametrize("step", ["write", "rename"])
+def test_a_commit_that_dies_half_way(spark, tmp_path, monkeypatch, step):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.commit(add=spark.range(2))
+    if step == "write":  # a manifest that was created and never finished
+
+        def dies(self, body, *parts):
+            self.fs.mkdirs(self._at(*parts[:-1]))
+            self.fs.create(self._at(*parts[:-1], ".half.tmp"), False).close()
+            raise RuntimeError("driver lost")
+
+        monkeypatch.setattr(VersionedTable, "_put", dies)
+    else:
+
+        def dies(self, old, new):
+            raise RuntimeError("driver lost")
+
+        monkeypatch.setattr(VersionedTable, "_rename", dies)
+    with pytest.raises(RuntimeError):
+        t.commit(add=spark.range(5))
+    monkeypatch.undo()
+    assert t.version() == 1 and rows(t.snapshot()) == [(0,), (1,)]
+    assert t.commit(add=spark.range(7, 8)) == 2 and rows(t.snapshot()) == [(0,), (1,), (7,)]
+
+
+def test_merge_rewrites_only_what_changed(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    s = "k string, j string, v string"
+    t.merge(spark.createDataFrame([("a", None, "1"), ("b", "x", None), ("c", "x", "1"), ("d", "x", "1")], s), ["k", "j"], "v")
+    t.merge(spark.createDataFrame([("a", None, "1"), ("b", "x", "2"), ("c", "x", None), ("e", "x", "1")], s), ["k", "j"], "v")
+    assert rows(t.snapshot(), "k", "v") == [("a", "1"), ("b", "2"), ("c", None), ("e", "1")]
+    assert rows(t.diff(1, 2), "k", "v", "_delta") == sorted([("b", "2", 1), ("b", None, -1), ("c", "1", -1), ("c", None, 1), ("d", "1", -1), ("e", "1", 1)], key=repr)
+    t.merge(spark.createDataFrame([("e", "x", "9")], s), ["k", "j"], "v", full=False)
+    assert rows(t.diff(2, 3), "k", "v", "_delta") == [("e", "1", -1), ("e", "9", 1)]
+    assert rows(t.diff(1, 3), "k", "_delta") == sorted([("b", 1), ("b", -1), ("c", 1), ("c", -1), ("d", -1), ("e", 1)], key=repr)
+    # vectors hold the rows of the files they hide rows of, no others
+    hidden = t._vectors(t.files())
+    assert hidden.count() == 4 and {f for f, dv in t.files().items() if dv} == {r[0] for r in hidden.select("_file").distinct().collect()}
+
+
+def test_dropped_files_and_folders(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    df = spark.range(6).withColumn("b", (F.col("id") % 3).cast("int"))
+    t.commit(add=df, partition_by=["b"])
+    one = [f for f in t.files() if "/b=1/" in f]
+    t.commit(add=spark.range(100, 101).withColumn("b", F.lit(1)), drop=one, partition_by=["b"])
+    assert rows(t.snapshot()) == [(0,), (100,), (2,), (3,), (5,)]
+    assert rows(t.diff(1, 2)) == [(1, -1), (100, 1), (4, -1)]
+
+
 def test_each_record_once_through_crashes(spark, tmp_path):
     source, sink = (VersionedTable(spark, f"file://{tmp_path}/{n}") for n in ("in", "out"))
     work = lambda df: df.where("_delta = 1").select("id", (F.col("id") * 2).alias("double"))
