@@ -3,9 +3,10 @@
 Method: a value's *delimiter skeleton* masks every run of ordinary characters by one letter
 and keeps the characters that can matter (delimiters, blanks, quotes, brackets, ``@`` and
 backslash). Values have few distinct skeletons, so the splitting rule (token spans and how to
-undo escapes) is resolved once per distinct skeleton, and the rules join back to the rows.
-The rule table is joined without a hint: adaptive execution broadcasts it when its measured
-size is below the session's threshold and shuffles otherwise. The extraction itself is
+undo escapes) is resolved once per distinct skeleton and written; values that plainly hold no
+item (``[]`` is the most frequent of all) have none. The rules' size is then known: up to
+``BROADCAST`` bytes they are broadcast, and no value is shuffled; beyond that they are joined
+with the most frequent skeletons spread over ``SALTS`` parts. The extraction itself is
 positional (slices of the value's token array) and stays in the JVM.
 
 Defined results: a null, empty or blank value and a value of empty pieces give no row; an
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Characters that the skeleton keeps.
 SPECIAL = ",;|\n\r\t \"'()[]{}@\\"
 _CLASS = r",;|\n\r\t \"'()\[\]{}@\\"
@@ -28,6 +31,12 @@ _TOKEN = rf"[^{_CLASS}]+|[ \t]+|[{_CLASS}]"
 _RULE = "start array<int>, len array<int>, how array<string>"
 _PAIR = {"(": ")", "[": "]", "{": "}"}
 _SPLIT = ",;|\n\r"
+#: Blanks and delimiters alone, in a list's brackets or not: no item.
+_NOTHING = r"^(?:[\s,;|]*|\s*\[[\s,;|]*\]\s*)$"
+#: Bytes of rules (as written) up to which they are broadcast.
+BROADCAST = 8 << 20
+#: Parts that a skeleton's values are spread over where the rules are not broadcast.
+SALTS = 16
 
 
 def skeleton(col: Column) -> Column:
@@ -152,25 +161,34 @@ def _undo(text: Column, how: Column) -> Column:
     )
 
 
-def split_packed(df: DataFrame, key: str, value: str, at_sign: bool = False) -> DataFrame:
-    """``(key, pos, item)`` for every item packed in ``value``.
+def packed_items(df: DataFrame, key: str, value: str, at_sign: bool = False, source: DataFrame | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """``(key, items)``: the array of the items packed in ``value``; rows without an item are left out.
 
-    ``at_sign``: a leading ``@`` belongs to the notation, and a blank before one separates.
+    ``df``'s other columns stay. ``source``: a table with all of ``df``'s values, more do no harm,
+    from which to find the skeletons where computing ``df`` is dear.
     """
-    rows = (
-        df.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-        .where(F.col("_v").isNotNull() & (F.trim("_v") != ""))
-        .withColumn("skeleton", skeleton(F.col("_v")))
-    )
-    rules = rows.select("skeleton").distinct().mapInPandas(_resolve(at_sign), f"skeleton string, {_RULE}")
+    filled = lambda t: t.where(F.col(value).isNotNull() & ~F.col(value).rlike(_NOTHING))
+    others = [c for c in df.columns if c not in (key, value)]
+    rows = filled(df).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.struct(*others).alias("_others") if others else F.lit(0).alias("_others"), skeleton(F.col(value)).alias("skeleton"))
+    scratch = Scratch(df.sparkSession, "rules")
+    rules = filled(df if source is None else source).select(skeleton(F.col(value)).alias("skeleton")).distinct().mapInPandas(_resolve(at_sign), f"skeleton string, {_RULE}").where(F.size("start") > 0)
+    rules = scratch.keep(scratch.write(rules))
+    if scratch.size(rules) <= broadcast:
+        both = rows.join(F.broadcast(rules), "skeleton")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        both = rows.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")).join(rules.withColumn("_s", salts), ["skeleton", "_s"])
     tokens = F.regexp_extract_all(F.col("_v"), F.lit(f"({_TOKEN})"), F.lit(1))
-    return (
-        rows.join(rules.where(F.size("start") > 0), "skeleton")
-        .withColumn("_t", tokens)
-        .select("_k", "_t", F.posexplode(F.arrays_zip("start", "len", "how")).alias("_i", "_r"))
-        .select(
-            F.col("_k").alias(key),
-            (F.col("_i") + 1).alias("pos"),
-            _undo(F.array_join(F.slice("_t", F.col("_r.start"), F.col("_r.len")), ""), F.col("_r.how")).alias("item"),
-        )
+    item = lambda r: _undo(F.array_join(F.slice("_t", r["start"], r["len"]), ""), r["how"])
+    return both.withColumn("_t", tokens).select(
+        F.col("_k").alias(key), *[F.col("_others")[c].alias(c) for c in others], F.transform(F.arrays_zip("start", "len", "how"), item).alias("items")
     )
+
+
+def split_packed(df: DataFrame, key: str, value: str, at_sign: bool = False, source: DataFrame | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """``(key, pos, item)`` for every item packed in ``value``.
+
+    ``at_sign``: a leading ``@`` belongs to the notation, and a blank before one separates.
+    """
+    items = packed_items(df.select(key, value), key, value, at_sign, source, broadcast)
+    return items.select(key, F.posexplode("items").alias("pos", "item")).withColumn("pos", F.col("pos") + 1)

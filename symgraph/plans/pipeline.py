@@ -128,15 +128,17 @@ def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 def decorator_items(spark: SparkSession, d: str) -> DataFrame:
     """``(id, pos, item)`` of the version of each node that holds."""
-    return split_packed(latest_nodes(read(spark, d, "nodes"), "decorators"), "id", "decorators", at_sign=True)
+    nodes = read(spark, d, "nodes")
+    return split_packed(latest_nodes(nodes, "decorators"), "id", "decorators", at_sign=True, source=nodes)
 
 
 @registry.query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: quotes and brackets nest. Checked by round trips and a character-wise parser in the tests."""
-    refs = read(spark, d, "unresolved_refs").where(F.col("ref_id").isNotNull()).groupBy("ref_id").agg(F.max("candidates").alias("candidates"))
+    given = read(spark, d, "unresolved_refs")
+    refs = given.where(F.col("ref_id").isNotNull()).groupBy("ref_id").agg(F.max("candidates").alias("candidates"))
     both = [
         decorator_items(spark, d).select(F.lit("decorators").alias("field"), F.col("id").alias("record_id"), "pos", "item"),
-        split_packed(refs, "ref_id", "candidates").select(F.lit("candidates").alias("field"), F.col("ref_id").cast("string").alias("record_id"), "pos", "item"),
+        split_packed(refs, "ref_id", "candidates", source=given).select(F.lit("candidates").alias("field"), F.col("ref_id").cast("string").alias("record_id"), "pos", "item"),
     ]
     return both[0].unionByName(both[1])

@@ -100,6 +100,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/symgraph-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
+        self._sized: dict[int, str] = {}  # of kept tables
+        self._alive: dict[int, DataFrame] = {}
         self.step = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -108,10 +110,15 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._alive = getattr(self, "_alive", {})
         self._alive[id(out)] = out
         return out
 
+    def size(self, df: DataFrame) -> int:
+        """The bytes of a written table."""
+        path = self.paths.get(id(df)) or self._sized[id(df)]
+        fs, cls = filesystem(self.spark, path)
+        return fs.getContentSummary(cls(path)).getLength()
+
     def replace(self, old: DataFrame, df: DataFrame) -> DataFrame:
         out = self.write(df)
         self.drop(old)
@@ -126,6 +133,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.paths.pop(id(df), None)
         if path:
+            self._sized[id(df)] = path
             _KEPT.setdefault(self.spark.sparkContext.applicationId, []).append(path)
         return df
 

@@ -94,3 +94,13 @@ def test_against_a_character_wise_parser(s):
     toks = re.findall(r"[^,;|\n\r\t \"'()\[\]{}@\\]+|[ \t]+|[,;|\n\r\t \"'()\[\]{}@\\]", s)
     skeleton = "".join(t if t[0] in SPECIAL and not t.isspace() or t in "\n\r" else " " if t[0] in " \t" else "a" for t in toks)
     assert ["".join(toks[a - 1 : a - 1 + n]) for a, n, _ in rule(skeleton, False)] == plain(s)
+
+
+def test_rules_that_are_not_broadcast(spark):
+    values = ["a, b"] * 40 + ["[]"] * 40 + ['["x", "y(1, 2)"]', " [ , ] ", "[", "x"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    want = rows(split_packed(df, "id", "v"))
+    assert rows(split_packed(df, "id", "v", broadcast=0)) == want and len(want) == 84
+    plan = split_packed(df, "id", "v", broadcast=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "_s" in plan
+    assert rows(split_packed(df.where("id < 50"), "id", "v", source=df)) == [r for r in want if r[0] < 50]
