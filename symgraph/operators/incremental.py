@@ -276,6 +276,10 @@ class VersionedTable:
         if stored is None:
             return self.commit(add=rows.select(*keys, value), processed=processed, base=base)
         scratch = Scratch(self.spark, "merge")
+        if not full:  # only the stored rows of these keys meet them; a small change is broadcast by its measured size
+            rows = scratch.keep(scratch.write(rows.select(*keys, value)))
+            named = rows.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            stored = stored.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
         old = stored.select(*keys, F.struct("_file", "_row", F.col(value).alias("v")).alias("_o"))
         new = rows.select(*keys, F.struct(F.col(value).alias("v")).alias("_n"))
         both = old.unionByName(new, allowMissingColumns=True).groupBy(*keys).agg(F.max("_o").alias("_o"), F.max("_n").alias("_n"))
@@ -304,6 +308,13 @@ class VersionedTable:
         rel = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32}/.+)$", 1)
         return df.select("*", rel.alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
+    def read(self, names: list[str], version: int | None = None) -> DataFrame | None:
+        """The rows of some data files of a version."""
+        m = self.manifest(self.version() if version is None else version)
+        held = self._files(m["lists"])
+        rows = self._visible({f: held[f] for f in names}, m["schema"])
+        return rows if rows is None else rows.drop("_file", "_row")
+
     def _visible(self, files: dict[str, str | None], schema: dict) -> DataFrame | None:
         """The rows of ``files`` that their vectors don't hide, with positions.
 
