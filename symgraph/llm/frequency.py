@@ -1,48 +1,48 @@
 """How often every distinct value or term occurs, kept up by signed deltas.
 
-Method: the counts are a persistent table ``(field, term, occurrences, records)`` in partitions
-by field and by a hash of the term. A later run is to read only added, changed and deleted records as rows
-of sign +1 or -1, to reduce them to a change per term (partial aggregation before the shuffle) and to
-merge those changes into the counts, where a term that is left in no record disappears. The
-first run is the same merge into an empty table, with every record an added one; the registered
-queries are always first runs, and the step from a record diff to signed rows is the caller's.
-
-Terms arrive as ``(field, record_id, term)``, one row per occurrence. A record counts once for a
-term it has several times. The number of records with at least one term in a field is kept under
-a null term. Defined results: null terms are ignored; an empty table gives no counts.
+Method: the counts are a persistent :class:`VersionedTable` of ``(field, term, occurrences,
+records)`` in folders by a hash of both. A run takes the delta between the version of a source
+table that it counted last and the present one: added, changed and deleted records only, with
+signs. They are reduced to a change per term (partial aggregation before the shuffle), merged into
+the folders that these changes touch, and committed together with the source's version. A term
+that is left in no record disappears. A first run is the same with every record an added one.
+
+Records arrive as ``(field, sign, terms)`` with an array of all occurrences. A record counts once
+for a term it has several times. The number of records with at least one term in a field is kept
+under a null term. Defined results: null terms are ignored; an empty table gives no counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.incremental import VersionedTable
 from ..session import Scratch
 
-#: Partitions of the persistent counts by a hash of the term.
+#: Folders of the persistent counts by a hash of field and term.
 BUCKETS = 16
+_COUNTS = "field string, term string, occurrences bigint, records bigint"
 
 
 def term_deltas(signed: DataFrame) -> DataFrame:
-    """``(field, term, occurrences, records)`` changes from ``(field, record_id, term, sign)``.
+    """``(field, term, occurrences, records)`` changes from ``(field, sign, terms array)``.
 
-    Occurrences are first added up per record and term, so a term that a third of all rows hold
-    is already one row per task when it is shuffled by term.
+    A record gives a row per occurrence, one per distinct term and one for itself; a term that a
+    third of all records hold is one row per task before anything is shuffled.
     """
-    per_record = (
-        signed.where(F.col("term").isNotNull() & F.col("record_id").isNotNull())
-        .groupBy("field", "record_id", "term", "sign")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    per_term = per_record.groupBy("field", "term").agg(F.sum(F.col("sign") * F.col("n")).alias("occurrences"), F.sum("sign").alias("records"))
-    per_field = (
-        per_record.select("field", "record_id", "sign")
-        .distinct()
-        .groupBy("field")
-        .agg(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.sum("sign").alias("records"))
-        .select("field", "term", "occurrences", F.col("records").cast("long").alias("records"))
+    entry = lambda t, n, m: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"))
+    terms = F.filter("terms", lambda t: t.isNotNull())
+    own = F.array(entry(F.lit(None).cast("string"), 0, 1))
+    rows = signed.select("field", "sign", terms.alias("t")).where(F.size("t") > 0)
+    each = F.concat(F.transform("t", lambda t: entry(t, 1, 0)), F.transform(F.array_distinct("t"), lambda t: entry(t, 0, 1)), own)
+    return (
+        rows.select("field", "sign", F.explode(each).alias("e"))
+        .groupBy("field", F.col("e.term").alias("term"))
+        .agg(F.sum(F.col("sign") * F.col("e.n")).alias("occurrences"), F.sum(F.col("sign") * F.col("e.m")).alias("records"))
     )
-    return per_term.select("field", "term", F.col("occurrences").cast("long"), F.col("records").cast("long")).unionByName(per_field)
 
 
 def merge_counts(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
@@ -52,10 +52,42 @@ def merge_counts(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
     return merged.where((F.col("occurrences") != 0) | (F.col("records") != 0))
 
 
-def write_counts(counts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Persist counts partitioned by field and term bucket; all that is at ``path`` is overwritten."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    counts.withColumn("bucket", bucket).repartition("field", "bucket").write.partitionBy("field", "bucket").mode("overwrite").parquet(path)
+class TermCounts:
+    """Counts at ``path`` that follow source tables.
+
+    ``buckets`` is the number of folders: a run rewrites those in which a count changed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.buckets = spark, buckets
+        self.table = VersionedTable(spark, path)
+
+    def update(self, source: VersionedTable, name: str, terms: Callable[[DataFrame], DataFrame]) -> int:
+        """Count what changed in ``source``, known as ``name``, since the last run.
+
+        ``terms`` turns records with ``_delta`` into ``(field, sign, terms)``. The counts and the
+        version they stand for are one commit, so a run that dies neither skips nor repeats.
+        """
+        base = self.table.version()
+        done, until = int(self.table.manifest(base)["processed"].get(name, 0)), source.version()
+        delta = source.diff(done, until) if until != done else None
+        if delta is None:
+            return base if until == done else self.table.commit(processed={name: until}, base=base)
+        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
+        scratch = Scratch(self.spark, "deltas")
+        changes = scratch.write(term_deltas(terms(delta)).where("occurrences <> 0 OR records <> 0").withColumn("_b", bucket))
+        try:
+            touched = {r[0] for r in changes.select("_b").distinct().collect()}  # numbers of folders
+            old = [f for f in self.table.files(base) if int(f.split("/_b=")[1].split("/")[0]) in touched]
+            merged = merge_counts(self.table.read(old, base) if old else None, changes.drop("_b"))
+            return self.table.commit(add=merged.withColumn("_b", bucket).repartition("_b"), drop=old, processed={name: until}, base=base, partition_by=["_b"])
+        finally:
+            scratch.drop(changes)
+
+    def counts(self) -> DataFrame:
+        """``(field, term, occurrences, records)``; the null term of a field holds its records."""
+        rows = self.table.snapshot()
+        return self.spark.createDataFrame([], _COUNTS) if rows is None else rows
 
 
 def mark(counts: DataFrame, rare: int = 5, common: float = 0.1) -> DataFrame:
@@ -70,10 +102,3 @@ def mark(counts: DataFrame, rare: int = 5, common: float = 0.1) -> DataFrame:
     share = F.col("records") / F.col("_all")
     verdict = F.when(F.col("records") < rare, "rare").when(F.col("records") > common * F.col("_all"), "common")
     return terms.select("field", "term", "occurrences", "records", share.alias("share"), verdict.alias("mark"))
-
-
-def count_terms(terms: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Counts of ``terms`` as added records on top of ``previous``, as a written table."""
-    scratch = Scratch(terms.sparkSession, "counts")
-    merged = merge_counts(previous, term_deltas(terms.withColumn("sign", F.lit(1))))
-    return scratch.keep(scratch.write(merged))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.packed import split_packed
+from ..operators.incremental import VersionedTable
+from ..operators.packed import packed_items
 from ..plans.registry import Registry
 from ..session import Scratch
 from ..sources.tables import distinct_edges, latest_nodes, norm_kind, read
@@ -55,21 +56,40 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 # --- p6: terms -----------------------------------------------------------------------------
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """``(field, record_id, term)``, an occurrence per row."""
-    nodes = latest_nodes(read(spark, d, "nodes"), "kind", "decorators")
-    edges = distinct_edges(read(spark, d, "edges"), "kind")
-    return (
-        nodes.select(F.lit("nodes.kind").alias("field"), F.col("id").alias("record_id"), norm_kind(F.col("kind")).alias("term"))
-        .unionByName(edges.select(F.lit("edges.kind").alias("field"), F.col("edge_id").cast("string").alias("record_id"), norm_kind(F.col("kind")).alias("term")))
-        .unionByName(split_packed(nodes, "id", "decorators", at_sign=True).select(F.lit("nodes.decorators").alias("field"), F.col("id").alias("record_id"), F.col("item").alias("term")))
-    )
+def _counts(spark: SparkSession, d: str, decorators: bool = True) -> DataFrame:
+    """The counts after two runs: one over what was written before the last successful run of the
+    index began, with all links (they have no time), and one over the delta since.
+    """
+    nodes, runs = read(spark, d, "nodes"), read(spark, d, "index_runs")
+    since = runs.where("status = 'ok'").agg(F.max("started_at")).first()[0] or 0
+    scratch = Scratch(spark, "terms")
+    symbols, links = (VersionedTable(spark, scratch.folder(n)) for n in ("nodes", "edges"))
+    counts = frequency.TermCounts(spark, scratch.folder("counts"))
+    record = F.struct("kind", "decorators").alias("record")
+
+    def of_symbols(delta: DataFrame) -> DataFrame:
+        kinds = delta.select(F.lit("nodes.kind").alias("field"), F.col("_delta").alias("sign"), F.array(norm_kind(F.col("record.kind"))).alias("terms"))
+        if not decorators:
+            return kinds
+        packed = packed_items(delta.select("id", "_delta", F.col("record.decorators").alias("packed")), "id", "packed", at_sign=True)
+        return kinds.unionByName(packed.select(F.lit("nodes.decorators").alias("field"), F.col("_delta").alias("sign"), F.col("items").alias("terms")))
+
+    def of_links(delta: DataFrame) -> DataFrame:
+        return delta.select(F.lit("edges.kind").alias("field"), F.col("_delta").alias("sign"), F.array(norm_kind(F.col("kind"))).alias("terms"))
+
+    late = F.col("updated_at") >= since
+    symbols.commit(add=latest_nodes(nodes.where(late.isNull() | ~late), "kind", "decorators").select("id", record))
+    links.commit(add=distinct_edges(read(spark, d, "edges"), "kind"))
+    counts.update(symbols, "nodes", of_symbols)
+    counts.update(links, "edges", of_links)
+    symbols.merge(latest_nodes(nodes.where(late), "kind", "decorators").select("id", record), ["id"], "record", full=False)
+    counts.update(symbols, "nodes", of_symbols)
+    return counts.counts()
 
 
 @registry.query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    marks = frequency.mark(frequency.count_terms(_terms(spark, d)))
-    return marks.where(F.col("mark").isNotNull()).select("field", "term", "mark")
+    return frequency.mark(_counts(spark, d)).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
 _KIND_COUNTS = """
@@ -83,13 +103,12 @@ SELECT field, term, count(*) AS occurrences, count(*) AS records FROM t WHERE te
 @registry.query("p6_kind_counts", _KIND_COUNTS)
 def p6_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     """The counts of the two fields that SQL can express."""
-    counts = frequency.count_terms(_terms(spark, d).where(F.col("field") != "nodes.decorators"))
-    return counts.where(F.col("term").isNotNull())
+    return _counts(spark, d, decorators=False).where(F.col("term").isNotNull())
 
 
 @registry.query("p6_counts")
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.mark(frequency.count_terms(_terms(spark, d)))
+    return frequency.mark(_counts(spark, d))
 
 
 # --- p7: files that do not parse ---------------------------------------------------------------

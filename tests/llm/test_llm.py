@@ -168,32 +168,61 @@ def test_bases_of_any_height(spark):
 # --- p6 -----------------------------------------------------------------------------------------
 
 
-def test_counts_by_deltas_equal_a_recount(spark):
+def _signed(df):
     from pyspark.sql import functions as F
 
+    return df.select("field", F.col("_delta").alias("sign"), "terms")
+
+
+def test_counts_by_deltas_equal_a_recount(spark, tmp_path):
+    import os
+
+    from symgraph.operators.incremental import VersionedTable
+
     rnd = random.Random(5)
-    T = "field string, record_id string, term string"
+    T = "field string, id string, terms array<string>"
     before = {("f", f"r{i}"): [rnd.choice("abcde") for _ in range(rnd.randrange(4))] for i in range(60)}
-    after = {k: ([rnd.choice("abcdefg")] if rnd.random() < 0.3 else v) for k, v in before.items() if rnd.random() < 0.8} | {("f", f"s{i}"): ["z"] for i in range(3)}
-    flat = lambda d, keys=None: [(f, r, t) for (f, r), ts in d.items() for t in ts if keys is None or (f, r) in keys]
-    changed = {k for k in {*before, *after} if before.get(k) != after.get(k)}
-    first = frequency.merge_counts(None, frequency.term_deltas(spark.createDataFrame(flat(before), T).withColumn("sign", F.lit(1))))
-    minus = spark.createDataFrame(flat(before, changed), T).withColumn("sign", F.lit(-1))
-    plus = spark.createDataFrame(flat(after, changed), T).withColumn("sign", F.lit(1))
-    second = frequency.merge_counts(first, frequency.term_deltas(minus.unionByName(plus)))
-    again = frequency.merge_counts(None, frequency.term_deltas(spark.createDataFrame(flat(after), T).withColumn("sign", F.lit(1))))
-    assert rows(second) == rows(again) and second.count() > 3
-
-
-def test_marks(spark, tmp_path):
-    data = [("f", f"r{i}", "often") for i in range(30)] + [("f", f"r{i}", "rare") for i in range(4)] + [("f", f"r{i}", "mid") for i in range(5)] + [("f", f"x{i}", f"u{i % 9}") for i in range(45)] + [("g", "1", "both"), ("g", "1", "both"), ("f", "r1", None), ("f", None, "often")]
-    counts = frequency.count_terms(spark.createDataFrame(data, "field string, record_id string, term string"))
+    after = {k: ([rnd.choice("abcdefg")] if rnd.random() < 0.3 else v) for k, v in before.items() if rnd.random() < 0.8} | {("f", f"s{i}"): ["z", None, "z"] for i in range(3)}
+    table = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], T)
+    source = VersionedTable(spark, f"file://{tmp_path}/s")
+    counts = frequency.TermCounts(spark, f"file://{tmp_path}/c", buckets=5)
+    source.merge(table(before), ["field", "id"], "terms")
+    counts.update(source, "s", _signed)
+    first = rows(counts.counts())
+    source.merge(table(after), ["field", "id"], "terms")
+
+    def dies(df):
+        raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        counts.update(source, "s", dies)
+    assert rows(counts.counts()) == first
+    counts.update(source, "s", _signed)
+    assert counts.update(source, "s", _signed) == counts.table.version() == 2
+    again = {}
+    for (f, _), ts in after.items():
+        ts = [t for t in ts if t]
+        for t in {*ts, *([None] if ts else [])}:
+            n, m = again.get((f, t), (0, 0))
+            again[f, t] = (n + ts.count(t), m + 1)
+    assert {r[:2]: r[2:] for r in rows(counts.counts())} == again and len(again) > 3
+    # a change of one term leaves the other folders' files as they are
+    held = {os.path.basename(f) for f in counts.table.files()}
+    source.merge(spark.createDataFrame([("g", "new", ["only"])], T), ["field", "id"], "terms", full=False)
+    counts.update(source, "s", _signed)
+    now = {os.path.basename(f) for f in counts.table.files()}
+    assert len(held - now) <= 2 and held & now and ("g", "only", 1, 1) in rows(counts.counts())
+
+
+def test_marks(spark):
+    data = [("f", f"r{i}", ["often"]) for i in range(26)] + [("f", f"q{i}", ["often", "rare"]) for i in range(4)] + [("f", f"m{i}", ["mid"]) for i in range(5)] + [("f", f"x{i}", [f"u{i % 9}"]) for i in range(45)] + [("g", "1", ["both", "both"]), ("f", "n", [None]), ("f", "e", []), ("f", "n2", None)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(data, "field string, record_id string, terms array<string>").withColumn("sign", F.lit(1))
+    counts = frequency.merge_counts(None, frequency.term_deltas(df))
     got = {(r[0], r[1]): r[2:] for r in rows(frequency.mark(counts), "field", "term", "occurrences", "records", "mark")}
     assert got["f", "often"] == (30, 30, "common") and got["f", "rare"] == (4, 4, "rare") and got["f", "mid"][2] is None and got["g", "both"] == (2, 1, "rare")
-    frequency.write_counts(counts, f"file://{tmp_path}/counts")
-    back = spark.read.parquet(f"file://{tmp_path}/counts")
-    assert rows(back, "field", "term", "records") == rows(counts, "field", "term", "records")
-    assert frequency.mark(frequency.count_terms(spark.createDataFrame([], "field string, record_id string, term string"))).count() == 0
+    assert frequency.mark(frequency.term_deltas(df.limit(0))).count() == 0
 
 
 # --- p7 -----------------------------------------------------------------------------------------
