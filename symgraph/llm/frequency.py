@@ -15,6 +15,7 @@ under a null term. Defined results: null terms are ignored; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,25 +63,34 @@ class TermCounts:
         self.spark, self.buckets = spark, buckets
         self.table = VersionedTable(spark, path)
 
-    def update(self, source: VersionedTable, name: str, terms: Callable[[DataFrame], DataFrame]) -> int:
-        """Count what changed in ``source``, known as ``name``, since the last run.
+    def update(self, sources: dict[str, tuple[VersionedTable, Callable[[DataFrame], DataFrame]]]) -> int:
+        """Count what changed in the sources since the last run.
 
-        ``terms`` turns records with ``_delta`` into ``(field, sign, terms)``. The counts and the
-        version they stand for are one commit, so a run that dies neither skips nor repeats.
+        Of each source by name: the table, and what turns its records with ``_delta`` into
+        ``(field, sign, terms)``. The counts and the versions they stand for are one commit, so a
+        run that dies neither skips nor repeats.
         """
         base = self.table.version()
-        done, until = int(self.table.manifest(base)["processed"].get(name, 0)), source.version()
-        delta = source.diff(done, until) if until != done else None
-        if delta is None:
-            return base if until == done else self.table.commit(processed={name: until}, base=base)
+        processed = self.table.manifest(base)["processed"]
+        now = {name: source.version() for name, (source, _) in sources.items()}
+        if all(processed.get(name) == v for name, v in now.items()):
+            return base
+        deltas = [(terms, source.diff(int(processed.get(name, 0)), now[name])) for name, (source, terms) in sources.items()]
+        signed = [terms(delta) for terms, delta in deltas if delta is not None]
+        if not signed:
+            return self.table.commit(processed=now, base=base)
         bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
+        changes = term_deltas(reduce(DataFrame.unionByName, signed))
+        held = self.table.files(base)
+        if not held:
+            return self.table.commit(add=merge_counts(None, changes).withColumn("_b", bucket).repartition("_b"), processed=now, base=base, partition_by=["_b"])
         scratch = Scratch(self.spark, "deltas")
-        changes = scratch.write(term_deltas(terms(delta)).where("occurrences <> 0 OR records <> 0").withColumn("_b", bucket))
+        changes = scratch.write(changes.where("occurrences <> 0 OR records <> 0").withColumn("_b", bucket))
         try:
             touched = {r[0] for r in changes.select("_b").distinct().collect()}  # numbers of folders
-            old = [f for f in self.table.files(base) if int(f.split("/_b=")[1].split("/")[0]) in touched]
+            old = [f for f in held if int(f.split("/_b=")[1].split("/")[0]) in touched]
             merged = merge_counts(self.table.read(old, base) if old else None, changes.drop("_b"))
-            return self.table.commit(add=merged.withColumn("_b", bucket).repartition("_b"), drop=old, processed={name: until}, base=base, partition_by=["_b"])
+            return self.table.commit(add=merged.withColumn("_b", bucket).repartition("_b"), drop=old, processed=now, base=base, partition_by=["_b"])
         finally:
             scratch.drop(changes)
 

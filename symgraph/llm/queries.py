@@ -80,10 +80,10 @@ def _counts(spark: SparkSession, d: str, decorators: bool = True) -> DataFrame:
     late = F.col("updated_at") >= since
     symbols.commit(add=latest_nodes(nodes.where(late.isNull() | ~late), "kind", "decorators").select("id", record))
     links.commit(add=distinct_edges(read(spark, d, "edges"), "kind"))
-    counts.update(symbols, "nodes", of_symbols)
-    counts.update(links, "edges", of_links)
+    sources = {"nodes": (symbols, of_symbols), "edges": (links, of_links)}
+    counts.update(sources)
     symbols.merge(latest_nodes(nodes.where(late), "kind", "decorators").select("id", record), ["id"], "record", full=False)
-    counts.update(symbols, "nodes", of_symbols)
+    counts.update(sources)
     return counts.counts()
 
 

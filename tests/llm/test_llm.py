@@ -187,7 +187,7 @@ def test_counts_by_deltas_equal_a_recount(spark, tmp_path):
     source = VersionedTable(spark, f"file://{tmp_path}/s")
     counts = frequency.TermCounts(spark, f"file://{tmp_path}/c", buckets=5)
     source.merge(table(before), ["field", "id"], "terms")
-    counts.update(source, "s", _signed)
+    counts.update({"s": (source, _signed)})
     first = rows(counts.counts())
     source.merge(table(after), ["field", "id"], "terms")
 
@@ -195,10 +195,10 @@ def test_counts_by_deltas_equal_a_recount(spark, tmp_path):
         raise RuntimeError("executor lost")
 
     with pytest.raises(RuntimeError):
-        counts.update(source, "s", dies)
+        counts.update({"s": (source, dies)})
     assert rows(counts.counts()) == first
-    counts.update(source, "s", _signed)
-    assert counts.update(source, "s", _signed) == counts.table.version() == 2
+    counts.update({"s": (source, _signed)})
+    assert counts.update({"s": (source, _signed)}) == counts.table.version() == 2
     again = {}
     for (f, _), ts in after.items():
         ts = [t for t in ts if t]
@@ -209,7 +209,7 @@ def test_counts_by_deltas_equal_a_recount(spark, tmp_path):
     # a change of one term leaves the other folders' files as they are
     held = {os.path.basename(f) for f in counts.table.files()}
     source.merge(spark.createDataFrame([("g", "new", ["only"])], T), ["field", "id"], "terms", full=False)
-    counts.update(source, "s", _signed)
+    counts.update({"s": (source, _signed)})
     now = {os.path.basename(f) for f in counts.table.files()}
     assert len(held - now) <= 2 and held & now and ("g", "only", 1, 1) in rows(counts.counts())
 
