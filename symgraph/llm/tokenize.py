@@ -1,22 +1,20 @@
 """Encoding a whole corpus with a public byte-level BPE tokenizer.
 
-Method: a monoid of encoded pieces. A text is halved down to leaves, the leaves of a batch are
-encoded together, and neighbours join up the tree. A node is the token ids of its text with, for
-each pre-token ("word"), its number of tokens and of bytes. Words are found by scanning from left
-to right without looking back, and by at most two characters ahead (a contraction such as
-``'ll`` after its apostrophe); so
-
-* in a left neighbour all words that end two bytes before its end are those of the joined text, and
-* in the right neighbour all words are, from the first place on where a scan that came over the
-  boundary ends a word exactly where the right neighbour's own scan does.
-
-A join therefore re-encodes a window: the last words on the left and the first words on the
-right. Where the scan of the window meets a word end of the right side (two bytes before the
-window's end, for more text could still change what follows), everything outside is provably
-stable; otherwise the window grows, at worst over the whole right side. Decoding concatenates the bytes of the ids.
-
-Leaves that are whole texts need no words; they go through the faster of two libraries that read
-the same public vocabulary, where its file lies beside the other.
+Method: a monoid of encoded pieces. Every text is halved down to leaves of at most ``LEAF``
+characters, the leaves are encoded, and neighbours join up the tree. A join re-encodes a window
+around the boundary and keeps all tokens outside of it, which provably are those of the joined
+text: the tokenizer first cuts a text into words by a pattern that scans from left to right, and
+merges bytes within words only. Some places end a word whatever stands before or behind them
+
+* between a character other than a blank and a blank,
+* between a letter, a digit and another character, but for behind an apostrophe,
+
+because no alternative of the pattern spans them, none looks back, and only blanks look ahead, so
+that neither the words before such a place nor those behind it depend on the other side. The
+window runs from the last such place on the left to the first one on the right; it is looked for
+in stretches of growing length, at worst to the outer end of the neighbour. Tokens are cut at the places by
+counting bytes from the boundary, so a join costs what its window costs. Decoding concatenates the
+bytes of the ids up the tree.
 
 Defined results: an empty and a null text have the empty list; strings that look like special
 tokens are ordinary text; any other text decodes to itself exactly.
@@ -26,181 +24,98 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a leaf. A text up to this length is encoded at once.
-LEAF = 16_384
-#: Characters (all of one byte where it matters) that a scan looks ahead of a word's end.
-AHEAD = 2
+#: Characters of a leaf: a text beyond is halved.
+LEAF = 128
+#: Characters in which a place is looked for first.
+NEAR = 24
 
+# Where every scan ends a word; the character before and the one behind decide.
+_PLACE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})")
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the public tokenizer's file is, by the installed package (a parameter elsewhere)."""
+
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """Where the public tokenizer's ranks are, by the installed package (a parameter elsewhere)."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
-@dataclass
-class Piece:
-    ids: list[int]
-    tokens: list[int]  # of each word
-    sizes: list[int]  # bytes of each word
-    data: bytes
-
-
 class Encoder:
-    """``path``: the tokenizer's JSON file; ranks are read from the same name with ``.tiktoken``."""
+    """``path``: the tokenizer's ranks, a token in base 64 and its id per line."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
-        self.path, self.leaf = path, leaf
-        self._t = None
-        self._vocab: list[bytes] | None = None
-        self.ranks = self._read_ranks(path)
-
-    @staticmethod
-    def _read_ranks(path: str):
-        """An encoder of whole texts by ranks, or None without its file or library."""
-        file = path.removesuffix(".json") + ".tiktoken"
-        try:
-            import public_tokenizers
-            import tiktoken
-
-            with open(file, "rb") as f:
-                ranks = {base64.b64decode(w): int(n) for w, n in map(bytes.split, f)}
-            return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (ImportError, OSError):
-            return None
-
-    @property
-    def t(self):
-        """The encoder that knows words, read when first needed."""
-        if self._t is None:
-            from tokenizers import Tokenizer
-
-            self._t = Tokenizer.from_file(self.path)
-            self._t.encode_special_tokens = True
-            self._t.no_padding()
-            self._t.no_truncation()
-        return self._t
-
-    @property
-    def vocab(self) -> list[bytes]:
-        """The bytes of each id."""
-        if self._vocab is None:
-            # fixed rule of byte-level vocabularies: printable bytes stand for themselves, the
-            # others for the characters from 256 on, in order
-            keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            back = {chr(b): b for b in keep}
-            back |= {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}
-            size = self.t.get_vocab_size()
-            self._vocab = [bytes(back[c] for c in w) if all(c in back for c in w) else w.encode() for w in (self.t.id_to_token(i) for i in range(size))]
-        return self._vocab
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(w): int(n) for w, n in map(bytes.split, f)}
+        self.leaf = leaf
+        self.words = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        #: The bytes of each id, and how many they are.
+        self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
+        for word, n in ranks.items():
+            self.vocab[n] = word
+        self.sizes = [len(w) for w in self.vocab]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.vocab[i] for i in ids).decode()
 
-    def _pieces(self, texts: list[str]) -> list[Piece]:
-        out = []
-        for text, e in zip(texts, self.t.encode_batch(texts, add_special_tokens=False)):
-            tokens: list[int] = []
-            sizes: list[int] = []
-            last = None
-            for i, w in zip(e.ids, e.word_ids):
-                n = len(self.vocab[i])
-                if w != last or not tokens:
-                    tokens.append(1)
-                    sizes.append(n)
-                    last = w
-                else:
-                    tokens[-1] += 1
-                    sizes[-1] += n
-            out.append(Piece(e.ids, tokens, sizes, text.encode()))
-        return out
-
-    def join(self, a: Piece, b: Piece) -> Piece:
-        """The piece of the joined text, by re-encoding a growing window around the boundary."""
-        if not a.tokens:
-            return b
-        if not b.tokens:
-            return a
-        back, tail = 0, 0
-        while tail < AHEAD and back < len(a.sizes):
-            back += 1
-            tail += a.sizes[-back]
-        keep = len(a.sizes) - back
-        k = 2
+    @staticmethod
+    def _last(text: str, lo: int, hi: int) -> int:
+        """The last place within ``text[lo:hi]``, or ``lo``."""
+        near = NEAR
         while True:
-            k = min(k, len(b.tokens))
-            whole = k == len(b.tokens)
-            window = a.data[-tail:] + b.data[: sum(b.sizes[:k])]
-            (w,) = self._pieces([window.decode()])
-            ends, at = {}, tail
-            for j in range(k):
-                at += b.sizes[j]
-                ends[at] = j + 1  # the right side's scan ends its word j here
-            used, at = 0, 0
-            meet = None
-            for n, size in enumerate(w.sizes, 1):
-                at += size
-                if at > len(window) - AHEAD:
-                    break
-                if at in ends or at == tail:
-                    meet = (n, ends.get(at, 0))
-                    break
-            if meet or whole:
-                n, j = meet or (len(w.tokens), k)
-                used = sum(w.tokens[:n])
-                skip = sum(b.tokens[:j])
-                return Piece(
-                    a.ids[: sum(a.tokens[:keep])] + w.ids[:used] + b.ids[skip:],
-                    a.tokens[:keep] + w.tokens[:n] + b.tokens[j:],
-                    a.sizes[:keep] + w.sizes[:n] + b.sizes[j:],
-                    a.data + b.data,
-                )
-            k *= 2
-
-    def _halves(self, text: str) -> list[str]:
-        """The leaves of the halving tree, from left to right: a power of two of equal parts."""
-        parts = 1
-        while len(text) > self.leaf * parts:
-            parts *= 2
-        cuts = [len(text) * i // parts for i in range(parts + 1)]
-        return [text[x:y] for x, y in zip(cuts, cuts[1:])]
-
-    def _reduce(self, pieces: list[Piece]) -> Piece:
-        while len(pieces) > 1:
-            pieces = [self.join(pieces[i], pieces[i + 1]) for i in range(0, len(pieces), 2)]
-        return pieces[0]
+            start = max(lo, hi - near)
+            at = lo
+            for m in _PLACE.finditer(text, start, hi):
+                if lo < m.start() < hi:
+                    at = m.start()
+            if at > lo or start == lo:
+                return at
+            near *= 4
+
+    @staticmethod
+    def _first(text: str, lo: int, hi: int) -> int:
+        """The first place within ``text[lo:hi]``, or ``hi``."""
+        m = _PLACE.search(text, lo + 1, hi)
+        return m.start() if m else hi
+
+    def _join(self, text: str, lo: int, mid: int, hi: int, a: list[int], b: list[int]) -> list[int]:
+        """The ids of ``text[lo:hi]`` from those of its halves, by re-encoding a window around ``mid``."""
+        x, y = self._last(text, lo, mid), self._first(text, mid, hi)
+        sizes = self.sizes
+        left, n = len(text[x:mid].encode()), len(a)
+        while left > 0:
+            n -= 1
+            left -= sizes[a[n]]
+        right, k = len(text[mid:y].encode()), 0
+        while right > 0:
+            right -= sizes[b[k]]
+            k += 1
+        return a[:n] + self.words.encode_ordinary(text[x:y]) + b[k:]
+
+    def _reduce(self, text: str, lo: int, hi: int) -> list[int]:
+        if hi - lo <= self.leaf:
+            return self.words.encode_ordinary(text[lo:hi])
+        mid = (lo + hi) // 2
+        return self._join(text, lo, mid, hi, self._reduce(text, lo, mid), self._reduce(text, mid, hi))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text. Texts of one leaf go through the library in one batch."""
-        out: list[list[int]] = [[] for _ in texts]
-        short = [i for i, t in enumerate(texts) if t and len(t) <= self.leaf]
-        if self.ranks is not None:
-            for i in short:
-                out[i] = self.ranks.encode_ordinary(texts[i])
-        else:
-            for i, e in zip(short, self.t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-                out[i] = e.ids
-        for i, t in enumerate(texts):
-            if t and len(t) > self.leaf:
-                out[i] = self._reduce(self._pieces(self._halves(t))).ids
-        return out
+        """The ids of each text, all by the reduction."""
+        return [self._reduce(t, 0, len(t)) if t else [] for t in texts]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
     """One per Python worker."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path, leaf)
 
 
