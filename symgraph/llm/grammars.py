@@ -137,7 +137,8 @@ _ELEMENT = re.compile(r"""<(/?)([A-Za-z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>"
 _RAW = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 
 
-def htmldjango(text: str) -> None:
+def htmldjango(text: str) -> bool:
+    """Whether there is a tag or element at all: nearly any text is a template."""
     stack: list[str] = []
     out: list[str] = []
     i = 0
@@ -226,36 +227,17 @@ def htmldjango(text: str) -> None:
         depth[name] = depth.get(name, 0) + (-1 if m.group(1) else 1)
     if any(n > 0 for n in depth.values()) and "\x00" not in html:
         raise ValueError("open element")
-    if "\x00" not in html and not _ELEMENT.search(html) and html.strip():
-        for lang in rank(text):
-            if lang != "htmldjango" and _parses(lang, text):
-                raise ValueError(f"text in {lang}")
-    # nearly any text is a template, so one that another grammar accepts as a whole is in that language
-    # if it has more of its telling tokens than of templates' outside of strings and comments
-    for lang in rank(text):
-        if lang == "htmldjango":
-            continue
-        signs = len(_SIGNS[lang].findall(text))
-        if signs and signs > len(_SIGNS["htmldjango"].findall(_LITERALS[lang].sub(" ", text))) and _parses(lang, text):
-            raise ValueError(f"text in {lang}")
+    return "\x00" in html or bool(_ELEMENT.search(html)) or not html.strip()
 
 
 PARSERS = {"python": python, "javascript": javascript, "css": css, "htmldjango": htmldjango}
 
 
-def _parses(language: str, text: str) -> bool:
-    try:
-        PARSERS[language](text)
-    except ValueError:
-        return False
-    return True
-
-
 # Tokens that tell a language, each found at the weight of one.
 _SIGNS = {
-    "python": re.compile(r"^\s*(?:def|class|elif|except|with|async def)\b.*:\s*$|^(?:from [\w.]+ )?import [\w., ]+$|\bself\b|\bNone\b|\"\"\"", re.M),
-    "javascript": re.compile(r"\b(?:function|const|let|var)\b|=>|===|\bnull\b|;\s*$|\bdocument\.|\bexport\b", re.M),
-    "css": re.compile(r"^\s*[.#@]?[\w-]+(?:[ ,.#:>\w-]*)\{|^\s*[\w-]+:\s*[^;{}]+;", re.M),
+    "python": re.compile(r"^[ \t]*(?:def|class|elif|except|with|async def)\b.*:\s*$|^(?:from [\w.]+ )?import [\w., ]+$|\bself\b|\bNone\b|\"\"\"", re.M),
+    "javascript": re.compile(r"\b(?:function|const|let|var)\b|=>|===|\bnull\b|;[ \t]*$|\bdocument\.|\bexport\b", re.M),
+    "css": re.compile(r"^[ \t]*(?:[.#@]?[\w-][ ,.#:>\w-]*\{|[\w-]+:[ \t]*[^;{}\n]+;)", re.M),
     "htmldjango": re.compile(r"\{%|\{\{|</?[a-z][\w-]*[ >]"),
 }
 
@@ -268,25 +250,62 @@ _LITERALS = {
 }
 
 
+#: A text without any of these has no telling token of the language.
+_NEEDED = {"css": ("{", ";"), "htmldjango": ("{%", "{{", "<"), "python": ("def", "class", "elif", "except", "with", "import", "self", "None", '"""')}
+
+
 def rank(text: str) -> list[str]:
     """The languages by how many of their telling tokens the text has."""
-    n = {k: len(p.findall(text)) for k, p in _SIGNS.items()}
+    n = {k: len(p.findall(text)) if k not in _NEEDED or any(x in text for x in _NEEDED[k]) else 0 for k, p in _SIGNS.items()}
     return sorted(n, key=lambda k: (-n[k], k))
 
 
+def _verdicts(text: str) -> tuple[dict[str, str | None], bool]:
+    """Of every grammar, from the likeliest language to the least, its error or None; and whether
+    the text has any mark of a template."""
+    out: dict[str, str | None] = {}
+    marks = True
+    for language in rank(text):
+        try:
+            said = PARSERS[language](text)
+            out[language] = None
+            marks = said if language == "htmldjango" else marks
+        except ValueError as e:
+            out[language] = str(e)[:200] or "invalid"
+    return out, marks
+
+
+def _foreign(text: str, accepted: list[str], marks: bool) -> str | None:
+    """The language of a text that the template grammar accepts, as it does nearly any.
+
+    Another grammar that accepts it as a whole holds if there is no mark of a template, or if the
+    text has more of its telling tokens than of templates' outside of strings and comments.
+    """
+    for language in accepted:
+        if language == "htmldjango":
+            continue
+        signs = len(_SIGNS[language].findall(text))
+        if not marks or (signs and signs > len(_SIGNS["htmldjango"].findall(_LITERALS[language].sub(" ", text)))):
+            return language
+    return None
+
+
 def diagnose(language: str, text: str | None) -> tuple[str | None, str | None]:
-    """``(error, actual)``: None if valid; ``actual`` is the language that the text is valid in."""
+    """``(error, actual)``: None if valid; ``actual`` is the language that the text is valid in.
+
+    The text is parsed by all grammars, from the likeliest language on. That of its extension must
+    accept it; where it doesn't, the first other that does names the language.
+    """
     if text is None:
         return None, None
     text = clean(text)
     if not text.strip():
         return None, None
-    try:
-        PARSERS[language](text)
-        return None, None
-    except ValueError as e:
-        error = str(e)[:200] or "invalid"
-    for other in rank(text):
-        if other != language and (other != "htmldjango" or _SIGNS[other].search(text)) and _parses(other, text):
-            return error, other
-    return error, None
+    verdicts, marks = _verdicts(text)
+    accepted = [k for k, error in verdicts.items() if error is None]
+    error = verdicts[language]
+    if error is None:
+        actual = _foreign(text, accepted, marks) if language == "htmldjango" else None
+        return (f"text in {actual}", actual) if actual else (None, None)
+    others = [k for k in accepted if k != "htmldjango" or (_SIGNS[k].search(text) and not _foreign(text, accepted, marks))]
+    return error, others[0] if others else None

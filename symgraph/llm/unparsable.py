@@ -1,9 +1,10 @@
 """Source files that do not parse, per file and as rates per project and language.
 
-Method: every file is parsed by the grammar of its path's extension; one that fails is parsed by
-all other grammars in the order of a ranking by telling tokens. A success there names the wrong
-extension, a failure in all of them corruption (truncation, merge leftovers, damage). The pass
-runs on the partitions as they are read; only verdicts leave it.
+Method: the languages are ranked by telling tokens, and every file is parsed by all grammars from
+the likeliest on. The grammar of its path's extension must accept it; where another one does
+instead, the extension is wrong, and a failure in all of them is corruption (truncation, merge
+leftovers, damage). The template grammar accepts nearly any text, so there a better ranked language
+that accepts it as well decides. The pass runs on the partitions as they are read; only verdicts leave it.
 
 Defined results: empty and blank files, line ends and a leading byte order mark are valid; files
 without a content and with another extension are not judged; of several contents of one file one
