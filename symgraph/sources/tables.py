@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,22 @@ def norm_kind(col: Column) -> Column:
     return F.nullif(F.lower(F.trim(col)), F.lit(""))
 
 
+#: Parts that rows with a null key are spread over.
+_SPREAD = 64
+
+
+def left_join(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """A left join whose rows with a null key are spread by the column ``spread``.
+
+    They match nothing, yet a plain join sends them all to one task.
+    """
+    none = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    part = F.when(none, F.pmod(F.xxhash64(spread), F.lit(_SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    # always 0, in a form that isn't a constant to the optimiser, which would drop the key
+    zero = F.pmod(F.xxhash64(*on), F.lit(1).cast("long"))
+    return left.withColumn("_part", part).join(right.withColumn("_part", zero), [*on, "_part"], "left").drop("_part")
+
+
 def latest_nodes(nodes: DataFrame, *columns: str) -> DataFrame:
     """The version of each node that holds: the greatest ``updated_at`` of its id.
 

@@ -81,3 +81,23 @@ def test_stems():
 def test_overlap(spark):
     df = spark.createDataFrame([(1, 5, 3, 9), (1, 2, 5, 6), (4, 4, 1, 9)], "a int, b int, c int, d int")
     assert rows(df.select(P.overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")))) == [(0,), (1,), (3,)]
+
+
+def test_left_join_spreads_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from symgraph.sources.tables import left_join
+
+    left = spark.range(900).withColumn("k", F.when(F.col("id") % 3 == 0, F.col("id") % 7))
+    right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = left_join(left, right, ["k"], "id")
+        assert {(r["k"], r["v"]) for r in got.collect()} == {(None, None)} | {(i, 2 * i) for i in range(7)} and got.count() == 900
+        most = max(r["count"] for r in got.where("k IS NULL").groupBy(F.spark_partition_id()).count().collect())
+        assert most < 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
