@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Growing, Scratch
-from ..sources.tables import latest_nodes, norm_kind
+from ..sources.tables import latest_nodes, left_join, norm_kind
 
 # Texts that stand where documentation should be (lower case, without punctuation).
 PLACEHOLDERS = frozenset(
@@ -155,7 +155,7 @@ def describes(doc: str | None, name: str | None = None, signature: str | None =
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         own = [describes(d, n, s) for d, n, s in zip(pdf["docstring"], pdf["name"], pdf["signature"])]
-        yield pd.DataFrame({"id": pdf["id"], "own": own})
+        yield pd.DataFrame({"id": pdf["id"], "kind": pdf["kind"], "name": pdf["name"], "own": own})
 
 
 def _callables(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -164,8 +164,9 @@ def _callables(nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def documented(nodes: DataFrame) -> DataFrame:
-    """``(id, own)`` of every function and method: whether its own documentation describes something."""
-    return _callables(nodes, "docstring", "name", "signature").mapInPandas(_flag, "id string, own boolean")
+    """``(id, kind, name, own)`` of every function and method: whether its own documentation describes something."""
+    held = _callables(nodes, "docstring", "name", "signature").select("id", "kind", "name", "docstring", "signature")
+    return held.mapInPandas(_flag, "id string, kind string, name string, own boolean")
 
 
 def overridden(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -173,35 +174,41 @@ def overridden(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The nearest level wins; on a level the smallest id. No class is climbed to twice, so rings end.
     """
-    scratch = Scratch(nodes.sparkSession, "overridden")
+    methods = _callables(nodes, "name").where(F.col("kind") == "method").select("id", "name")
+    return _bases(methods, methods.select("id"), edges)
+
+
+def _bases(methods: DataFrame, wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`overridden` of the ``wanted(id)`` among ``methods(id, name)``; a written table per level."""
+    scratch = Scratch(methods.sparkSession, "overridden")
     e = edges.select(norm_kind(F.col("kind")).alias("kind"), "source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull())
     direct = e.where((F.col("kind") == "overrides") & (F.col("source") != F.col("target"))).groupBy(F.col("source").alias("id")).agg(F.min("target").alias("base"))
+    direct = scratch.keep(scratch.write(direct))
     bases = scratch.keep(scratch.write(e.where(F.col("kind") == "extends").select(F.col("source").alias("cls"), F.col("target").alias("up")).distinct()))
-    names = _callables(nodes, "name").where(F.col("kind") == "method").select("id", "name")
     members = e.where(F.col("kind") == "contains").select(F.col("source").alias("cls"), F.col("target").alias("id")).distinct()
-    methods = scratch.keep(scratch.write(members.join(names, "id").select("cls", "name", "id")))
-    found = direct.withColumn("level", F.lit(0))
-    # climb only where the way can lead further; the frontier shrinks with every level
-    frontier = scratch.write(methods.join(direct.select("id"), "id", "left_anti").select("id", "name", "cls"))
-    level, seen = 0, None
+    members = scratch.keep(scratch.write(members.join(methods, "id").select("cls", "name", "id")))
+    named = members.groupBy("cls", "name").agg(F.min("id").alias("base"), F.max("id").alias("_last"))
+    # climb only where the way can lead further: the frontier shrinks with every level
+    frontier = members.join(wanted, "id", "left_semi").join(direct.select("id"), "id", "left_anti").select("id", "name", "cls")
+    climbed: Growing | None = None
+    level = 0
     while True:
         level += 1
         up = frontier.join(bases, "cls").select("id", "name", F.col("up").alias("cls")).distinct()
-        if seen:
-            up = up.join(seen.df, ["id", "cls"], "left_anti").select("id", "name", "cls")
-        climbed = scratch.replace(frontier, up)
-        if climbed.isEmpty():
-            scratch.drop(climbed)
-            break
-        been = climbed.select("id", "cls")
-        if seen:
-            seen.add(been)
+        if climbed:
+            up = up.join(climbed.df.select("id", "cls"), ["id", "cls"], "left_anti")
+        # a class's own method of that name, but for the one that climbs
+        other = F.when(F.col("base") != F.col("id"), F.col("base")).when(F.col("_last") != F.col("id"), F.col("_last"))
+        step = up.join(named, ["cls", "name"], "left").select("id", "name", "cls", other.alias("base"), F.lit(level).alias("level"))
+        if climbed is None:
+            climbed, added = (g := Growing(scratch, step)), g.total
         else:
-            seen = Growing(scratch, been)
-        hits = climbed.join(methods.select("cls", "name", F.col("id").alias("base")), ["cls", "name"]).where(F.col("id") != F.col("base"))
-        hits = scratch.keep(scratch.write(hits.groupBy("id").agg(F.min("base").alias("base"))))
-        found = found.unionByName(hits.withColumn("level", F.lit(level)))
-        frontier = scratch.replace(climbed, climbed.join(hits.select("id"), "id", "left_anti"))
+            added = climbed.add(step)
+        if not added:
+            break
+        hits = climbed.last.where(F.col("base").isNotNull()).select("id").distinct()
+        frontier = climbed.last.join(hits, "id", "left_anti").select("id", "name", "cls")
+    found = climbed.keep().where(F.col("base").isNotNull()).select("id", "level", "base").unionByName(direct.withColumn("level", F.lit(0)))
     return found.groupBy("id").agg(F.min(F.struct("level", "base")).alias("m")).select("id", F.col("m.base").alias("base"))
 
 
@@ -213,7 +220,8 @@ def resolve_docs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "docs")
     flags = scratch.keep(scratch.write(documented(nodes)))
     done = flags.where("own").select("id", F.col("id").alias("doc_from"))
-    open_ = flags.where(~F.col("own")).join(overridden(nodes, edges), "id")
+    silent = flags.where(~F.col("own"))
+    open_ = silent.join(_bases(flags.where("kind = 'method'").select("id", "name"), silent.select("id"), edges), "id")
     state = scratch.write(
         open_.select("id", F.col("base").alias("ptr"))
         .join(flags.select(F.col("id").alias("ptr"), F.col("own").alias("hit")), "ptr", "left")
@@ -234,15 +242,22 @@ def resolve_docs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pairs(nodes: DataFrame, edges: DataFrame, content: DataFrame) -> DataFrame:
-    """``(id, qualified_name, kind, signature, code, docstring, doc_from, inherited)``."""
+    """``(id, qualified_name, kind, signature, code, docstring, doc_from, inherited)``.
+
+    A file is split into lines once, before its functions meet it; each takes its lines out of
+    that array within the join. A file with very many functions is a hot key of a join with a
+    unique side, which adaptive execution splits.
+    """
     held = _callables(nodes, "qualified_name", "project_id", "file_path", "signature", "start_line", "end_line", "docstring")
-    docs = held.select(F.col("id").alias("doc_from"), "docstring")
-    found = resolve_docs(nodes, edges).join(docs, "doc_from").join(held.drop("docstring"), "id")
+    found = resolve_docs(nodes, edges)
+    inherits = F.col("id") != F.col("doc_from")
+    # only inherited documentation is looked up
+    given = found.where(inherits).join(held.select(F.col("id").alias("doc_from"), F.col("docstring").alias("given")), "doc_from").select("id", "doc_from", "given")
+    docs = found.where(~inherits).select("id", "doc_from", F.lit(None).cast("string").alias("given")).unionByName(given)
+    rows = held.join(docs, "id").withColumn("docstring", F.coalesce("given", "docstring"))
     texts = content.where(F.col("content").isNotNull()).groupBy("project_id", "file_path").agg(F.max("content").alias("content"))
+    texts = texts.select("project_id", "file_path", F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n").alias("lines"))
     size = F.col("end_line") - F.col("start_line") + 1
-    lines = F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")
     span = (F.col("start_line") >= 1) & (size >= 1)
-    code = F.when(span, F.array_join(F.slice(lines, F.greatest("start_line", F.lit(1)), F.greatest(size, F.lit(1))), "\n"))
-    return found.join(texts, ["project_id", "file_path"], "left").select(
-        "id", "qualified_name", "kind", "signature", code.alias("code"), "docstring", "doc_from", (F.col("id") != F.col("doc_from")).alias("inherited")
-    )
+    code = F.when(span, F.array_join(F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(size, F.lit(1))), "\n"))
+    return left_join(rows, texts, ["project_id", "file_path"], "id").select("id", "qualified_name", "kind", "signature", code.alias("code"), "docstring", "doc_from", inherits.alias("inherited"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from ..sources.tables import left_join
 
 # What generators write about their output. A comment line with one is a notice.
 NOTICES = (
@@ -322,5 +323,5 @@ def classify(files: DataFrame, content: DataFrame) -> DataFrame:
     scratch = Scratch(files.sparkSession, "handwritten")
     both = scratch.keep(scratch.write(both))
     origins = both.where(F.col("reason").isin("vendored", "banner") & F.col("mark").isNotNull()).select("mark").distinct().withColumn("_copy", F.lit(True))
-    out = both.join(origins, "mark", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_copy"), F.lit("copy"))))
+    out = left_join(both, origins, ["mark"], "path").withColumn("reason", F.coalesce("reason", F.when(F.col("_copy"), F.lit("copy"))))
     return out.where(F.col("reason").isNotNull()).select("project_id", "path", "reason")

@@ -45,7 +45,8 @@ def p1_handwritten(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented(read(spark, d, "nodes")).where("own").select("id")
+    """The pairs whose documentation is the node's own."""
+    return docpairs.resolve_docs(read(spark, d, "nodes"), read(spark, d, "edges")).where("id = doc_from").select("id")
 
 
 @registry.query("p2_pairs")

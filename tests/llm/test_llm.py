@@ -157,7 +157,7 @@ def test_pairs_inherit(spark):
 
 
 def test_bases_of_any_height(spark):
-    high = 20
+    high = 40
     N = "id string, kind string, name string, updated_at bigint"
     nodes = spark.createDataFrame([("C0.go", "method", "go", 1), (f"C{high}.go", "method", "go", 1), ("R0.up", "method", "up", 1)], N)
     links = [(f"C{i}", f"C{i + 1}", "extends") for i in range(high)] + [("R0", "R1", "extends"), ("R1", "R2", "extends"), ("R2", "R0", "extends")]
