@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from . import jsparse
 from .grammars import rank
@@ -11,10 +10,8 @@ from .grammars import rank
 # What a cut may leave behind a text, besides blanks and dots.
 _SIGNS = "…�\x00"
 _NOTE = re.compile(r"(?:\((?:more|truncated|cut|snip|cont(?:inued|\.)?|\.\.\.)\)|\[(?:…|\.\.\.|more|truncated|cut|snip(?:ped)?)\]|<(?:cut|snip|truncated|more)>)$", re.I)
-TERMINATORS = ".!?。！？"
 # letters of other scripts stand beside numbers without a blank, so only Latin ones join a run
 _TOKEN = re.compile(r"(\s*)(?:([A-Za-z]*\d[A-Za-z\d]*)|([^\W\d_]+|[^\w\s]|\w))", re.UNICODE)
-LINE = "\n"
 
 
 def body(text: str) -> str:
@@ -39,92 +36,8 @@ def lines(text: str) -> list[str]:
     return [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
 
 
-#: Places from a line's start up to which the pair of its first and its current token is a context.
-FRAME = 7
-
-
-def contexts(toks: list[tuple[str, bool]], i: int) -> list[str]:
-    """The token at ``i`` after two others, in its line's frame, after one, and alone.
-
-    ``\\n`` stands for the line's start. From the narrowest context to the widest; a frame only
-    near the start of a line.
-    """
-    one = toks[i - 1][0] if i > 0 else LINE
-    two = toks[i - 2][0] if i > 1 else LINE
-    w = (" " if toks[i][1] else "") + toks[i][0]
-    out = [f"{two}\x01{one}\x01{w}", f"{one}\x01{w}", w]
-    if 2 <= i < FRAME:
-        out.insert(1, f"{toks[0][0]}\x02{w}")
-    return out
-
-
-_QUOTES = frozenset("\"'`)]}»”’")
-_STOPS = frozenset(TERMINATORS)
-
-
-def observe(text: str, on: Counter, end: Counter) -> None:
-    """Count the contexts of all tokens: in ``on`` where their line goes on, in ``end`` where it
-    ends with them and others follow.
-
-    Behind a terminator only what follows without a blank goes on. The end of the text is not
-    counted: a cut would look like an end. Contexts are built per line, as :func:`contexts` has
-    them, and counted as lists.
-    """
-    rows = lines(body(text))
-    final = len(rows) - 1
-    for n, line in enumerate(rows):
-        toks = tokens(line)
-        if not toks:
-            continue
-        raw = [t for t, _ in toks]
-        words = [" " + t if gap else t for t, gap in toks]
-        two = [a + "\x01" + w for a, w in zip([LINE, *raw], words)]
-        three = [a + "\x01" + k for a, k in zip([LINE, LINE, *raw], two)]
-        frames = [raw[0] + "\x02" + w for w in words[2:FRAME]]
-        last = len(raw) - 1
-        stops = [i for i in range(last) if raw[i] in _STOPS and (toks[i + 1][1] or raw[i + 1] in _QUOTES)]
-        for i in stops:
-            end.update((three[i], two[i], words[i]))
-            if 2 <= i < FRAME:
-                end[frames[i - 2]] += 1
-        if n < final:
-            end.update((three[last], two[last], words[last]))
-            if 2 <= last < FRAME:
-                end[frames[last - 2]] += 1
-        if stops:
-            out = {last, *stops}
-            keep = [i for i in range(last) if i not in out]
-            on.update([three[i] for i in keep])
-            on.update([two[i] for i in keep])
-            on.update([words[i] for i in keep])
-            on.update([f for i, f in enumerate(frames, 2) if i not in out])
-        else:
-            on.update(three[:last])
-            on.update(two[:last])
-            on.update(words[:last])
-            on.update(frames[: max(0, last - 2)])
-
-
-_MASK = (1 << 61) - 1
-
-
-def prefix_hashes(context: str) -> list[int]:
-    """Hashes of all beginnings of the last word of a context, the whole word last."""
-    head, _, w = context.rpartition("\x01")
-    h = 7
-    for c in head + "\x01":
-        h = (h * 1_000_003 + ord(c)) & _MASK
-    blank = w.startswith(" ")
-    out = []
-    for i, c in enumerate(w):
-        h = (h * 1_000_003 + ord(c)) & _MASK
-        if i or not blank:
-            out.append(h)
-    return out
-
-
 _CODE = re.compile(
-    r"^\s*(?:def |class |async |import |from \S+ import|return\b|if .*[:{(]$|for .*[:{]$|while |try[:{ ]|except|else[:{ ]|elif |const |let |var |function\b|export |[})\]]+[;,]?$|@\w|[\w.\[\]]+ = |[\w.]+\(.*\);?$|\"\"\"|logger|payload|rows)"
+    r"^\s*(?:def |class |async |import |from \S+ import|return\b|if .*[:{(]$|for .*[:{]$|while |try[:{ ]|except|else[:{ ]|elif |const |let |var |function\b|export |[})\]]+[;,]?$|@\w|[\w.\[\]]+ = |[\w.]+\(.*\);?$|\"\"\")"
 )
 
 
@@ -137,16 +50,21 @@ def looks_like_code(rows: list[str]) -> bool:
     return len(rows) >= 2 and code > 0 and code + sum(bool(_REMARK.match(x)) for x in rows) >= 0.5 * len(rows)
 
 
-def left_open(text: str) -> str | None:
-    """What is open at the end of the body: a fence, bracket, quote, string, block or statement."""
-    t = body(text)
-    rows = lines(t)
+def left_open(text: str, rows: list[str] | None = None, code: bool | None = None) -> str | None:
+    """What is open at the end of the body: a fence, bracket, quote, string, block or statement.
+
+    ``rows`` and ``code``: the lines of the body that ``text`` then is, and whether they are code.
+    """
+    if rows is None:
+        text = body(text)
+        rows = lines(text)
     if not rows:
         return None
+    code = looks_like_code(rows) if code is None else code
     if sum(x.lstrip().startswith("```") for x in rows) % 2:
         return "fence"
-    if looks_like_code(rows):
-        return _open_code(t, rows)
+    if code:
+        return _open_code(text, rows)
     last = rows[-1]
     if last.count("`") % 2 and "```" not in last:
         return "quote"

@@ -17,27 +17,41 @@ Code that its grammar accepts as whole is judged by words only. Besides, a text
 Sign-offs, titles, list items and dots set on purpose end other texts and lines as well, so they
 have counts as ends.
 
-Statistics cover all texts. They are reduced per partition before the shuffle; verdicts are
-reached once per distinct ending, so that no ending that many texts share is a hot key with more
-than a narrow row per text. Defined results: null, empty and blank texts are whole; a text under
-several ids has one verdict; extra columns are ignored.
+A longer copy, where there is one, decides; the other evidence is for texts without. Statistics
+cover all texts. The endings of texts are known first; a filter of fixed size tells workers which
+contexts and beginnings are asked for, so that no others leave them, and verdicts are reached once
+per distinct ending, so that no ending that many texts share is a hot key with more than a narrow
+row per text. The filter is a bitmap of at most ``BITS`` bits and only spares work: what it lets
+pass by mistake is dropped by the join with the endings.
+
+The thresholds of verdicts were set by reading the endings found in the project's own data, not
+fitted on labels, of which there are none; they are parameters of the language, not of a source.
+
+Defined results: null, empty and blank texts are whole; a text under several ids has one verdict;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os.path
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import Scratch
-from .tails import FRAME, TERMINATORS, body, contexts, left_open, lines, looks_like_code, observe, prefix_hashes, tokens
+from .contexts import FRAME, TERMINATORS, Filter, observe, tokenise
+from .tails import body, left_open, lines, looks_like_code, tokens
 
-#: Contexts that a Python worker holds before it hands them on.
-HELD = 300_000
+#: The most bits of the filter of asked keys (16 MB), and bits per key below that.
+BITS = 1 << 27
+BITS_PER_KEY = 16
+#: Bits of a row of a bitmap under construction, as Spark's bitmap functions have it.
+_ROW = 32768
 
 
 def _h(s: str) -> int:
@@ -45,78 +59,66 @@ def _h(s: str) -> int:
 
 
 _TAIL = "doc_id bigint, source string, body bigint, open string, code boolean, title boolean, stop boolean, word boolean, k3 bigint, k4 bigint, k2 bigint, k1 bigint, p2 bigint, p1 bigint"
+_ENDING = ["code", "title", "stop", "word", "k3", "k4", "k2", "k1", "p2", "p1"]
+_SLOTS = ["k3", "k4", "k2", "k1", "p2", "p1"]
+
+
+def _plain(text: str) -> str:
+    return body(text).replace("\r\n", "\n").replace("\r", "\n")
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in _TAIL.split(", ")]
     for pdf in batches:
-        out = []
+        out, ends, one_line = [], [], []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
             if not isinstance(text, str):
                 continue
             text = body(text)
             rows = lines(text)
-            toks = tokens(rows[-1]) if rows else []
-            if not toks:
+            if not rows:
                 continue
-            last = toks[-1][0]
-            keys = contexts(toks, len(toks) - 1)
-            frame = keys.pop(1) if len(keys) == 4 else None
-            word = last.isalpha()
-            out.append(
-                (
-                    doc,
-                    source,
-                    _h(text),
-                    left_open(text),
-                    looks_like_code(rows),
-                    len(rows) == 1 and len(toks) < FRAME,
-                    last in TERMINATORS,
-                    word,
-                    _h(keys[0]),
-                    _h(frame) if frame else None,
-                    _h(keys[1]),
-                    _h(keys[2]),
-                    prefix_hashes(keys[1])[-1] if word else None,
-                    prefix_hashes(keys[2])[-1] if word else None,
-                )
-            )
-        columns = list(zip(*out)) if out else [()] * len(names)
-        # a plain frame would turn integers beside nulls into floats
-        whole = ("doc_id", "body", "k3", "k4", "k2", "k1", "p2", "p1")
-        yield pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in whole else pd.Series(list(c), dtype=object) for n, c in zip(names, columns)})
-
-
-def _observations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    on: Counter = Counter()
-    end: Counter = Counter()
-
-    def flush() -> pd.DataFrame:
-        keys = list({**on, **end})
-        words = [k if "\x02" not in k and k.count("\x01") < 2 and k.rpartition("\x01")[2].lstrip(" ").isalpha() else None for k in keys]
-        out = pd.DataFrame({"key": [_h(k) for k in keys], "w": words, "f": [on[k] for k in keys], "e": [end[k] for k in keys]})
-        on.clear()
-        end.clear()
-        return out
-
-    for pdf in batches:
-        for text in pdf["text"]:
-            if isinstance(text, str):
-                observe(text, on, end)
-                if len(on) > HELD:
-                    yield flush()
-    yield flush()
-
-
-def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keys: list[int] = []
-        counts: list[int] = []
-        for w, n in zip(pdf["w"], pdf["n"]):
-            hs = prefix_hashes(w)[:-1]
-            keys += hs
-            counts += [n] * len(hs)
-        yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "p": pd.Series(counts, dtype="int64")})
+            code = looks_like_code(rows)
+            out.append((doc, source, _h(text), left_open(text, rows, code), code))
+            ends.append(rows[-1])
+            one_line.append(len(rows) == 1)
+        t = tokenise("\n".join(ends))
+        at = np.flatnonzero(t.last)
+        columns = dict(zip(names[:5], zip(*out))) if out else {n: () for n in names[:5]}
+        frame = pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in ("doc_id", "body") else pd.Series(list(c), dtype=object) for n, c in columns.items()})
+        frame["title"] = np.array(one_line, bool) & (t.place[at] + 1 < FRAME)
+        frame["stop"], frame["word"] = t.ends[at], t.alpha[at]
+        whole = dict(zip(("p2", "p1"), t.whole(at)))
+        for n in _SLOTS:
+            keys = pd.array((whole[n] if n in whole else t.keys[n][at]).view(np.int64), dtype="Int64")
+            if n in ("k4", "p2", "p1"):
+                keys[~(t.framed if n == "k4" else t.alpha)[at]] = pd.NA
+            frame[n] = keys
+        yield frame[names]
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """A bitmap of ``keys(key)``, built in rows of 4 KB by executors; at most ``BITS`` bits."""
+    n = keys.count()
+    bits = _ROW
+    while bits < min(BITS, BITS_PER_KEY * n):
+        bits *= 2
+    low = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
+    rows = keys.select(low.alias("b")).groupBy(F.floor(F.col("b") / _ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg((F.col("b") % _ROW)).alias("bits"))
+    out = bytearray(bits // 8)
+    for row, part in rows.collect():  # at most BITS of them
+        out[row * (_ROW // 8) : (row + 1) * (_ROW // 8)] = part
+    return bytes(out)
+
+
+def _observations(bits):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = Filter(bits.value)
+        for pdf in batches:
+            keys, on, end, begun = observe([b for t in pdf["text"] if isinstance(t, str) and (b := _plain(t))], wanted)
+            yield pd.DataFrame({"key": keys.view(np.int64), "f": on, "e": end, "p": begun})
+
+    return run
 
 
 #: Evidence of a continuation: within the word or sentence, perhaps within it, behind a whole title or sentence.
@@ -186,24 +188,37 @@ def _sorted_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = [body(t) for t in pdf["text"] if isinstance(t, str)]
-        texts = [t for t in texts if t]
-        yield pd.DataFrame({"body": pd.Series([_h(t) for t in texts], dtype="int64"), "text": texts})
-
-
-def _carried(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The texts of earlier partitions that the first text of a partition starts with."""
-    stacks: dict[int, list[tuple[int, str]]] = {}
-    for pid, h, text in pdf.loc[pdf["last"], ["pid", "body", "text"]].itertuples(index=False):
-        stacks.setdefault(pid, []).append((h, text))
-    carried: list[tuple[int, str]] = []
-    out = []
-    for pid, text in pdf.loc[pdf["first"], ["pid", "text"]].sort_values("pid").itertuples(index=False):
-        carried = [x for x in carried if text.startswith(x[1])]
-        out += [(pid, h, short) for h, short in carried]
-        own = sorted(stacks[pid], key=lambda x: len(x[1]))
-        carried = [x for x in carried if own[-1][1].startswith(x[1])] + own
-    return pd.DataFrame(out, columns=["pid", "body", "short"]).astype({"pid": "int32", "body": "int64"})
+        texts = {_h(b): b for t in pdf["text"] if isinstance(t, str) and (b := body(t))}
+        yield pd.DataFrame({"body": pd.Series(list(texts), dtype="int64"), "text": list(texts.values())})
+
+
+@F.pandas_udf(LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of the beginning that two texts have in common (0 with none)."""
+    return pd.Series([len(os.path.commonprefix([x, y])) if isinstance(x, str) and isinstance(y, str) else 0 for x, y in zip(a, b)], dtype="int64")
+
+
+def _reach(within: dict[int, int], over: dict[int, tuple[int, int]]):
+    """How far the texts of each partition's last chain of prefixes go on being prefixes.
+
+    ``within``: what the first and last text of a partition have in common; ``over``: of each
+    partition the next, and what its first text has in common with the last one of this. In
+    sorted order a text is a prefix of a later one iff it is no longer than all these on the way.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for pid, h, size in zip(pdf["pid"], pdf["body"], pdf["size"]):
+                at = pid
+                while at in over and size <= over[at][1]:
+                    at = over[at][0]
+                    out.append((at, h))
+                    if size > within[at]:
+                        break
+            yield pd.DataFrame(out, columns=["pid", "body"]).astype({"pid": "int32", "body": "int64"})
+
+    return run
 
 
 def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,16 +231,25 @@ def prefix_texts(docs: DataFrame) -> DataFrame:
     """``body`` hashes of the texts that a longer text elsewhere continues mid-word or mid-sentence.
 
     All longer texts count: one that goes on within the sentence decides, one that perhaps does
-    only if none has a whole title or sentence before it.
+    only if none has a whole title or sentence before it. Copies are one text before they are
+    sorted. Of partitions only numbers meet: two lengths each.
     """
     texts = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(_bodies, "body bigint, text string")
+    texts = texts.groupBy("body").agg(F.first("text").alias("text"))
     found = Scratch(docs.sparkSession, "prefixes")
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text").withColumn("pid", F.spark_partition_id())
     rows = found.keep(found.write(ordered.mapInPandas(_sorted_prefixes, _EDGE)))
-    # a row per partition and text of its last chain of prefixes
-    edges = rows.where("first or last").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_carried, "pid int, body bigint, short string")
-    edges = found.keep(found.write(edges))
-    over = rows.where("text is not null and not last").select("pid", "text").join(edges, "pid").where(F.col("text").startswith(F.col("short"))).mapInPandas(_kinds, "body bigint, kind int")
+    first = rows.where("first").select("pid", "text")
+    chain = rows.where("last").select("pid", "body", "text", F.length("text").alias("size"))
+    top = chain.groupBy("pid").agg(F.max_by("text", "size").alias("end"))
+    # a row per partition, numbers only
+    after = first.select("pid", F.lead("pid").over(Window.orderBy("pid")).alias("next"))
+    ends = top.join(first.withColumnRenamed("text", "begin"), "pid").join(after, "pid").join(first.select(F.col("pid").alias("next"), F.col("text").alias("then")), "next", "left")
+    met = ends.select("pid", "next", _common("begin", "end").alias("within"), _common("end", "then").alias("over")).collect()
+    reach = _reach({r["pid"]: r["within"] for r in met}, {r["pid"]: (r["next"], r["over"]) for r in met if r["next"] is not None})
+    carried = chain.select("pid", "body", "size").mapInPandas(reach, "pid int, body bigint").join(chain.select("body", F.col("text").alias("short")), "body")
+    carried = found.keep(found.write(carried))
+    over = rows.where("text is not null and not last").select("pid", "text").join(carried, "pid").where(F.col("text").startswith(F.col("short"))).mapInPandas(_kinds, "body bigint, kind int")
     kinds = rows.where("kind > 0").select("body", "kind").unionByName(over).groupBy("body").agg(F.bit_or("kind").alias("kind"))
     sure = F.col("kind").bitwiseAND(STRONG) > 0
     return kinds.where(sure | (F.col("kind").bitwiseAND(WEAK | AGAINST) == WEAK)).select("body")
@@ -260,47 +284,44 @@ def _verdict() -> Column:
     return out
 
 
+def _evidence(texts: DataFrame, tails: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, f, e, p, t)`` of all keys of undecided endings: see :func:`observe`; ``t`` texts end so."""
+    keys = lambda df, *slots: F.explode(F.filter(F.array(*slots), lambda k: k.isNotNull())).alias("key")
+    asked = tails.where(F.col("open").isNull()).select(*_SLOTS).distinct()
+    asked = scratch.keep(scratch.write(asked.select(keys(asked, *_SLOTS)).distinct()))
+    bits = texts.sparkSession.sparkContext.broadcast(_filter(asked))
+    none = F.lit(0).cast("long")
+    seen = texts.where(F.col("text").isNotNull()).mapInPandas(_observations(bits), "key bigint, f bigint, e bigint, p bigint").withColumn("t", none)
+    # ends of texts, a text under several ids once
+    ends = tails.select("body", *_SLOTS[:4]).distinct()
+    ends = ends.select(keys(ends, *_SLOTS[:4]), none.alias("f"), none.alias("e"), none.alias("p"), F.lit(1).cast("long").alias("t"))
+    total = seen.unionByName(ends).groupBy("key").agg(*[F.sum(c).alias(c) for c in "fept"])
+    return total.join(asked, "key", "left_semi")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, reason)`` of every row with a text; a null ``reason`` for a whole text.
 
-    ``docs(doc_id, text, source)``. Reasons: ``open``, ``word``, ``sequence``, ``copy``.
+    ``docs(doc_id, text, source)``. Reasons: ``copy`` (a longer copy goes on), ``open``, ``word``,
+    ``sequence``.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "truncated")
+    scratch = Scratch(docs.sparkSession, "truncated")
     narrow = docs.select("doc_id", "source", "text")
-    tails = scratch.keep(scratch.write(narrow.mapInPandas(_tails, _TAIL)))
-    undecided = tails.where(F.col("open").isNull())
-    ending = ["code", "title", "stop", "word", "k3", "k4", "k2", "k1", "p2", "p1"]
-    endings = scratch.keep(scratch.write(undecided.select(*ending).distinct()))
-    slots = endings.select(
-        F.explode(F.array("k3", "k4", "k2", "k1")).alias("key"),
-    ).where(F.col("key").isNotNull()).distinct()
-
-    seen = narrow.select("text").where(F.col("text").isNotNull()).mapInPandas(_observations, "key bigint, w string, f bigint, e bigint")
-    counts = scratch.keep(scratch.write(seen.groupBy("key", "w").agg(F.sum("f").alias("f"), F.sum("e").alias("e"))))
-    # ends of texts, a text under several ids once
-    ends = tails.select("body", F.explode(F.array("k3", "k4", "k2", "k1")).alias("key")).where(F.col("key").isNotNull()).distinct()
-    ends = ends.groupBy("key").agg(F.count(F.lit(1)).alias("t"))
-    stats = (
-        slots.join(counts.select("key", "f", "e"), "key", "left").join(ends, "key", "left").groupBy("key").agg(F.max("f").alias("f"), F.max("e").alias("e"), F.max("t").alias("t"))
-    )
-    stats = scratch.keep(scratch.write(stats))
-    wanted = endings.where("word").select(F.explode(F.array("p2", "p1")).alias("key")).distinct()
-    longer = counts.where(F.col("w").isNotNull()).select("w", (F.col("f") + F.col("e")).alias("n")).mapInPandas(_beginnings, "key bigint, p bigint")
-    longer = scratch.keep(scratch.write(longer.groupBy("key").agg(F.sum("p").alias("p")).join(wanted, "key", "left_semi")))
-
-    judged = endings
-    for n in ("3", "4", "2", "1"):
-        s = stats.select(F.col("key").alias(f"k{n}"), F.col("f").alias(f"f{n}"), F.col("e").alias(f"e{n}"), F.col("t").alias(f"t{n}"))
-        judged = judged.join(s, f"k{n}", "left")
-    for n in ("2", "1"):
-        judged = judged.join(longer.select(F.col("key").alias(f"p{n}"), F.col("p").alias(f"pre{n}")), f"p{n}", "left")
-    cut = judged.withColumn("why", _verdict()).where(F.col("why").isNotNull()).select(*ending, "why")
-    # the endings that were cut are rare by definition, so this join has no hot key
-    match = (tails["code"] == cut["code"]) & (tails["title"] == cut["title"]) & tails["k3"].eqNullSafe(cut["k3"]) & tails["k4"].eqNullSafe(cut["k4"]) & (tails["k1"] == cut["k1"]) & (tails["k2"] == cut["k2"])
+    tails = scratch.keep(scratch.write(narrow.mapInPandas(_tails, _TAIL).withColumn("ending", F.xxhash64(*_ENDING))))
+    stats = scratch.keep(scratch.write(_evidence(narrow.select("text"), tails, scratch)))
+    endings = tails.where(F.col("open").isNull()).groupBy("ending").agg(*[F.first(c).alias(c) for c in _ENDING])
+    # one join for all slots, then the evidence of an ending in one row
+    slots = endings.select("ending", F.explode(F.filter(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("key")) for s in _SLOTS]), lambda x: x["key"].isNotNull())).alias("x"))
+    slots = slots.select("ending", "x.slot", "x.key").join(stats, "key")
+    names = {"k3": "3", "k4": "4", "k2": "2", "k1": "1"}
+    of = lambda slot, c, name: F.max(F.when(F.col("slot") == slot, F.col(c))).alias(name)
+    known = slots.groupBy("ending").agg(*[of(s, c, f"{c}{n}") for s, n in names.items() for c in "fet"], of("p2", "p", "pre2"), of("p1", "p", "pre1"))
+    judged = endings.select("ending", "code", "title", "stop", "word").join(known, "ending")
+    cut = judged.withColumn("why", _verdict()).where(F.col("why").isNotNull()).select("ending", "why")
     copies = prefix_texts(narrow).withColumn("copy", F.lit(True))
-    out = tails.join(cut.select("code", "title", "k3", "k4", "k2", "k1", "why"), match, "left").select(tails["doc_id"], tails["source"], tails["body"], tails["open"], "why").join(copies, "body", "left")
-    reason = F.when(F.col("open").isNotNull(), "open").when(F.col("why").isNotNull(), F.col("why")).when(F.col("copy"), "copy")
+    # both right sides are unique, and rare by definition
+    out = tails.select("doc_id", "source", "body", "open", "ending").join(cut, "ending", "left").join(copies, "body", "left")
+    reason = F.when(F.col("copy"), "copy").when(F.col("open").isNotNull(), "open").otherwise(F.col("why"))
     return out.select("doc_id", "source", reason.alias("reason")).distinct()
 
 

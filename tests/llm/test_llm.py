@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from symgraph.llm import docpairs, frequency, grammars, handwritten, jsparse, mixing, queries, tails, tokenize, truncated, unparsable
+from symgraph.llm import contexts, docpairs, frequency, grammars, handwritten, jsparse, mixing, queries, tails, tokenize, truncated, unparsable
 
 from ..conftest import DATA, check_sql, rows
 
@@ -460,6 +460,76 @@ def test_truncated(spark):
     assert truncated.judge(docs.limit(0)).count() == 0
 
 
+def _contexts(toks, i):
+    """What the keys of a token stand for, in plain words."""
+    one = toks[i - 1][0] if i > 0 else "\n"
+    two = toks[i - 2][0] if i > 1 else "\n"
+    w = (toks[i][1], toks[i][0])
+    return {"k3": (two, one, w), "k4": ("frame", toks[0][0], w) if 2 <= i < contexts.FRAME else None, "k2": (one, w), "k1": w}
+
+
+def _by_hand(bodies):
+    """All tokens with their contexts, whether they go on (or end) and the beginnings of words."""
+    seen = {}
+    for text in bodies:
+        rows = tails.lines(text)
+        for n, line in enumerate(rows):
+            toks = tails.tokens(line)
+            for i, (t, gap) in enumerate(toks):
+                if i == len(toks) - 1:
+                    if n == len(rows) - 1:
+                        continue
+                    kind = "e"
+                else:
+                    kind = "e" if t in contexts.TERMINATORS and (toks[i + 1][1] or toks[i + 1][0] in "\"'`)]}»”’") else "f"
+                for slot, c in _contexts(toks, i).items():
+                    if c is not None:
+                        seen[slot, c, kind] = seen.get((slot, c, kind), 0) + 1
+                if t.isalpha():
+                    one = toks[i - 1][0] if i > 0 else "\n"
+                    for k in range(1, len(t)):
+                        for c in (("p2", (one, gap, t[:k]), "p"), ("p1", (gap, t[:k]), "p")):
+                            seen[c] = seen.get(c, 0) + 1
+    return seen
+
+
+@given(st.lists(st.text(alphabet="ab1 _é²٣.'\" x日Z)\n", min_size=1, max_size=30), max_size=6), st.integers(6, 40))
+@settings(max_examples=150, deadline=None)
+def test_contexts_equal_those_by_hand(texts, chunk):
+    bodies = [b for t in texts if (b := truncated._plain(t))]
+    for b in bodies:
+        t = contexts.tokenise(b)
+        assert [b[x:y] for x, y in zip(t.start, t.stop)] == [b[m.start(2) if m.group(2) else m.start(3) : m.end()] for line in [b] for m in tails._TOKEN.finditer(line)]
+    want = _by_hand(bodies)
+    before, contexts.CHUNK = contexts.CHUNK, chunk
+    try:
+        keys, on, end, begun = contexts.observe(bodies, contexts.Filter(b"\xff" * 4096))
+    finally:
+        contexts.CHUNK = before
+    # keys are hashes: equal counts per kind, in any order, and as many different ones
+    got = sorted([("f", n) for n in on.tolist() if n] + [("e", n) for n in end.tolist() if n] + [("p", n) for n in begun.tolist() if n])
+    assert got == sorted((k[2], n) for k, n in want.items())
+
+
+def test_the_filter_of_asked_keys(spark):
+    import numpy as np
+
+    rnd = random.Random(3)
+    asked = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(5000)]
+    f = contexts.Filter(truncated._filter(spark.createDataFrame([(k,) for k in asked], "key bigint")))
+    assert len(f(np.array(asked, np.int64).view(np.uint64))) == 5000
+    others = np.array([rnd.randrange(-(1 << 63), 1 << 63) for _ in range(5000)], np.int64).view(np.uint64)
+    assert len(f(others)) < 600
+
+
+def test_a_decoy_between_a_text_and_its_copy(spark):
+    texts = ["The fix wor", "The fix works in all cases", "The fix wor (see below) more"] * 3 + ["Some other text."] * 40
+    got = {r[0] for r in rows(truncated.prefix_texts(spark.createDataFrame([(t,) for t in texts], "text string")))}
+    assert got == {truncated._h("The fix wor")}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert {r[0] for r in rows(truncated.judge(docs).where("reason = 'copy'"), "doc_id")} == {0, 3, 6}
+
+
 def test_prefix_texts(spark):
     texts = ["abc def", "abc def ghi", "abc", "abc\nnext", "Whole. Next", "Whole.", "mid", "middle", "mid"] + [f"filler {i} end." for i in range(200)]
     got = {r[0] for r in rows(truncated.prefix_texts(spark.createDataFrame([(t,) for t in texts], "text string")))}
