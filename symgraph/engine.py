@@ -132,20 +132,22 @@ class Engine:
         return found.orderBy("file_path", "start_line", "id").limit(limit)
 
     def model(self, symbol: str) -> DataFrame:
-        ids = self.seeds(symbol).withColumnRenamed("id", "model")
-        return GR.model_fields(self.edges, self.nodes).join(ids, "model", "left_semi").orderBy("model", "depth", "base", "field")
+        return GR.model_fields(self.edges, self.nodes, self.seeds(symbol)).orderBy("model", "depth", "base", "field")
+
+    def model_relations(self, symbol: str) -> DataFrame:
+        """``(model, direction, other, name)``: relations of a model, each once, with direction."""
+        return R.model_relations(self.seeds(symbol), self.edges, self.nodes).orderBy("model", "direction", "other")
 
     def feature(self, symbol: str) -> DataFrame:
         return GR.feature(self._seeded(symbol), self.edges, self.nodes).orderBy("level", "node")
 
     def path(self, source: str, target: str) -> DataFrame:
         """The shortest path, forward or else backward."""
-        a, b = self.seeds(source).select(F.col("id").alias("source"), F.lit(1).alias("k")), self.seeds(target).select(F.col("id").alias("target"), F.lit(1).alias("k"))
-        pairs = a.join(b, "k").drop("k")  # what two names mean: a handful each
-        forward = GR.shortest_paths(pairs, self.edges)
-        if forward.isEmpty():
-            forward = GR.shortest_paths(pairs.select(F.col("target").alias("source"), F.col("source").alias("target")), self.edges)
-        return forward.orderBy("hops", "path").limit(1)
+        both = self.seeds(source).withColumn("name", F.lit("from")).unionByName(self.seeds(target).withColumn("name", F.lit("to")))
+        ways = GR.connect(both, self.edges, 2)
+        best = ways.orderBy(F.col("from_name") != "from", "hops", "path").limit(1)
+        ends = F.col("path")[0].alias("source"), F.element_at("path", -1).alias("target")
+        return best.select(*ends, "hops", "path")
 
     # -- flows, risk, filters
     @property

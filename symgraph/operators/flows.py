@@ -88,9 +88,10 @@ def measure(members: DataFrame, entry: DataFrame, nodes: DataFrame, edges: DataF
     shape = rows.groupBy("flow").agg(
         F.count(F.lit(1)).alias("nodes"),
         F.max("depth").alias("depth_max"),
-        F.count_distinct("app").alias("apps"),
-        F.count_distinct("m_file").alias("files"),
-        F.count_distinct(F.when(F.col("m_project") != F.col("project_id"), F.col("m_project"))).alias("projects"),
+        # sets within one aggregate: a flow is bounded, and distinct counts would multiply its rows
+        F.size(F.collect_set("app")).cast("long").alias("apps"),
+        F.size(F.collect_set("m_file")).cast("long").alias("files"),
+        F.size(F.collect_set(F.when(F.col("m_project") != F.col("project_id"), F.col("m_project")))).cast("long").alias("projects"),
         F.sum("leaves").alias("external"),
         F.avg("sensitive").alias("security"),
         F.avg("open").alias("test_gap"),

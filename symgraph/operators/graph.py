@@ -42,6 +42,8 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
         step = frontier.select("seed", F.col("node").alias("src")).join(steps, "src")
         found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min("leaf").alias("leaf"))
         found = found.join(visited.df.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth"), "leaf")
+        if most is not None:  # cut within the level: no more rows of a seed can be among its first ones
+            found = found.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= most + 1).drop("n")
         if not visited.add(found):
             break
         if most is not None and visited.total > most:
@@ -55,8 +57,17 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
     return out.join(full, "seed", "left_anti").withColumn("truncated", F.lit(False)).unionByName(kept)
 
 
+def _listed(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each seed; ``truncated`` marks seeds that had more."""
+    w = Window.partitionBy("seed").orderBy(*order)
+    # one row more than listed tells that there are more; the limit acts before the shuffle
+    ranked = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most + 1)
+    marked = ranked.withColumn("truncated", F.max("n").over(Window.partitionBy("seed")) > most)
+    return marked.where(F.col("n") <= most).drop("n")
+
+
 def impact(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, most: int = 5000) -> DataFrame:
-    """``(seed, level, node, kind, reached)``: who is affected if a symbol changes.
+    """``(seed, level, node, kind, reached, truncated)``: who is affected if a symbol changes.
 
     Callers level by level, without containment, files and tests. The strongest edge by which a
     level finds a node decides: kinds that carry behaviour are reached and walked on from, others
@@ -77,9 +88,8 @@ def impact(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2,
         if not seen.add(found):
             break
     state = seen.keep()
-    w = Window.partitionBy("seed").orderBy("level", P.edge_rank("kind"), "node")
     listed = state.where((F.col("level") > 0) & (F.col("reached") | (F.col("level") == 1)))
-    return listed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    return _listed(listed, ["level", P.edge_rank("kind"), "node"], most)
 
 
 def subclasses(edges: DataFrame, depth: int = 16) -> DataFrame:
@@ -89,26 +99,29 @@ def subclasses(edges: DataFrame, depth: int = 16) -> DataFrame:
     return reach(seeds, steps, depth).where(F.col("depth") > 0).select(F.col("seed").alias("base"), F.col("node").alias("sub"), "depth")
 
 
-def superclasses(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """``(sub, base, depth)``, the class itself at depth 0."""
+def superclasses(edges: DataFrame, depth: int = 16, of: DataFrame | None = None) -> DataFrame:
+    """``(sub, base, depth)``, the class itself at depth 0. ``of(id)``: only for these classes."""
     steps = links(edges, ("extends",))
     seeds = steps.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
+    if of is not None:
+        seeds = seeds.join(of.select(F.col("id").alias("seed")), "seed", "left_semi")
     return reach(seeds, steps, depth).select(F.col("seed").alias("sub"), F.col("node").alias("base"), "depth")
 
 
-def model_fields(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def model_fields(edges: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(model, field, name, base, depth, shadowed)``: effective fields of models and classes.
 
     Own fields come first, then inherited ones by base name and line; a later field of a name
-    already taken is shadowed.
+    already taken is shadowed. ``of(id)``: only for these, whose bases alone are climbed.
     """
     kinds = nodes.where(F.col("kind").isin("class", "model")).select("id", F.col("name").alias("base_name"))
     held = edges.where(F.col("kind") == "contains").select("source", "target").distinct()
     fields = nodes.where(F.col("kind") == "field").select(F.col("id").alias("target"), "name", "start_line")
     owned = held.join(fields, "target").select(F.col("source").alias("base"), F.col("target").alias("field"), "name", "start_line")
-    supers = superclasses(edges)
-    every = kinds.select(F.col("id").alias("sub"), F.col("id").alias("base"), F.lit(0).alias("depth")).unionByName(supers).groupBy("sub", "base").agg(F.min("depth").alias("depth"))
-    every = every.join(kinds.select(F.col("id").alias("sub")), "sub", "left_semi").join(kinds.select(F.col("id").alias("base"), "base_name"), "base", "left")
+    supers = superclasses(edges, of=of)
+    asked = kinds if of is None else kinds.join(of.select("id"), "id", "left_semi")
+    every = asked.select(F.col("id").alias("sub"), F.col("id").alias("base"), F.lit(0).alias("depth")).unionByName(supers).groupBy("sub", "base").agg(F.min("depth").alias("depth"))
+    every = every.join(asked.select(F.col("id").alias("sub")), "sub", "left_semi").join(kinds.select(F.col("id").alias("base"), "base_name"), "base", "left")
     rows = every.join(owned, "base")
     w = Window.partitionBy("sub", "name").orderBy(F.when(F.col("depth") == 0, 0).otherwise(1), "base_name", "start_line", "field")
     return rows.withColumn("n", F.row_number().over(w)).select(F.col("sub").alias("model"), "field", "name", "base", "depth", (F.col("n") > 1).alias("shadowed"))
@@ -144,16 +157,12 @@ def overrides(edges: DataFrame, nodes: DataFrame, depth: int = 16) -> DataFrame:
     return hit.groupBy(F.col("method").alias("source")).agg(F.min(F.struct("depth", "target")).alias("b")).select("source", F.col("b.target").alias("target"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
-    """``(source, target, hops, path)`` of a shortest directed path between each pair.
-
-    Breadth first from the sources of all pairs at once; of several shortest paths to a node the
-    smallest (as an array of ids) is kept. A pair without a path within ``hops`` is missing.
-    """
-    scratch = Scratch(pairs.sparkSession, "paths")
+def _spread(sources: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """``(source, node, path, hops)``: a shortest path from each of ``sources(source)`` to all
+    that it reaches; of several the smallest (as an array of ids)."""
+    scratch = Scratch(sources.sparkSession, "paths")
     steps = scratch.keep(scratch.write(links(edges, D.PATH_KINDS)))
-    ask = pairs.select("source", "target").where(F.col("source") != F.col("target")).distinct()
-    seen = Growing(scratch, ask.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("hops")))
+    seen = Growing(scratch, sources.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("hops")))
     for level in range(1, hops + 1):
         step = seen.last.join(steps, F.col("node") == F.col("src"))
         # the path is extended after the choice: it is fixed by its predecessor
@@ -161,29 +170,38 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFra
         found = found.join(seen.df.select("source", "node"), ["source", "node"], "left_anti")
         if not seen.add(found.select("source", "node", F.concat("before", F.array("node")).alias("path"), F.lit(level).alias("hops"))):
             break
-    state = seen.keep()
+    return seen.keep()
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
+    """``(source, target, hops, path)`` of a shortest directed path between each pair.
+
+    Breadth first from the sources of all pairs at once. A pair without a path within ``hops`` is
+    missing.
+    """
+    ask = pairs.select("source", "target").where(F.col("source") != F.col("target")).distinct()
+    state = _spread(ask, edges, hops)
     return ask.join(state.where(F.col("hops") > 0).withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops", "path")
 
 
-def connect(groups: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+def connect(groups: DataFrame, edges: DataFrame, most: int = 6, hops: int = 6) -> DataFrame:
     """Shortest paths among named groups ``(name, id)``, the best per ordered pair of names.
 
-    A group is what a name may mean (callers bound both numbers). Pairs of an owner and its own
-    member are left out.
+    A group is what a name may mean. All groups spread at once, and what they reach is looked up
+    among the groups by its id, so the members of two groups are never paired. Pairs of an owner
+    and its own member are left out.
     """
-    one = F.lit(1).alias("_k")
-    a = groups.select(F.col("name").alias("from_name"), F.col("id").alias("source"), one)
-    b = groups.select(F.col("name").alias("to_name"), F.col("id").alias("target"), one)
-    pairs = a.join(b, "_k").where(F.col("from_name") < F.col("to_name")).drop("_k")
-    pairs = pairs.where(~F.startswith("target", F.concat("source", F.lit("."))) & ~F.startswith("source", F.concat("target", F.lit("."))))
-    both = pairs.unionByName(pairs.select(F.col("to_name").alias("from_name"), F.col("target").alias("source"), F.col("from_name").alias("to_name"), F.col("source").alias("target")))
-    found = shortest_paths(both, edges).join(both, ["source", "target"])
-    best = found.groupBy("from_name", "to_name").agg(F.min(F.struct("hops", "path")).alias("b"))
+    groups = groups.select("name", "id").distinct()
+    state = _spread(groups.select(F.col("id").alias("source")), edges, hops).where(F.col("hops") > 0)
+    met = state.join(groups.select(F.col("name").alias("to_name"), F.col("id").alias("node")), "node")
+    met = met.join(groups.select(F.col("name").alias("from_name"), F.col("id").alias("source")), "source").where(F.col("from_name") != F.col("to_name"))
+    met = met.where(~F.startswith("node", F.concat("source", F.lit("."))) & ~F.startswith("source", F.concat("node", F.lit("."))))
+    best = met.groupBy("from_name", "to_name").agg(F.min(F.struct("hops", "path")).alias("b"))
     return best.select("from_name", "to_name", F.col("b.hops").alias("hops"), F.col("b.path").alias("path")).orderBy("hops", "path").limit(most)
 
 
 def feature(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 3, most: int = 60) -> DataFrame:
-    """``(seed, node, level)``: the vertical slice through the layers around each seed.
+    """``(seed, node, level, truncated)``: the vertical slice through the layers around each seed.
 
     Downward by ten kinds, by plain calls only from the seeds (and from the view that a route
     names) into data layers; four kinds lead on. Upward by three kinds, from the seeds only.
@@ -210,8 +228,7 @@ def feature(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 3
     above = first.withColumnRenamed("node", "n0").join(up, "n0").select("seed", "node").distinct().join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
     above = above.join(state.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(-1).alias("level"))
     every = state.select("seed", "node", "level").unionByName(above)
-    w = Window.partitionBy("seed").orderBy(F.abs("level"), F.desc("level"), "node")
-    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    return _listed(every, [F.abs("level"), F.desc("level"), "node"], most)
 
 
 def template_ancestry(edges: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
@@ -251,35 +268,48 @@ def chain_concat(parents: DataFrame, separator: str = ":", depth: int = 32) -> D
     return state.select("node", F.array_join(F.filter("names", lambda x: x.isNotNull() & (x != "")), separator).alias("chain"))
 
 
-def restart_walk(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int = D.WALK_ROUNDS, damping: float = D.WALK_DAMPING) -> DataFrame:
+#: Pairs of a node from which on it is a hub, whose pairs are kept apart and spread evenly.
+HUB = 100_000
+
+
+def restart_walk(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int = D.WALK_ROUNDS, damping: float = D.WALK_DAMPING, hub: int = HUB) -> DataFrame:
     """``(id, rank, seed)``: random walk with restart over the undirected multigraph.
 
     Parallel edges count, a self-loop counts twice; the restart mass is shared by the seeds as
     given (a repeated seed keeps one share); nodes without edges lose their mass. The adjacency
-    is reduced to weights per pair once and partitioned by its source; a round is one join and
-    one aggregate, written every fifth round to cut the lineage.
+    is reduced to weights per pair once and written in buckets by its source, as many as a shuffle
+    has partitions, so that a round shuffles partial sums of ranks and nothing else. The pairs of
+    hubs lie apart and meet their few ranks. Ranks are written every fifth round to cut the lineage.
     """
-    scratch = Scratch(seeds.sparkSession, "walk")
+    spark = seeds.sparkSession
+    scratch = Scratch(spark, "walk")
     known = nodes.select("id")
     e = edges.select("source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
-    both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    degree = pairs.groupBy("a").agg(F.sum("w").alias("deg"))
-    steps = scratch.keep(scratch.write(pairs.join(degree, "a").select("a", "b", (F.lit(damping) * F.col("w") / F.col("deg")).alias("share"))))
+    both = e.select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("x")).select("x.a", "x.b")
+    pairs = scratch.write(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+    degree = pairs.groupBy("a").agg(F.sum("w").alias("deg"), F.count(F.lit(1)).alias("n"))
+    steps = pairs.join(degree, "a").select("a", "b", (F.lit(damping) * F.col("w") / F.col("deg")).alias("share"), (F.col("n") >= hub).alias("hub"))
     given = seeds.select("id")
     n = given.count()
     if n == 0:
         return known.limit(0).select("id", F.lit(0.0).alias("rank"), F.lit(False).alias("seed"))
-    start = scratch.keep(scratch.write(given.distinct().select("id", F.lit(1.0 / n).alias("rank"))))
-    restart = start.select("id", (F.col("rank") * (1.0 - damping)).alias("rank"))
-    rank, written = start, None
-    for i in range(1, rounds + 1):
-        moved = rank.join(steps, rank["id"] == steps["a"]).select(F.col("b").alias("id"), (F.col("rank") * F.col("share")).alias("rank"))
-        rank = moved.unionByName(restart).groupBy("id").agg(F.sum("rank").alias("rank"))
-        if i % 5 == 0 or i == rounds:
-            rank = scratch.write(rank)
-            if written is not None:
-                scratch.drop(written)
-            written = rank
+    with scratch.bucketed(steps.where(~F.col("hub")).select("a", "b", "share"), "a") as near:
+        hubs = scratch.write(steps.where("hub").select("a", "b", "share"))
+        scratch.drop(pairs)
+        crowded = not hubs.isEmpty()
+        start = scratch.keep(scratch.write(given.distinct().select("id", F.lit(1.0 / n).alias("rank"))))
+        restart = start.select("id", (F.col("rank") * (1.0 - damping)).alias("rank"))
+        rank, written = start, None
+        for i in range(1, rounds + 1):
+            moved = rank.join(near, rank["id"] == near["a"]).select(F.col("b").alias("id"), (F.col("rank") * F.col("share")).alias("rank"))
+            if crowded:
+                moved = moved.unionByName(hubs.join(rank, rank["id"] == hubs["a"]).select(F.col("b").alias("id"), (F.col("rank") * F.col("share")).alias("rank")))
+            rank = moved.unionByName(restart).groupBy("id").agg(F.sum("rank").alias("rank"))
+            if i % 5 == 0 or i == rounds:
+                rank = scratch.write(rank)
+                if written is not None:
+                    scratch.drop(written)
+                written = rank
+        scratch.drop(hubs)
     scratch.keep(rank)
     return rank.where(F.col("rank") > 0).join(start.select("id", F.lit(True).alias("seed")), "id", "left").select("id", "rank", F.coalesce("seed", F.lit(False)).alias("seed"))

@@ -69,6 +69,17 @@ def field_relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return fields.where(F.col("related").isNotNull()).select("owner", "member", "related")
 
 
+def model_relations(of: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(model, direction, other, name)`` of the models ``of(id)``: what each relates ``to`` and what
+    relates to it (``from``), declared relations only, each once."""
+    e = relation_edges(edges).where(F.col("source").isNotNull() & F.col("target").isNotNull())
+    m = of.select(F.col("id").alias("model")).distinct()
+    out = e.select(F.col("source").alias("model"), F.lit("to").alias("direction"), F.col("target").alias("other"))
+    back = e.select(F.col("target").alias("model"), F.lit("from").alias("direction"), F.col("source").alias("other"))
+    mine = out.unionByName(back).join(m, "model", "left_semi").distinct()
+    return mine.join(nodes.select(F.col("id").alias("other"), "name"), "other").select("model", "direction", "other", "name")
+
+
 def reverse_relations(edges: DataFrame) -> DataFrame:
     """``(source, target)`` to add: relations turned round where no forward one exists."""
     fwd = relation_edges(edges).where(F.col("source") != F.col("target"))

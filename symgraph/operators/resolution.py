@@ -355,6 +355,24 @@ def resolve(refs: DataFrame, candidates: DataFrame, nodes: DataFrame, mappings:
     return out.join(refs.select("ref_id", "from_node_id"), "ref_id").where(~F.col("target").eqNullSafe(F.col("from_node_id"))).select(*OUT)
 
 
+def _endings(text: Column) -> Column:
+    """A text's endings, itself among them (nothing for an empty one)."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i < F.length(text)), lambda i: F.substr(text, i + 1))
+
+
+def by_module(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``asked(name, module, ...)`` with the ``nodes(name, file_path, ...)`` of that name whose
+    dotted path and module match: one is an ending of the other.
+
+    An ending is looked up by equality, together with the name, so a name that all modules share
+    pairs no module with definitions elsewhere. A pair that matches both ways comes once.
+    """
+    n = nodes.join(asked.select("name").distinct(), "name", "left_semi").withColumn("_d", P.dotted_module("file_path"))
+    down = asked.join(n.select("*", F.explode(_endings(F.col("_d"))).alias("module")), ["name", "module"])
+    up = asked.select("*", F.explode(_endings(F.col("module"))).alias("_d")).join(n, ["name", "_d"]).where(F.col("_d") != F.col("module"))
+    return down.unionByName(up).drop("_d")
+
+
 def link_projects(refs: DataFrame, steer: DataFrame, nodes: DataFrame, reference_only: DataFrame | None = None) -> DataFrame:
     """Imports to definitions of other projects: by module path (0.85), else the sole one in the
     project that is the module's first package (0.8). Generated files are no targets."""
@@ -363,8 +381,8 @@ def link_projects(refs: DataFrame, steer: DataFrame, nodes: DataFrame, reference
         n = n.join(reference_only.select(F.col("id").alias("to")), "to", "left_anti")
     r = refs.where(F.col("reference_kind") == "imports").join(steer.where(F.col("plain").isNotNull()).select("ref_id", F.col("plain").alias("module")), "ref_id")
     r = r.select("ref_id", "project_id", F.col("reference_name").alias("name"), "module")
-    pairs = r.select("project_id", "name", "module").distinct().join(n, "name").where(F.col("to") != F.col("project_id"))
-    best = pairs.where(P.module_matches("file_path", "module")).groupBy("project_id", "name", "module").agg(F.min("id").alias("target"))
+    asked = r.select("project_id", "name", "module").distinct()
+    best = by_module(asked, n).where(F.col("to") != F.col("project_id")).groupBy("project_id", "name", "module").agg(F.min("id").alias("target"))
     first = _out(r.join(best, ["project_id", "name", "module"]), 0.85, "link-module")
     owned = r.join(first.select("ref_id"), "ref_id", "left_anti").withColumn("to", F.substring_index("module", ".", 1)).where(F.col("to") != F.col("project_id"))
     sole = owned.join(_unique(n, "to", "name"), ["to", "name"])
@@ -399,8 +417,7 @@ def redirects(nodes: DataFrame) -> DataFrame:
     stub's qualified name (its module must match the definition's file)."""
     stubs = nodes.where(F.col("kind") == "external").select(F.col("id").alias("stub"), "name", F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("module"))
     n = nodes.where(F.col("kind").isin(*D.LINKABLE_KINDS)).select("id", "name", "file_path")
-    hit = stubs.join(n, "name").where(P.module_matches("file_path", "module"))
-    return hit.groupBy("stub").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target")).where(F.col("n") == 1).select("stub", "target")
+    return by_module(stubs, n).groupBy("stub").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target")).where(F.col("n") == 1).select("stub", "target")
 
 
 def inherited_calls(refs: DataFrame, edges: DataFrame, nodes: DataFrame, inherited: DataFrame) -> DataFrame:

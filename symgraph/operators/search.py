@@ -1,76 +1,110 @@
 """Full-text search and ranking over names, documentation and file contents.
 
-The index is an ordinary table of postings ``(id, term, tf)`` with the lengths of its texts; a
-query joins its few terms (bounded by :func:`symgraph.functions.arguments.search_terms`) to it.
-BM25 in closed form with k1 = 1.2 and b = 0.75. Scores end in the id.
+The few terms of a query (bounded by :func:`symgraph.functions.arguments.search_terms`) are
+counted inside each text's array of words, so no word that isn't asked for is ever a row, and a
+text is read once: what is kept of it is its key, its length and its hits. For many queries over
+the same texts :func:`postings` is the index, partitioned by term when it is written. BM25 in
+closed form with k1 = 1.2 and b = 0.75. Scores end in the id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
 from ..functions import predicates as P
 from ..functions.arguments import query_tokens, search_terms
 from ..functions.porter import stem
+from ..session import Scratch
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def postings(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``(key, term, tf, size)``: terms of letters and digits in lower case.
-
-    Terms of one text are counted inside the text (no shuffle of single words), with the text's
-    length beside them.
-    """
-    terms = F.filter(F.split(F.lower(text), _SPLIT), lambda x: x != "")
-    rows = texts.select(*key, terms.alias("_t")).withColumn("size", F.size("_t").cast("long"))
+    """``(key, term, tf, size)``: terms of letters and digits in lower case, with the text's length."""
+    rows = texts.select(*key, _words(text).alias("_t")).withColumn("size", F.size("_t").cast("long"))
     return rows.select(*key, "size", F.explode("_t").alias("term")).groupBy(*key, "term", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def write_postings(posts: DataFrame, path: str, parts: int = 64) -> None:
+    """A persistent index: postings in folders by a hash of the term, so a query reads its terms' folders."""
+    posts.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("term").write.partitionBy("part").mode("overwrite").parquet(path)
+
+
+def read_postings(posts: DataFrame, terms: list[str], parts: int = 64) -> DataFrame:
+    """The postings of ``terms`` from an index: other folders are pruned, other terms pushed down."""
+    part = F.array_contains(F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.pmod(F.xxhash64(t), F.lit(parts)).cast("int")), F.col("part"))
+    return posts.where(part & F.col("term").isin(*terms)).drop("part")
+
+
 def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"term": pdf["term"], "stem": [stem(t) for t in pdf["term"]]})
 
 
-def stemmed(posts: DataFrame, key: list[str]) -> DataFrame:
-    """Postings by stem; each distinct term is stemmed once."""
-    table = posts.select("term").distinct().mapInPandas(_stems, "term string, stem string")
-    return posts.join(table, "term").groupBy(*key, F.col("stem").alias("term"), "size").agg(F.sum("tf").alias("tf"))
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda x: x != "")
 
 
-def bm25(posts: DataFrame, key: list[str], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
+def _score(found: DataFrame, key: list[str], n: int, every: bool) -> DataFrame:
+    """``(key, matched, score)`` from ``found(key, size, hits array<struct<q, tf>>)`` of all texts."""
+    scratch = Scratch(found.sparkSession, "search")
+    # lengths and hits are read three times, texts once
+    found = scratch.keep(scratch.write(found.where(F.col("size") > 0)))
+    total = found.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))).scalar()
+    hit = found.select(*key, "size", F.explode("hits").alias("h")).select(*key, "size", "h.q", "h.tf")
+    # one entry per asked term
+    df = hit.groupBy("q").agg(F.count(F.lit(1)).alias("df")).agg(F.map_from_entries(F.collect_list(F.struct("q", "df")))).scalar()
+    rows = hit.withColumn("df", df[F.col("q")]).withColumn("_t", total)
+    idf = F.log(1 + (F.col("_t.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    k, b = D.BM25_K1, D.BM25_B
+    weight = idf * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("size") / F.col("_t.mean")))
+    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("matched"), F.sum(weight).alias("score"))
+    return out.where(F.col("matched") == n) if every else out
+
+
+def bm25(texts: DataFrame, key: list[str], text: str, terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
     """``(key, matched, score)`` of the texts with any (``every``: all) of the terms.
 
-    ``prefix``: a term matches all words it begins. Texts without a word are not counted.
+    ``texts`` has a row per ``key``. ``prefix``: a term matches all words it begins. Texts without
+    a word are not counted.
     """
     ask = list(dict.fromkeys(terms))
     if not ask:
-        return posts.limit(0).select(*key, F.lit(0).alias("matched"), F.lit(0.0).alias("score"))
-    # the few terms are part of the expression, so no join reads the postings
-    asked = F.array(*[F.lit(t) for t in ask])
-    q = F.explode(F.filter(asked, lambda t: F.startswith("term", t) if prefix else t == F.col("term")))
-    hit = posts.select("*", q.alias("q")).groupBy(*key, "q", "size").agg(F.sum("tf").alias("tf"))
-    df = hit.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(df, "q")
-    sizes = posts.select(*key, "size").distinct()
-    rows = rows.withColumn("n_docs", sizes.agg(F.count(F.lit(1))).scalar()).withColumn("mean", sizes.agg(F.avg("size")).scalar())
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    k, b = D.BM25_K1, D.BM25_B
-    weight = idf * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("size") / F.col("mean")))
-    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("matched"), F.sum(weight).alias("score"))
-    return out.where(F.col("matched") == len(ask)) if every else out
+        return texts.limit(0).select(*key, F.lit(0).alias("matched"), F.lit(0.0).alias("score"))
+    is_hit = (lambda q: lambda x: F.startswith(x, F.lit(q))) if prefix else (lambda q: lambda x: x == F.lit(q))
+    hits = F.array(*[F.struct(F.lit(q).alias("q"), F.size(F.filter("_w", is_hit(q))).cast("long").alias("tf")) for q in ask])
+    found = texts.select(*key, _words(text).alias("_w")).select(*key, F.size("_w").cast("long").alias("size"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
+    return _score(found, key, len(ask), every)
+
+
+def bm25_stemmed(texts: DataFrame, key: list[str], text: str, stems: list[str]) -> DataFrame:
+    """:func:`bm25` by stems. A word and its stem agree but for the stem's last letters, so only
+    words that begin like an asked stem leave their text; each distinct one is stemmed once."""
+    ask = list(dict.fromkeys(stems))
+    if not ask:
+        return texts.limit(0).select(*key, F.lit(0).alias("matched"), F.lit(0.0).alias("score"))
+    like = lambda x: reduce(Column.__or__, [F.startswith(x, F.lit(q[: max(1, len(q) - 2)])) for q in ask])
+    scratch = Scratch(texts.sparkSession, "stems")
+    words = texts.select(*key, _words(text).alias("_w")).select(*key, F.size("_w").cast("long").alias("size"), F.filter("_w", like).alias("near"))
+    words = scratch.keep(scratch.write(words))
+    table = words.select(F.explode("near").alias("term")).distinct().mapInPandas(_stems, "term string, stem string").where(F.col("stem").isin(*ask))
+    near = words.select(*key, F.explode("near").alias("term")).join(table, "term").groupBy(*key, F.col("stem").alias("q")).agg(F.count(F.lit(1)).alias("tf"))
+    hits = near.groupBy(*key).agg(F.collect_list(F.struct("q", "tf")).alias("hits"))  # at most one entry per asked stem
+    none = F.array().cast("array<struct<q:string,tf:bigint>>")
+    return _score(words.drop("near").join(hits, key, "left").withColumn("hits", F.coalesce("hits", none)), key, len(ask), False)
 
 
 def search_nodes(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """``(id, way, score)``: exact names, then name beginnings, then text matches, best first."""
     needle = query.strip().lower()
     text = nodes.select("id", F.concat_ws(" ", "name", "qualified_name", "docstring", "signature").alias("text"))
-    found = bm25(postings(text, ["id"], "text"), ["id"], search_terms(query), prefix=True, every=True)
+    found = bm25(text, ["id"], "text", search_terms(query), prefix=True, every=True)
     n = nodes.select("id", "name")
     exact = n.where(F.lower("name") == needle).select("id", F.lit(0).alias("way"), F.lit(0.0).alias("score"))
     ranked = found.join(n, "id").select("id", F.when(F.lower("name").startswith(needle), 1).otherwise(2).alias("way"), "score")
@@ -174,8 +208,8 @@ def explore(nodes: DataFrame, edges: DataFrame, content: DataFrame, query: str,
     found = search_nodes(nodes, query, 30).select("id")
     if found.isEmpty():
         text = nodes.select("id", F.concat_ws(" ", "name", "qualified_name", "docstring", "signature").alias("text"))
-        found = bm25(postings(text, ["id"], "text"), ["id"], search_terms(query), prefix=True).orderBy(F.desc("score"), "id").limit(30).select("id")
-    best = bm25(stemmed(postings(content, ["project_id", "file_path"], "content"), ["project_id", "file_path"]), ["project_id", "file_path"], [stem(t) for t in search_terms(query)])
+        found = bm25(text, ["id"], "text", search_terms(query), prefix=True).orderBy(F.desc("score"), "id").limit(30).select("id")
+    best = bm25_stemmed(content, ["project_id", "file_path"], "content", [stem(t) for t in search_terms(query)])
     best = best.orderBy(F.desc("score"), "project_id", "file_path").limit(5)
     by_text = nodes.where(P.is_definition("kind")).join(best, ["project_id", "file_path"], "left_semi").orderBy(*P.listing_order()).limit(30).select("id")
     walk = restart_walk(found.union(by_text).distinct(), edges, nodes)

@@ -210,13 +210,15 @@ def winnow(
 
 def cascade(nodes: DataFrame, edges: DataFrame, criteria: list[tuple], **facts: DataFrame) -> DataFrame:
     """``(step, criterion, left)``: how many symbols survive each further criterion."""
-    cs = parse(criteria)
-    order = sorted(range(len(criteria)), key=lambda i: AXES[criteria[i][0].strip()][1])
-    out = None
-    for i in range(len(cs) + 1):
-        some = [criteria[j] for j in order[:i]]
-        one = winnow(nodes, edges, some, "name", None, **facts).agg(F.count(F.lit(1)).alias("left"))
-        said = " ".join(map(str, some[-1][:3])) if some else "all"
-        one = one.select(F.lit(i).alias("step"), F.lit(said).alias("criterion"), "left")
-        out = one if out is None else out.unionByName(one)
-    return out
+    parse(criteria)
+    order = [criteria[i] for i in sorted(range(len(criteria)), key=lambda i: AXES[criteria[i][0].strip()][1])]
+    # each criterion is evaluated once; a symbol is left after a step if it passed all up to there
+    passed = nodes.select("id", F.lit(1).cast("long").alias("bit"))
+    for i, c in enumerate(order, 1):
+        passed = passed.unionByName(winnow(nodes, edges, [c], "name", None, **facts).select("id", F.lit(1 << i).cast("long").alias("bit")))
+    each = passed.groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    upto = [(1 << (i + 1)) - 1 for i in range(len(order) + 1)]
+    sums = each.agg(*[F.count(F.when(F.col("bits").bitwiseAND(F.lit(m).cast("long")) == m, 1)).alias(f"s{i}") for i, m in enumerate(upto)])
+    said = ["all", *(" ".join(map(str, c[:3])) for c in order)]
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(said[i]).alias("criterion"), F.col(f"s{i}").alias("left")) for i in range(len(upto))])
+    return sums.select(F.explode(steps).alias("x")).select("x.*")

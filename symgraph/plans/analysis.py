@@ -347,17 +347,16 @@ SELECT doc_id, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)
 )
 def search_documents(s: SparkSession, d: str) -> DataFrame:
     docs = read(s, d, "documents").where(F.col("text").isNotNull())
-    return SE.bm25(SE.postings(docs, ["doc_id"], "text"), ["doc_id"], TERMS).select("doc_id", "matched", F.round("score", 6).alias("score"))
+    return SE.bm25(docs, ["doc_id"], "text", TERMS).select("doc_id", "matched", F.round("score", 6).alias("score"))
 
 
 @q("search_contents")
 def search_contents(s: SparkSession, d: str) -> DataFrame:
     """Files by stemmed BM25 (no SQL: DuckDB's stemmer is a later Porter)."""
     key = ["project_id", "file_path"]
-    posts = SE.stemmed(SE.postings(G.content(s, d), key, "content"), key)
     from ..functions.porter import stem
 
-    return SE.bm25(posts, key, [stem(t) for t in ("resolved", "sessions", "importing")]).select(*key, "matched", F.round("score", 6).alias("score"))
+    return SE.bm25_stemmed(G.content(s, d), key, "content", [stem(t) for t in ("resolved", "sessions", "importing")]).select(*key, "matched", F.round("score", 6).alias("score"))
 
 
 @q("search_symbols")

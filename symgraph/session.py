@@ -13,6 +13,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -119,6 +121,20 @@ class Scratch:
         fs, cls = filesystem(self.spark, path)
         return fs.getContentSummary(cls(path)).getLength()
 
+    @contextmanager
+    def bucketed(self, df: DataFrame, key: str) -> Iterator[DataFrame]:
+        """``df`` in buckets by ``key``, as many as a shuffle has partitions: a join by ``key``
+        doesn't move it. The table is dropped at the end of the block."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"symgraph_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+        try:
+            yield self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
     def replace(self, old: DataFrame, df: DataFrame) -> DataFrame:
         out = self.write(df)
         self.drop(old)

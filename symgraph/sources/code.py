@@ -28,6 +28,10 @@ def walk(spark: SparkSession, root: str, project_id: str, most_bytes: int = 8 *
     return rows.select(F.lit(project_id).alias("project_id"), "file_path", F.decode("content", "UTF-8").alias("content"), "size_bytes", "modified_at")
 
 
+#: Lines of a log that are ordered in one task.
+_STRETCH = 4096
+
+
 def with_hash(content: DataFrame) -> DataFrame:
     return content.withColumn("content_hash", P.content_hash("content"))
 
@@ -37,13 +41,17 @@ def parse_log(lines: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame]:
 
     A commit's line holds hash, author, epoch seconds and summary between unit separators; the
     lines that follow are ``insertions<TAB>deletions<TAB>path``, ``-`` for binary files. Each
-    file takes the last commit line above it, carried forward by a window over the log of one
-    project (the log's order is its only key).
+    file takes the last commit line above it: within a stretch of ``_STRETCH`` lines by a window, at
+    its beginning from the stretches before, of which one row each is ordered together.
     """
     sep = "\x1f"
     head = F.col("value").contains(sep)
-    w = Window.partitionBy(F.lit(project_id)).orderBy("n")
-    rows = lines.withColumn("hash", F.last(F.when(head, F.split("value", sep)[0]), ignorenulls=True).over(w))
+    part = lines.withColumn("_s", F.floor(F.col("n") / _STRETCH).cast("long"))
+    own = F.when(head, F.split("value", sep)[0])
+    ends = part.groupBy("_s").agg(F.max_by(own, F.when(head, F.col("n"))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    rows = part.withColumn("_h", F.last(own, ignorenulls=True).over(Window.partitionBy("_s").orderBy("n"))).join(ends.select("_s", carried.alias("_c")), "_s")
+    rows = rows.withColumn("hash", F.coalesce("_h", "_c"))
     part = F.split("value", sep)
     commits = rows.where(head).select(
         F.lit(project_id).alias("project_id"), part[0].alias("commit_hash"), part[1].alias("author"), part[2].cast("long").alias("committed_at"), F.element_at(part, 4).alias("summary")
