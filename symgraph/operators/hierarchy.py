@@ -8,8 +8,8 @@ carry the smallest id met on the way; once a pointer has jumped further than the
 nodes, it stands on the cycle and the way from there runs all around it, so that minimum is the
 smallest id on the cycle. Rounds grow with the logarithm of the depth.
 
-The state is a table in the shared folder, so a round survives lost executors and its plan sees
-true sizes. A pointer that a large part of the rows share is a hot join key: the side that it is
+A round's result is a table in the shared folder, so it survives lost executors and the next plan
+sees true sizes; finished nodes are written once, with the round that finished them. A pointer that a large part of the rows share is a hot join key: the side that it is
 looked up in is unique, and adaptive execution splits the hot partition.
 
 Defined results: null ends are dropped; exact duplicate and parallel links count once; should a
@@ -19,7 +19,10 @@ of length 1; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -40,106 +43,105 @@ def _initial(links: DataFrame) -> DataFrame:
     return ends.groupBy("hierarchy", F.col("e.node").alias("node")).agg(F.min("e.up").alias("up"))
 
 
-def _jump(undone: DataFrame, state: DataFrame) -> DataFrame:
-    """The undone nodes after a round: each takes over the pointer of the node it points at."""
-    seen = state.select(
-        "hierarchy",
-        F.col("node").alias("ptr"),
-        F.col("ptr").alias("p2"),
-        F.col("dist").alias("d2"),
-        F.col("low").alias("l2"),
-        F.col("done").alias("done2"),
-    )
-    return undone.join(seen, ["hierarchy", "ptr"]).select(
-        "hierarchy",
-        "node",
-        F.col("p2").alias("ptr"),
-        (F.col("dist") + F.col("d2")).alias("dist"),
-        F.least("low", "l2").alias("low"),
-        F.col("done2").alias("done"),
-    )
+class _Doubling:
+    """The state of pointer doubling: rows that are done stay in the table of the round that
+    finished them; a round writes only those that were undone before it."""
 
+    def __init__(self, scratch: Scratch, first: DataFrame, carry: str, merge: Callable[[Column, Column], Column]) -> None:
+        self.scratch, self.carry, self.merge = scratch, carry, merge
+        self.steps = [scratch.write(first)]
 
-def resolve(links: DataFrame) -> DataFrame:
-    """``(hierarchy, node, root, depth, cyclic)`` of every node in ``links(hierarchy, parent, child)``.
+    @property
+    def undone(self) -> DataFrame:
+        return self.steps[-1].where(~F.col("done"))
 
-    ``root`` of a cyclic node is the smallest id on its cycle, and its depth is -1.
-    """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    start = _initial(links)
-    # ptr: the ancestor reached, dist: links jumped, low: least id among the nodes jumped over
-    state = scratch.write(
-        start.select(
+    @property
+    def done(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.where("done") for x in self.steps])
+
+    def jump(self, among: DataFrame | None = None) -> None:
+        """Each undone node takes over the pointer of the node it points at (one of ``among``)."""
+        state = self.done.unionByName(self.undone) if among is None else among
+        seen = state.select("hierarchy", F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col(self.carry).alias("c2"), F.col("done").alias("done2"))
+        moved = self.undone.join(seen, ["hierarchy", "ptr"]).select(
             "hierarchy",
             "node",
-            F.coalesce("up", "node").alias("ptr"),
-            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-            F.col("node").alias("low"),
-            F.col("up").isNull().alias("done"),
+            F.col("p2").alias("ptr"),
+            (F.col("dist") + F.col("d2")).alias("dist"),
+            self.merge(F.col(self.carry), F.col("c2")).alias(self.carry),
+            F.col("done2").alias("done"),
         )
+        self.steps.append(self.scratch.write(moved))
+
+    def keep(self) -> None:
+        for x in self.steps:
+            self.scratch.keep(x)
+
+
+def _start(links: DataFrame, carry: str) -> DataFrame:
+    """``(hierarchy, node, ptr, dist, carry, done)``: each node with its parent, a root with itself."""
+    up = F.col("up")
+    return links.select(
+        "hierarchy", "node", F.coalesce(up, "node").alias("ptr"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("dist"), F.col("node").alias(carry), up.isNull().alias("done")
     )
+
+
+def _resolve(start: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of trees ``(hierarchy, node, root, depth)``, and those on or below rings
+    ``(hierarchy, node, root)``, or None without any."""
+    scratch = Scratch(start.sparkSession, "hierarchy")
+    # ptr: the ancestor reached, dist: links jumped, low: least id among the nodes jumped over
+    state = _Doubling(scratch, _start(start, "low"), "low", F.least)
     jumped, before = 1, -1
     while True:
-        undone = state.where(~F.col("done")).count()
+        undone = state.undone.count()
         if undone in (0, before):
             break
         before = undone
-        state = scratch.replace(state, state.where("done").unionByName(_jump(state.where(~F.col("done")), state)))
+        state.jump()
         jumped *= 2
-    scratch.keep(state)
-    tree = state.where("done").select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("cyclic"))
+    tree = state.done.select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"))
     if not undone:
-        return tree
-    rings = scratch.write(state.where(~F.col("done")))  # they point at one another only
+        state.keep()
+        return tree, None
+    # the rest point at one another only
     while jumped <= undone:
-        rings = scratch.replace(rings, _jump(rings, rings))
+        state.jump(state.undone)
         jumped *= 2
-    scratch.keep(rings)
+    state.keep()
+    rings = state.undone
     least = rings.select("hierarchy", F.col("node").alias("ptr"), F.col("low").alias("root"))
-    cyclic = rings.select("hierarchy", "node", "ptr").join(least, ["hierarchy", "ptr"])
-    return tree.unionByName(cyclic.select("hierarchy", "node", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic")))
+    return tree, rings.select("hierarchy", "node", "ptr").join(least, ["hierarchy", "ptr"]).select("hierarchy", "node", "root")
+
+
+def resolve(links: DataFrame) -> DataFrame:
+    """``(hierarchy, node, root, depth, cyclic)`` of every node in ``links(hierarchy, parent, child)``.
+
+    ``root`` of a cyclic node is the smallest id on its cycle, and its depth is -1.
+    """
+    tree, rings = _resolve(_initial(links))
+    out = tree.withColumn("cyclic", F.lit(False))
+    if rings is None:
+        return out
+    return out.unionByName(rings.select("hierarchy", "node", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("cyclic")))
 
 
 def paths(links: DataFrame, separator: str = " > ") -> DataFrame:
     """``(hierarchy, node, root, depth, path)`` with the ids from the root down to the node.
 
-    The same doubling, with the segments joined as strings; nodes on or below a cycle have no
-    path and are left out (:func:`resolve` names them).
+    The same doubling over the trees, with the segments joined as strings; nodes on or below a
+    cycle have no path and are left out (:func:`resolve` names them): on a ring the segments
+    would double without end.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "paths")
-    rings = resolve(links).where("cyclic").select("hierarchy", "node")
-    start = _initial(links).join(rings, ["hierarchy", "node"], "left_anti")
-    state = scratch.write(
-        start.select(
-            "hierarchy",
-            "node",
-            F.coalesce("up", "node").alias("ptr"),
-            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-            F.col("node").alias("path"),
-            F.col("up").isNull().alias("done"),
-        )
-    )
-    while not state.where(~F.col("done")).isEmpty():
-        seen = state.select(
-            "hierarchy", F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("path").alias("path2"), F.col("done").alias("done2")
-        )
-        moved = (
-            state.where(~F.col("done"))
-            .join(seen, ["hierarchy", "ptr"])
-            .select(
-                "hierarchy",
-                "node",
-                F.col("p2").alias("ptr"),
-                (F.col("dist") + F.col("d2")).alias("dist"),
-                F.concat_ws(separator, "path2", "path").alias("path"),
-                F.col("done2").alias("done"),
-            )
-        )
-        state = scratch.replace(state, state.where("done").unionByName(moved))
-    scratch.keep(state)
-    return state.select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path")
+    scratch = Scratch(links.sparkSession, "paths")
+    start = scratch.keep(scratch.write(_initial(links)))
+    rings = _resolve(start)[1]
+    trees = start if rings is None else start.join(rings, ["hierarchy", "node"], "left_anti")
+    state = _Doubling(scratch, _start(trees, "path"), "path", lambda own, above: F.concat_ws(separator, above, own))
+    while not state.undone.isEmpty():
+        state.jump()
+    state.keep()
+    return state.done.select("hierarchy", "node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path")
 
 
 def _closure(scratch: Scratch, first: DataFrame, again: bool = False) -> DataFrame:
