@@ -157,11 +157,7 @@ class Engine:
         return self._flows
 
     def flows(self, text: str | None = None, sort: str = "criticality", limit: int = 50) -> DataFrame:
-        f = self.flow_tables[0]
-        if text:
-            f = f.where(F.lower("name").contains(text.lower()) | F.col("entry_kind").contains(text.lower()))
-        order = {"criticality": [F.desc("criticality"), "name"], "name": ["name", F.desc("criticality")], "nodes": [F.desc("nodes"), "name"]}[sort]
-        return f.orderBy(*order, "flow").limit(limit)
+        return FL.listing(self.flow_tables[0], text, sort, limit)
 
     def affected_flows(self, hunks: DataFrame) -> DataFrame:
         touched = R.touched(hunks, self.nodes).select(F.col("node_id").alias("node"))
@@ -200,10 +196,10 @@ class Engine:
         return rows[0].union(rows[1]).union(rows[2])
 
     def routes(self) -> DataFrame:
-        """Route, its view, that view's template, and the URL pattern; mounts are left out."""
-        first = lambda kind, a, b: self.edges.where(F.col("kind") == kind).groupBy(F.col("source").alias(a)).agg(F.min("target").alias(b))
-        r = self.nodes.where(F.col("kind") == "route").select(F.col("id").alias("route"), "name", "signature", "file_path")
-        rows = r.join(first("routes_to", "route", "view"), "route", "left").join(first("renders", "view", "template"), "view", "left")
+        """Route, its view, that view's template, the URL pattern, a handler that is still pending and
+        how often the route is reversed; mounts are left out."""
+        r = self.nodes.where(F.col("kind") == "route").select("id", "kind", "name", "signature", "file_path")
+        rows = R.routes(r, self.edges, self.refs)
         return rows.where(F.col("view").isNotNull() | ~F.col("name").contains("/")).orderBy("file_path", "name", "route")
 
     def links(self, limit: int = 200) -> DataFrame:

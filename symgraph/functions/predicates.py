@@ -247,6 +247,18 @@ def commit_recency(age_days: str | Column) -> Column:
     return F.when((a < 0) | (a > D.RECENCY_DAYS), 0.0).otherwise(F.exp(-D.RECENCY_DECAY * a))
 
 
+def epoch_of_day(text: str | Column) -> Column:
+    """``YYYY-MM-DD`` as seconds at midnight UTC; a day beyond its month rolls over, else null."""
+    rx = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$"
+    year, month, day = (F.regexp_extract(col(text), rx, i).try_cast("int") for i in (1, 2, 3))
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(month.between(1, 12) & day.between(1, 31), (F.unix_date(first).cast("long") + day - 1) * 86_400)
+
+
+def day_of_epoch(seconds: str | Column) -> Column:
+    return F.date_format(F.date_from_unix_date(F.floor(col(seconds) / 86_400).cast("int")), "yyyy-MM-dd")
+
+
 def file_recency(dirty: str | Column, session: str | Column, commit: str | Column) -> Column:
     w = D.RECENCY_WEIGHTS
     total = col(dirty) * w["dirty"] + col(session) * w["session"] + col(commit) * w["commit"]

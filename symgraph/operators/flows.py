@@ -141,6 +141,14 @@ def retrace(changed: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFr
     return new_flows, new_members
 
 
+def listing(flows: DataFrame, text: str | None = None, sort: str = "criticality", limit: int = 50) -> DataFrame:
+    """The first flows by criticality, name or size, all or those that a text names."""
+    if text:
+        flows = flows.where(F.lower("name").contains(text.lower()) | F.col("entry_kind").contains(text.lower()))
+    order = {"criticality": [F.desc("criticality"), "name"], "name": ["name", F.desc("criticality")], "nodes": [F.desc("nodes"), "name"]}[sort]
+    return flows.orderBy(*order, "flow").limit(limit)
+
+
 def participation(flows: DataFrame, members: DataFrame, top: int = 64) -> DataFrame:
     """``(node, total, most, flow_name)``: summed criticality over each symbol's best flows."""
     m = members.join(flows.select("flow", "name", "criticality"), "flow")

@@ -69,6 +69,37 @@ def field_relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return fields.where(F.col("related").isNotNull()).select("owner", "member", "related")
 
 
+def returned_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(callable, type)``: what functions and methods are declared to return."""
+    n = nodes.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("source"))
+    e = edges.where(F.col("kind") == "returns").join(n, "source", "left_semi")
+    return e.select(F.col("source").alias("callable"), F.col("target").alias("type")).distinct()
+
+
+def identities(nodes: DataFrame) -> DataFrame:
+    """``(project_id, file_path, name, what, nodes, first)``: callables and classes by file and name."""
+    kinds = F.when(F.col("kind").isin("class", "model"), "class").when(F.col("kind").isin("function", "method"), "callable")
+    n = nodes.withColumn("what", kinds).where(F.col("what").isNotNull())
+    return n.groupBy("project_id", "file_path", "name", "what").agg(F.count(F.lit(1)).alias("nodes"), F.min("id").alias("first"))
+
+
+def defined_in_project(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The references whose name a definition of their project has."""
+    n = nodes.where(P.is_definition("kind")).select("project_id", F.col("name").alias("reference_name")).distinct()
+    return refs.join(n, ["project_id", "reference_name"], "left_semi")
+
+
+def routes(nodes: DataFrame, edges: DataFrame, refs: DataFrame, pending: str = "routes_to") -> DataFrame:
+    """Each route of ``nodes`` with its first handler, that one's first template, the first pending
+    reference of the kind ``pending`` where it has no handler, and how often it is reversed."""
+    first = lambda kind, a, b: edges.where(F.col("kind") == kind).groupBy(F.col("source").alias(a)).agg(F.min("target").alias(b))
+    waits = refs.where(F.col("reference_kind") == pending).groupBy(F.col("from_node_id").alias("route")).agg(F.min("reference_name").alias("unresolved"))
+    used = edges.where(F.col("kind") == "resolves").groupBy(F.col("target").alias("route")).agg(F.count(F.lit(1)).alias("reversed"))
+    rows = nodes.withColumnRenamed("id", "route").drop("kind").join(first("routes_to", "route", "view"), "route", "left").join(first("renders", "view", "template"), "view", "left")
+    rows = rows.join(waits, "route", "left").join(used, "route", "left")
+    return rows.withColumn("unresolved", F.when(F.col("view").isNull(), F.col("unresolved"))).withColumn("reversed", F.coalesce("reversed", F.lit(0).cast("long")))
+
+
 def model_relations(of: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(model, direction, other, name)`` of the models ``of(id)``: what each relates ``to`` and what
     relates to it (``from``), declared relations only, each once."""

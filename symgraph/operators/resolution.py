@@ -236,17 +236,17 @@ def import_mappings(content: DataFrame) -> DataFrame:
 
     In the JVM: lines, then the imported names with their aliases.
     """
-    line = F.explode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n"))
-    rows = content.where(F.lower("file_path").endswith(".py")).select("project_id", "file_path", line.alias("l"))
-    got = rows.where(F.col("l").rlike(r"^\s*from\s+[.\w]+\s+import\s+")).select(
-        "project_id",
-        "file_path",
-        F.regexp_extract("l", r"^\s*from\s+([.\w]+)\s+import\s+", 1).alias("source"),
-        F.explode(F.split(F.regexp_replace(F.regexp_extract("l", r"import\s+(.*)$", 1), r"[()]|#.*$", ""), ",")).alias("x"),
-    )
-    plain = rows.where(F.col("l").rlike(r"^\s*import\s+[\w.]+")).select(
-        "project_id", "file_path", F.explode(F.split(F.regexp_replace(F.regexp_extract("l", r"^\s*import\s+(.*)$", 1), r"#.*$", ""), ",")).alias("x")
-    )
+    text = F.regexp_replace("content", r"\r\n?", "\n")
+    rows = content.where(F.lower("file_path").endswith(".py")).select("project_id", "file_path", text.alias("t"))
+    part = lambda rx, i: F.regexp_extract_all("t", F.lit(rx), F.lit(i))
+    # names in brackets run over lines
+    rx = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n]*)"
+    both = F.arrays_zip(part(rx, 1).alias("source"), part(rx, 2).alias("names"))
+    got = rows.select("project_id", "file_path", F.explode(both).alias("f")).select("project_id", "file_path", "f.source", "f.names")
+    bare = F.regexp_replace(F.regexp_replace("names", r"#[^\n]*", ""), "[()]", " ")
+    got = got.select("project_id", "file_path", "source", F.explode(F.split(bare, ",")).alias("x"))
+    plain = rows.select("project_id", "file_path", F.explode(part(r"(?m)^[ \t]*import[ \t]+([\w.][^\n]*)", 1)).alias("names"))
+    plain = plain.select("project_id", "file_path", F.explode(F.split(F.regexp_replace("names", "#.*$", ""), ",")).alias("x"))
     name = F.regexp_extract("x", r"^\s*([\w.]+)", 1)
     alias = F.regexp_extract("x", r"\sas\s+(\w+)", 1)
     a = got.select("project_id", "file_path", F.when(alias != "", alias).otherwise(name).alias("local_name"), name.alias("exported_name"), "source")
@@ -430,6 +430,48 @@ def inherited_calls(refs: DataFrame, edges: DataFrame, nodes: DataFrame, inherit
     return _out(r.join(inherited.withColumnRenamed("method", "target"), ["cls", "name"]), 0.85, "inherited")
 
 
+def receiver_calls(refs: DataFrame, receivers: DataFrame, edges: DataFrame, nodes: DataFrame, inherited: DataFrame) -> DataFrame:
+    """Calls on a receiver of a known class ``receivers(ref_id, cls)``: the class's own sole method
+    of the name, else the inherited one that answers it (0.85).
+
+    The class may come from the receiver's type (:func:`typed_classes`), from a relation it is
+    (:func:`related_classes`) or from what its file imported (:func:`imported_classes`); of several
+    claims none counts.
+    """
+    held = edges.where(F.col("kind") == "contains").select(F.col("source").alias("cls"), F.col("target").alias("id")).distinct()
+    own = held.join(nodes.where(F.col("kind") == "method").select("id", "name"), "id").groupBy("cls", "name").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("target"))
+    every = own.where("c = 1").select("cls", "name", "target").unionByName(inherited.select("cls", "name", F.col("method").alias("target")).join(own, ["cls", "name"], "left_anti"))
+    r = refs.where(F.col("reference_kind") == "calls").select("ref_id", F.col("reference_name").alias("name"))
+    return _out(r.join(unique_claims(receivers, ["ref_id"], "cls"), "ref_id").join(every, ["cls", "name"]), 0.85, "receiver")
+
+
+def _sole_classes(nodes: DataFrame) -> DataFrame:
+    """``(project_id, name, cls)``: classes that alone have their name in a project."""
+    c = nodes.where(F.col("kind").isin("class", "model")).select("project_id", "name", "id")
+    return c.groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("cls")).where("c = 1").drop("c")
+
+
+def typed_classes(refs: DataFrame, steer: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(ref_id, cls)``: the receiver's type by its name, where one class of the project has it."""
+    r = refs.select("ref_id", "project_id").join(steer.where(F.col("typed") & F.col("plain").isNotNull()).select("ref_id", F.substring_index("plain", ".", -1).alias("name")), "ref_id")
+    return r.join(_sole_classes(nodes), ["project_id", "name"]).select("ref_id", "cls")
+
+
+def related_classes(refs: DataFrame, steer: DataFrame, relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(ref_id, cls)``: ``Owner.accessor`` receivers by ``relations(owner, accessor, related)``."""
+    r = refs.select("ref_id", "project_id").join(steer.where(F.col("plain").contains(".")).select("ref_id", "plain"), "ref_id")
+    r = r.select("ref_id", "project_id", F.element_at(F.split("plain", r"\."), -2).alias("owner"), F.substring_index("plain", ".", -1).alias("accessor"))
+    to = r.join(relations, ["owner", "accessor"]).select("ref_id", "project_id", F.col("related").alias("name"))
+    return to.join(_sole_classes(nodes), ["project_id", "name"]).select("ref_id", "cls")
+
+
+def imported_classes(refs: DataFrame, steer: DataFrame, mappings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(ref_id, cls)``: receivers that their file imported, by the exported name."""
+    r = refs.select("ref_id", "project_id", "file_path").join(steer.where(F.col("plain").isNotNull()).select("ref_id", F.substring_index("plain", ".", 1).alias("local_name")), "ref_id")
+    m = unique_claims(mappings.where(F.col("exported_name") != ""), ["project_id", "file_path", "local_name"], "exported_name")
+    return r.join(m, ["project_id", "file_path", "local_name"]).withColumnRenamed("exported_name", "name").join(_sole_classes(nodes), ["project_id", "name"]).select("ref_id", "cls")
+
+
 def unique_claims(claims: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with one distinct value; conflicting claims are void."""
     g = claims.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value))

@@ -109,6 +109,12 @@ def as_of(changes: DataFrame, at: int) -> DataFrame:
     return last.select(*keys, "v.*").where(F.col("change_kind") != "removed")
 
 
+def has_revisions(projects: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``(id, has_history)`` of ``projects(id)``: whether any symbol revision of it is known."""
+    seen = revisions.select(F.col("project_id").alias("id")).distinct().withColumn("has_history", F.lit(True))
+    return projects.select("id").join(seen, "id", "left").select("id", F.coalesce("has_history", F.lit(False)).alias("has_history"))
+
+
 def file_touches(commits: DataFrame, files: DataFrame) -> DataFrame:
     """The revisions of every file in order."""
     t = files.select("project_id", "commit_hash", "file_path").distinct().join(commits.select("project_id", "commit_hash", "committed_at"), ["project_id", "commit_hash"])

@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from symgraph.plans import analysis, pipeline, relational
+from symgraph.plans import analysis, lifecycle, pipeline, relational
 
 from .conftest import DATA, check_sql
 
-REG = [pipeline.registry, relational.registry, analysis.registry]
+REG = [pipeline.registry, relational.registry, analysis.registry, lifecycle.registry]
 WITH_SQL = [(n, r) for r in REG for n in r.queries if n in r.sql]
 WITHOUT = [(n, r) for r in REG for n in r.queries if n not in r.sql]
 
