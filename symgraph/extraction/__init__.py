@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -26,7 +26,6 @@ COLUMNS = {
     "record": "string", "kind": "string", "name": "string", "qualified_name": "string", "source": "string", "line": "int", "end_line": "int", "col": "int",
     "signature": "string", "docstring": "string", "decorators": "string", "candidates": "string", "exported": "boolean", "module": "string",
 }
-SCHEMA = "project_id string, file_path string, language string, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 
 _REGISTRY: dict[str, Extractor] = {}
 
@@ -56,33 +55,48 @@ def extract_text(language: str, path: str, text: str, table: dict[str, Extractor
         return [{"record": "error", "kind": "error", "name": type(e).__name__, "docstring": str(e)[:500]}]
 
 
-def extract(content: DataFrame) -> DataFrame:
+def _mangled() -> Column:
+    # mangled scripts are worthless; mangled style sheets keep their selectors
+    return (F.col("language") == "javascript") & (P.is_minified_source("content") | P.is_minified_path("file_path"))
+
+
+def extract(content: DataFrame, *carried: str) -> DataFrame:
     """Records of every file in ``content(project_id, file_path, content)``.
 
     Files of unknown languages, above the size limit, and minified scripts give no record; null
     contents neither. Records: node, edge (inside the file), ref, import, event, error.
+    ``carried``: text columns of ``content`` that go with each record of their file; then a file
+    without any record has one of kind ``skipped`` with the reason, so that it is known as read.
     """
     table = extractors()
-    rows = content.where(F.col("content").isNotNull() & (F.octet_length("content") <= MOST_BYTES)).withColumn("language", P.language_of("file_path"))
-    # mangled scripts are worthless; mangled style sheets keep their selectors
-    rows = rows.where(F.col("language").isNotNull() & ~((F.col("language") == "javascript") & (P.is_minified_source("content") | P.is_minified_path("file_path"))))
+    rows = content.where(F.col("content").isNotNull()).withColumn("language", P.language_of("file_path"))
+    why = F.when(F.col("language").isNull(), "language").when(F.octet_length("content") > MOST_BYTES, "size").when(_mangled(), "minified")
+    rows = rows.withColumn("_why", why)
+    if not carried:
+        rows = rows.where(F.col("_why").isNull())
+    rows = rows.withColumn("content", F.when(F.col("_why").isNull(), F.col("content")))
+    names = ["project_id", "file_path", "language", *carried, *COLUMNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for project, path, language, text in zip(pdf["project_id"], pdf["file_path"], pdf["language"], pdf["content"]):
-                for r in extract_text(language, path, text, table):
-                    row = [project, path, language]
+            for project, path, language, text, why, *more in zip(*(pdf[c] for c in ("project_id", "file_path", "language", "content", "_why", *carried))):
+                found = extract_text(language, path, text, table) if isinstance(text, str) else []
+                if carried and not found:
+                    found = [{"record": "skipped", "kind": "skipped", "name": why or "empty"}]
+                for r in found:
+                    row = [project, path, language, *more]
                     for c, kind in COLUMNS.items():
                         v = r.get(c)
                         row.append(json.dumps(v, ensure_ascii=False) if isinstance(v, list) else v)
                     out.append(row)
-            frame = pd.DataFrame(out, columns=["project_id", "file_path", "language", *COLUMNS])
+            frame = pd.DataFrame(out, columns=names)
             for c, kind in COLUMNS.items():
                 frame[c] = frame[c].astype({"int": "Int32", "boolean": "boolean"}.get(kind, object))
             yield frame
 
-    return rows.select("project_id", "file_path", "language", "content").mapInPandas(run, SCHEMA)
+    schema = "project_id string, file_path string, language string, " + "".join(f"`{c}` string, " for c in carried) + ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
+    return rows.select("project_id", "file_path", "language", "content", "_why", *carried).mapInPandas(run, schema)
 
 
 def node_id(path: str) -> object:

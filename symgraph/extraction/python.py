@@ -13,6 +13,11 @@ _TEST = re.compile(r"(?:TestCase|Tests?)$")
 _LAYER = re.compile(r"(?:View|Form|Model|Service|Serializer|Admin|Manager)$")
 # Attributes of class-based views that name a model or a form.
 _VIEW_ATTRIBUTES = ("model", "form_class", "serializer_class", "queryset_class", "filterset_class")
+# Shortcuts that answer with a model, ends of a queryset's chain that answer with one
+# instance, and those that answer with a collection.
+_SHORTCUTS = ("get_object_or_404", "get_list_or_404")
+_SINGLE = ("get", "first", "last", "latest", "earliest", "create", "get_or_create", "update_or_create")
+_COLLECTIONS = ("all", "filter", "exclude", "order_by", "select_related", "prefetch_related", "annotate", "distinct", "none", "reverse")
 
 
 def dotted(e: ast.AST) -> str | None:
@@ -207,7 +212,36 @@ class _Walk(ast.NodeVisitor):
                 self.ref(kind, x.value, x, None, q)
 
     # -- bindings and expressions
+    def context(self, s: ast.Assign) -> None:
+        """What a function binds a local to: an instance or a collection of a model, or what an
+        accessor of another local holds."""
+        if len(s.targets) != 1 or not isinstance(s.targets[0], ast.Name) or not isinstance(s.value, ast.Call):
+            return
+        local, call = s.targets[0].id, s.value
+        maker = (dotted(call.func) or "").rsplit(".", 1)[-1]
+        if maker in _SHORTCUTS and call.args and not isinstance(call.func, ast.Call):
+            model = (dotted(call.args[0]) or "").rsplit(".", 1)[-1]
+            if model[:1].isupper():
+                self.ref("context_type", model, s, [local, *([MARK + "collection"] if maker == "get_list_or_404" else [])])
+                return
+        chain: list[str] = []
+        base: ast.AST = call
+        while isinstance(base, ast.Call) and isinstance(base.func, ast.Attribute):
+            chain.append(base.func.attr)
+            base = base.func.value
+        if not chain or not isinstance(base, ast.Attribute):
+            return
+        single = chain[0] in _SINGLE
+        if base.attr == "objects":
+            model = (dotted(base.value) or "").rsplit(".", 1)[-1]
+            if model[:1].isupper():
+                self.ref("context_type", model, s, [local, *([] if single else [MARK + "collection"])])
+        elif isinstance(base.value, ast.Name) and base.value.id not in ("self", "cls") and not base.value.id[:1].isupper() and chain[0] in _COLLECTIONS:
+            self.ref("derived_collection", base.attr, s, [local, base.value.id])
+
     def visit_Assign(self, s: ast.Assign) -> None:
+        if len(self.types) > 1:  # in a function
+            self.context(s)
         if self.here == self.path:
             for t in s.targets:
                 if isinstance(t, ast.Name) and t.id != "__all__":

@@ -14,9 +14,10 @@ BUILTIN = frozenset(
     ifchanged endifchanged include load lorem now regroup resetcycle spaceless endspaceless templatetag url verbatim endverbatim widthratio with endwith static
     get_static_prefix get_media_prefix trans translate blocktrans endblocktrans blocktranslate endblocktranslate plural language endlanguage cache endcache""".split()
 )
+# The filters that every template has, with those of the framework's humanize library.
 _BUILTIN_FILTERS = frozenset(
-    """add addslashes capfirst center cut date default default_if_none dictsort dictsortreversed divisibleby escape escapejs filesizeformat first floatformat
-    force_escape get_digit iriencode join json_script last length linebreaks linebreaksbr linenumbers ljust lower make_list phone2numeric pluralize pprint random
+    """add addslashes apnumber capfirst center cut date default default_if_none dictsort dictsortreversed divisibleby escape escapejs filesizeformat first floatformat
+    force_escape get_digit intcomma intword iriencode join json_script last length length_is linebreaks linebreaksbr linenumbers ljust lower make_list naturalday naturaltime ordinal phone2numeric pluralize pprint random
     rjust safe safeseq slice slugify stringformat striptags time timesince timeuntil title truncatechars truncatewords unordered_list upper urlencode urlize
     wordcount wordwrap yesno""".split()
 )

@@ -33,10 +33,11 @@ FRAMEWORK_SUFFIXES = ("Admin", "Config", "Migration")
 # Field constructors that declare a relation.
 RELATION_FIELDS = ("ForeignKey", "ManyToManyField", "OneToOneField", "GenericRelation")
 # Query words without a ranking signal.
-STOP_WORDS = frozenset(
-    """add all also and any are back been being but can could did does for from get gets got has have how into its make new nor not onto set should that the
-    these this those use used uses via was were what when where which who why will with would yet""".split()
-)
+STOP_WORDS = (
+    "add", "all", "also", "and", "any", "are", "back", "been", "being", "but", "can", "could", "did", "does", "for", "from", "get", "gets", "got", "has",
+    "have", "how", "into", "its", "make", "new", "nor", "not", "onto", "set", "should", "that", "the", "these", "this", "those", "use", "used", "uses", "via",
+    "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "yet",
+)
 # Queryset methods that are never bound by name.
 QUERYSET_BUILTINS = (
     "aggregate", "all", "annotate", "bulk_create", "bulk_update", "contains", "count", "create", "defer", "delete", "difference", "distinct", "earliest", "exclude",

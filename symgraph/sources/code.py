@@ -4,20 +4,86 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import predicates as P
+from ..session import filesystem
 
 # Folders that a walk does not enter.
-SKIPPED = (".git", ".hg", ".svn", ".tox", ".nox", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".idea", ".vscode")
+SKIPPED = (".git", ".mypy_cache", ".pytest_cache", ".tox", ".venv", "__pycache__", "migrations", "node_modules", "venv")
+
+
+def ignore_rules(folder: str, text: str) -> list[tuple[str, str, bool, bool]]:
+    """The rules of an ignore file in ``folder`` (empty for the root): where they hold, a pattern
+    of names or of paths below, whether folders only, whether they take back."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        rule = rule[1:] if back else rule.removeprefix("\\")
+        only = rule.endswith("/")
+        rule = rule.rstrip("/")
+        anchored = "/" in rule
+        rx = ""
+        for part in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\]|.", rule.lstrip("/")):
+            if part == "**/":
+                rx += "(?:.*/)?"
+            elif part == "/**":
+                rx += "/.*"
+            elif part in ("**", "*"):
+                rx += ".*" if part == "**" else "[^/]*"
+            elif part == "?":
+                rx += "[^/]"
+            else:
+                rx += part.replace("[!", "[^") if len(part) > 1 else re.escape(part)
+        out.append((folder, rx if anchored else f"(?:.*/)?{rx}", only, back))
+    return out
+
+
+def is_ignored(path: str, rules: list[tuple[str, str, bool, bool]]) -> bool:
+    """Whether the rules leave a file out: of those that match the last holds, and nothing below a
+    folder that is left out can be taken back."""
+    parts = path.split("/")
+    for i in range(1, len(parts) + 1):
+        at, whole = "/".join(parts[:i]), i == len(parts)
+        left = False
+        for folder, rx, only, back in rules:
+            if only and whole:
+                continue
+            below = at if not folder else at[len(folder) + 1 :] if at.startswith(folder + "/") else None
+            if below and re.fullmatch(rx, below):
+                left = not back
+        if left:
+            return True
+    return False
+
+
+def _ignore_files(spark: SparkSession, base: str, folders: list[str]) -> list[tuple[str, str, bool, bool]]:
+    """The rules of a checkout's ignore files, outer folders first. Spark's own listing hides them."""
+    every = {""} | {"/".join(f.split("/")[:i]) for f in folders for i in range(1, f.count("/") + 2) if f}
+    fs, path = filesystem(spark, base)
+    out = []
+    for folder in sorted(every, key=lambda f: (f.count("/") + bool(f), f)):
+        at = path("/".join(x for x in (base.rstrip("/"), folder, ".gitignore") if x))
+        if fs.exists(at):
+            stream = fs.open(at)
+            try:
+                out += ignore_rules(folder, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+    return out
 
 
 def walk(spark: SparkSession, root: str, project_id: str, most_bytes: int = 8 * 1024 * 1024) -> DataFrame:
     """``(project_id, file_path, content, size_bytes, modified_at)`` of a checkout's source files.
 
-    The listing and the reads are distributed; skipped folders and foreign suffixes are filtered
-    on the path before any content is read.
+    The listing and the reads are distributed. Skipped folders, foreign suffixes and what the
+    checkout's own ignore files leave out are filtered by the path.
     """
     base = "file:" + root if "://" not in root and not root.startswith("file:") else root
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -25,6 +91,14 @@ def walk(spark: SparkSession, root: str, project_id: str, most_bytes: int = 8 *
     skip = "(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"
     rows = raw.where(F.col("length") <= most_bytes).select(rel.alias("file_path"), "content", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_at"))
     rows = rows.where(P.language_of("file_path").isNotNull() & ~F.col("file_path").rlike(skip))
+    rules = _ignore_files(spark, base, [r[0] for r in rows.select(F.regexp_replace("file_path", "/?[^/]*$", "")).distinct().collect()])  # folders, not files
+    if rules:
+
+        @F.pandas_udf(BooleanType())
+        def kept(paths: pd.Series) -> pd.Series:
+            return paths.map(lambda p: not is_ignored(p, rules))
+
+        rows = rows.where(kept("file_path"))
     return rows.select(F.lit(project_id).alias("project_id"), "file_path", F.decode("content", "UTF-8").alias("content"), "size_bytes", "modified_at")
 
 

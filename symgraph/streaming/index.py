@@ -72,7 +72,8 @@ class IncrementalIndex:
             return base  # a replay
         keys = ["project_id", "file_path"]
         fresh = self.changed_only(content)
-        records = X.extract(fresh).join(fresh.select(*keys, "content_hash"), keys).withColumn("fingerprint", F.lit(self.fingerprint))
+        # the hash goes through the extractor; a file without symbols is stored as such, and not read again
+        records = X.extract(fresh, "content_hash").withColumn("fingerprint", F.lit(self.fingerprint))
         touched = fresh.select(*keys)
         if removed is not None:
             touched = touched.union(removed.select(*keys)).distinct()

@@ -217,6 +217,36 @@ def test_walk_and_extract(spark, tmp_path):
     assert ("listen", "open") in rows(t["events"], "role", "event_name")
 
 
+def test_ignore_files(spark, tmp_path):
+    rules = code.ignore_rules("", "# c\n*.gen.py\n/out/\nlogs\n!keep.gen.py\ndocs/**/x.py\n") + code.ignore_rules("sub", "/a.py\n")
+    left = [p for p in ("a.gen.py", "b/a.gen.py", "keep.gen.py", "out/a.py", "b/out/a.py", "logs/a.py", "b/logs", "docs/x.py", "docs/a/b/x.py", "x.py", "sub/a.py", "sub/b/a.py", "a.py") if code.is_ignored(p, rules)]
+    assert left == ["a.gen.py", "b/a.gen.py", "out/a.py", "logs/a.py", "b/logs", "docs/x.py", "docs/a/b/x.py", "sub/a.py"]
+    (tmp_path / "env").mkdir()
+    (tmp_path / "migrations").mkdir()
+    for p in ("env/a.py", "migrations/b.py", "c.gen.py", "d.py"):
+        (tmp_path / p).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("*.gen.py\n")
+    assert rows(code.walk(spark, str(tmp_path), "p"), "file_path") == [("d.py",), ("env/a.py",)]
+
+
+def test_context_types():
+    from symgraph.extraction import python
+
+    text = "def view(request, pk):\n    order = get_object_or_404(models.Order, pk=pk)\n    rows = Line.objects.filter(a=1).order_by('b')\n    one = Line.objects.get(pk=1)\n    sub = order.lines.all()\n    last = order.lines.first()\n    x = self.kind.objects.all()\n\n\ny = Line.objects.all()\n"
+    got = [(r["kind"], r["name"], r["candidates"]) for r in python.extract("a/views.py", text) if r["record"] == "ref" and r["kind"] in ("context_type", "derived_collection")]
+    assert got == [("context_type", "Order", ["order"]), ("context_type", "Line", ["rows", "\x01collection"]), ("context_type", "Line", ["one"]), ("derived_collection", "lines", ["sub", "order"])]
+
+
+def test_files_without_symbols_are_read_once(spark, tmp_path):
+    from symgraph.streaming.index import IncrementalIndex
+
+    index = IncrementalIndex(spark, f"file://{tmp_path}/index")
+    content = spark.createDataFrame([("p", "a.py", "x = 1\n"), ("p", "b.txt", "no"), ("p", "c.js", "var a=1;" * 900), ("p", "d.css", ""), ("p", "n.py", None)], "project_id string, file_path string, content string")
+    index.apply(content)
+    assert rows(index.table.snapshot().where("record = 'skipped'"), "file_path", "name") == [("b.txt", "language"), ("c.js", "minified")]
+    assert index.changed_only(content.where("content IS NOT NULL")).count() == 0
+
+
 def test_registered_extractor(spark):
     X.register("css", lambda path, text: [{"record": "node", "kind": "file", "name": path, "qualified_name": path, "line": 1, "end_line": 1}])
     try:
