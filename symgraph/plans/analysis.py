@@ -1,4 +1,4 @@
-"""Queries of graph walks, flows, risk, filters, search, resolution and mutations."""
+"""Queries of graph walks, flows, risk, filters, search, resolution, mutations and extraction."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from ..operators import risk as RK
 from ..operators import search as SE
 from ..operators import temporal as T
 from ..operators.incremental import manifest_diff
-from ..operators.winnow import cascade, winnow
+from ..operators.winnow import winnow
 from ..sources import graph as G
 from ..sources.tables import read
 from . import sqltext as S
@@ -128,17 +128,6 @@ def paths_to_base(s: SparkSession, d: str) -> DataFrame:
     return p.select("source", "target", "hops", F.array_join("path", " > ").alias("path"))
 
 
-@q("flow_connections")
-def flow_connections(s: SparkSession, d: str) -> DataFrame:
-    """Paths among the four names that most nodes of one project share (at most 12 nodes each)."""
-    n = G.nodes(s, d, "project_id", "name").where(P.is_definition("kind"))
-    e = G.edges(s, d, "source", "target")
-    deg = e.where(F.col("kind").isin(*D.PATH_KINDS)).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    ranked = n.join(deg, "id").orderBy(F.desc("deg"), "id").limit(48)
-    groups = ranked.groupBy("name").agg(F.max("deg").alias("deg"), F.slice(F.sort_array(F.collect_list("id")), 1, 12).alias("ids")).orderBy(F.desc("deg"), "name").limit(4)
-    return GR.connect(groups.select("name", F.explode("ids").alias("id")), e)
-
-
 @q("feature_slices")
 def feature_slices(s: SparkSession, d: str) -> DataFrame:
     n = G.nodes(s, d, "name", "file_path")
@@ -311,12 +300,6 @@ def winnow_extends(s: SparkSession, d: str) -> DataFrame:
     return w.select("id", "name")
 
 
-@q("winnow_cascade")
-def winnow_cascade(s: SparkSession, d: str) -> DataFrame:
-    n = G.nodes(s, d, "project_id", "name", "qualified_name", "file_path", "language", "start_line", "end_line", "decorators")
-    return cascade(n, G.edges(s, d, "source", "target"), [("kind", "eq", "method"), ("callers", ">", "3"), ("lines", ">", "8"), ("calls", "contains", "load")])
-
-
 @q(
     "churn_recency",
     f"""WITH {S.COMMITS}, c AS (SELECT file_path, count(DISTINCT commit_hash) AS commits, max(committed_at) AS latest FROM commits JOIN commit_files USING (project_id, commit_hash) WHERE committed_at >= {SINCE} GROUP BY ALL),
@@ -350,20 +333,6 @@ def search_documents(s: SparkSession, d: str) -> DataFrame:
     return SE.bm25(docs, ["doc_id"], "text", TERMS).select("doc_id", "matched", F.round("score", 6).alias("score"))
 
 
-@q("search_contents")
-def search_contents(s: SparkSession, d: str) -> DataFrame:
-    """Files by stemmed BM25 (no SQL: DuckDB's stemmer is a later Porter)."""
-    key = ["project_id", "file_path"]
-    from ..functions.porter import stem
-
-    return SE.bm25_stemmed(G.content(s, d), key, "content", [stem(t) for t in ("resolved", "sessions", "importing")]).select(*key, "matched", F.round("score", 6).alias("score"))
-
-
-@q("search_symbols")
-def search_symbols(s: SparkSession, d: str) -> DataFrame:
-    return SE.search_text(G.nodes(s, d, "project_id", "name", "qualified_name", "file_path", "start_line", "docstring", "signature"), "resolve", 50).select("id", "kind", "name")
-
-
 @q("search_fuzzy", f"WITH {S.N} SELECT id, name FROM n WHERE kind IN ({S.quoted(D.DEFINITION_KINDS)}) AND length(name) <= 17 AND regexp_matches(lower(name), 't.*k.*v.*w') ORDER BY length(name), id")
 def search_fuzzy(s: SparkSession, d: str) -> DataFrame:
     n = G.nodes(s, d, "name", "file_path", "start_line").where(F.length("name") <= 17)
@@ -448,18 +417,6 @@ def resolve_references(s: SparkSession, d: str) -> DataFrame:
     return RES.resolve(G.refs(s, d), G.ref_candidates(s, d), n, RES.import_mappings(G.content(s, d)))
 
 
-@q("import_mappings")
-def import_mappings(s: SparkSession, d: str) -> DataFrame:
-    return RES.import_mappings(G.content(s, d))
-
-
-@q("link_projects")
-def link_projects(s: SparkSession, d: str) -> DataFrame:
-    n = G.nodes(s, d, "project_id", "name", "file_path")
-    only = G.projects(s, d).where("reference_only").select("id")
-    return RES.link_projects(G.refs(s, d), RES.steering(G.ref_candidates(s, d)), n, only)
-
-
 _LINK_KINDS = {"relates_to": ("model",), "instantiates": ("class", "model"), "handles": ("function", "method"), "extends": ("class", "model")}
 
 
@@ -487,17 +444,6 @@ def inherited_calls(s: SparkSession, d: str) -> DataFrame:
     return RES.inherited_calls(G.refs(s, d), e, n, GR.inherited_methods(e, n)).select("ref_id", "target")
 
 
-@q("external_edges")
-def external_edges(s: SparkSession, d: str) -> DataFrame:
-    first = G.projects(s, d).where(~F.col("reference_only")).select(F.col("id").alias("package"))
-    return RES.externals(G.refs(s, d), RES.import_mappings(G.content(s, d)), first)[1]
-
-
-@q("redirects")
-def redirects(s: SparkSession, d: str) -> DataFrame:
-    return RES.redirects(G.nodes(s, d, "name", "qualified_name", "file_path"))
-
-
 # --- mutations (B1-B10, A17, M9) ----------------------------------------------------------------------------------------
 
 

@@ -299,31 +299,32 @@ def model_slices(s: SparkSession, d: str) -> DataFrame:
 
 
 @q(
-    "verb_connections",
+    "flow_connections",
     f"""WITH RECURSIVE {S.N}, {S.E}, {_STEP.format(S.quoted(D.PATH_KINDS))}, g AS (SELECT id, kind AS name FROM n WHERE kind IN ('view', 'model', 'template')),
 w AS (SELECT id AS source, id AS node, [id] AS path FROM g UNION ALL SELECT w.source, s.dst, list_append(w.path, s.dst) FROM w JOIN step s ON s.src = w.node WHERE len(w.path) <= 6 AND NOT list_contains(w.path, s.dst)),
 b AS (SELECT source, node, path FROM w WHERE len(path) > 1 QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) = 1),
 p AS (SELECT x.name AS from_name, y.name AS to_name, len(path) - 1 AS hops, path FROM b JOIN g x ON x.id = source JOIN g y ON y.id = node WHERE x.name <> y.name AND NOT starts_with(node, source || '.') AND NOT starts_with(source, node || '.'))
 SELECT from_name, to_name, CAST(hops AS INTEGER) AS hops, array_to_string(path, ' > ') AS path FROM p QUALIFY row_number() OVER (PARTITION BY from_name, to_name ORDER BY hops, path) = 1""",
 )
-def verb_connections(s: SparkSession, d: str) -> DataFrame:
+def flow_connections(s: SparkSession, d: str) -> DataFrame:
     """Shortest ways among three groups: views, models and templates."""
     groups = G.nodes(s, d, "name").where(F.col("kind").isin("view", "model", "template")).select(F.col("kind").alias("name"), "id")
     c = GR.connect(groups, G.edges(s, d, "source", "target"), 100)
     return c.select("from_name", "to_name", "hops", F.array_join("path", " > ").alias("path"))
 
 
-_CASCADE = [("kind", "eq", "method"), ("lines", ">", "8"), ("callers", ">", "0")]
+_CASCADE = [("calls", "contains", "load"), ("kind", "eq", "method"), ("callers", ">", "0"), ("lines", ">", "8")]
 
 
 @q(
-    "method_cascade",
+    "winnow_cascade",
     f"""WITH {S.N}, {S.E}, cl AS (SELECT target AS id, count(DISTINCT source) AS callers FROM e WHERE kind <> 'contains' AND source IN (SELECT id FROM n) GROUP BY target),
-x AS (SELECT n.kind = 'method' AS a, coalesce(end_line - start_line + 1 > 8, false) AS b, coalesce(callers, 0) > 0 AS c FROM n LEFT JOIN cl USING (id))
-SELECT 0 AS step, 'all' AS criterion, count(*) AS "left" FROM x UNION ALL SELECT 1, 'kind eq method', count(*) FROM x WHERE a UNION ALL SELECT 2, 'lines > 8', count(*) FROM x WHERE a AND b
-UNION ALL SELECT 3, 'callers > 0', count(*) FROM x WHERE a AND b AND c""",
+ld AS (SELECT DISTINCT source AS id FROM e JOIN n t ON t.id = target WHERE e.kind = 'calls' AND contains(lower(t.name), 'load')),
+x AS (SELECT n.kind = 'method' AS a, coalesce(end_line - start_line + 1 > 8, false) AS b, coalesce(callers, 0) > 0 AS c, ld.id IS NOT NULL AS d FROM n LEFT JOIN cl USING (id) LEFT JOIN ld USING (id))
+SELECT 0 AS step, 'all' AS criterion, count(*) AS "left" FROM x UNION ALL SELECT 1, 'kind eq method', count(*) FROM x WHERE a
+UNION ALL SELECT 2, 'lines > 8', count(*) FROM x WHERE a AND b UNION ALL SELECT 3, 'callers > 0', count(*) FROM x WHERE a AND b AND c UNION ALL SELECT 4, 'calls contains load', count(*) FROM x WHERE a AND b AND c AND d""",
 )
-def method_cascade(s: SparkSession, d: str) -> DataFrame:
+def winnow_cascade(s: SparkSession, d: str) -> DataFrame:
     n = G.nodes(s, d, "project_id", "name", "qualified_name", "file_path", "language", "start_line", "end_line", "decorators")
     return cascade(n, G.edges(s, d, "source", "target"), _CASCADE)
 
@@ -396,7 +397,7 @@ _DOTTED = r"replace(regexp_replace(regexp_replace(replace({}, '\', '/'), '\.[^./
 
 
 @q(
-    "linked_imports",
+    "link_projects",
     f"""WITH {S.N}, {S.E}, k AS (SELECT id, project_id, name, file_path, {_DOTTED.format('file_path')} AS dotted FROM n WHERE kind IN ({S.quoted(D.LINKABLE_KINDS)}) AND NOT {S.generated_path('file_path')}),
 r AS (SELECT edge_id AS ref_id, a.project_id, b.name, regexp_extract({_DOTTED.format('b.file_path')}, '([^.]*\\.)?[^.]*$') AS module FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE e.kind <> 'contains' AND a.project_id <> b.project_id),
 m AS (SELECT ref_id, min(k.id) AS target FROM r JOIN k ON k.name = r.name AND k.project_id <> r.project_id AND (suffix(dotted, module) OR suffix(module, dotted)) WHERE module <> '' AND dotted <> '' GROUP BY ref_id),
@@ -404,7 +405,7 @@ s AS (SELECT project_id, name, min(id) AS target FROM k GROUP BY ALL HAVING coun
 p AS (SELECT ref_id, s.target FROM r JOIN s ON s.project_id = split_part(module, '.', 1) AND s.name = r.name WHERE split_part(module, '.', 1) <> r.project_id AND ref_id NOT IN (SELECT ref_id FROM m))
 SELECT ref_id, target, CAST(0.85 AS DOUBLE) AS confidence FROM m UNION ALL SELECT ref_id, target, 0.8 FROM p""",
 )
-def linked_imports(s: SparkSession, d: str) -> DataFrame:
+def link_projects(s: SparkSession, d: str) -> DataFrame:
     """Edges between projects stand in for imports of the last two parts of a module's name."""
     n = G.nodes(s, d, "project_id", "name", "file_path")
     e = G.edges(s, d, "source", "target").where(F.col("kind") != "contains")
@@ -415,12 +416,12 @@ def linked_imports(s: SparkSession, d: str) -> DataFrame:
 
 
 @q(
-    "redirected_stubs",
+    "redirects",
     f"""WITH {S.N}, k AS (SELECT id, name, {_DOTTED.format('file_path')} AS dotted FROM n WHERE kind IN ({S.quoted(D.LINKABLE_KINDS)})),
 x AS (SELECT 'stub::' || id AS stub, name, regexp_extract({_DOTTED.format('file_path')}, '([^.]*\\.)?[^.]*$') AS module FROM n WHERE kind IN ('class', 'model'))
 SELECT stub, min(id) AS target FROM x JOIN k USING (name) WHERE module <> '' AND dotted <> '' AND (suffix(dotted, module) OR suffix(module, dotted)) GROUP BY stub HAVING count(DISTINCT id) = 1""",
 )
-def redirected_stubs(s: SparkSession, d: str) -> DataFrame:
+def redirects(s: SparkSession, d: str) -> DataFrame:
     """A stub for every class, named by the last two parts of its module and its name."""
     n = G.nodes(s, d, "name", "qualified_name", "file_path")
     module = F.substring_index(P.dotted_module("file_path"), ".", -2)
@@ -437,18 +438,18 @@ imp AS (SELECT DISTINCT * FROM (SELECT project_id, file_path, CASE WHEN regexp_e
   UNION ALL SELECT project_id, file_path, CASE WHEN regexp_extract(x, '\sas\s+(\w+)', 1) <> '' THEN regexp_extract(x, '\sas\s+(\w+)', 1) ELSE regexp_extract(x, '^\s*([\w.]+)', 1) END, '', regexp_extract(x, '^\s*([\w.]+)', 1) FROM px) WHERE local_name <> '')"""
 
 
-@q("imports_of_files", f"WITH {_IMPORTS} SELECT project_id, file_path, local_name, exported_name, source FROM imp")
-def imports_of_files(s: SparkSession, d: str) -> DataFrame:
+@q("import_mappings", f"WITH {_IMPORTS} SELECT project_id, file_path, local_name, exported_name, source FROM imp")
+def import_mappings(s: SparkSession, d: str) -> DataFrame:
     return RES.import_mappings(G.content(s, d))
 
 
 @q(
-    "stub_edges",
+    "external_edges",
     f"""WITH {_IMPORTS}, m AS (SELECT project_id, file_path, local_name, min(struct_pack(s := source, e := exported_name)) AS m FROM imp
 WHERE NOT starts_with(source, '.') AND split_part(source, '.', 1) NOT IN (SELECT id FROM projects WHERE NOT reference_only AND id IS NOT NULL) GROUP BY ALL)
 SELECT DISTINCT file_path AS source, split_part(m.s, '.', 1) || '::' || m.s || CASE WHEN m.e = '' THEN '' ELSE '.' || m.e END AS target, 'references' AS kind FROM m""",
 )
-def stub_edges(s: SparkSession, d: str) -> DataFrame:
+def external_edges(s: SparkSession, d: str) -> DataFrame:
     """A reference from each file to every name it imports; foreign packages become stubs."""
     m = RES.import_mappings(G.content(s, d))
     r = m.select("project_id", "file_path", F.col("local_name").alias("reference_name"), F.col("file_path").alias("from_node_id"), F.lit("references").alias("reference_kind")).distinct()
@@ -550,14 +551,14 @@ def file_bursts(s: SparkSession, d: str) -> DataFrame:
 
 
 @q(
-    "search_stems",
+    "search_contents",
     f"""WITH w AS (SELECT project_id, file_path, unnest(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM (SELECT project_id, file_path, max(content) AS content FROM file_content GROUP BY ALL)),
 z AS (SELECT project_id, file_path, count(*) AS size FROM w WHERE term <> '' GROUP BY ALL), a AS (SELECT count(*) AS n, avg(size) AS mean FROM z),
 p AS (SELECT project_id, file_path, 'session' AS q, count(*) AS tf FROM w WHERE term IN ('session', 'sessions', 'sessioned') GROUP BY ALL UNION ALL SELECT project_id, file_path, 'import', count(*) FROM w WHERE term IN ('import', 'imports', 'imported', 'importing', 'importer', 'importers') AND term NOT IN ('importer', 'importers') GROUP BY ALL),
 f AS (SELECT q, count(*) AS df FROM p GROUP BY q)
 SELECT project_id, file_path, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM p JOIN f USING (q) JOIN z USING (project_id, file_path), a GROUP BY project_id, file_path""",
 )
-def search_stems(s: SparkSession, d: str) -> DataFrame:
+def search_contents(s: SparkSession, d: str) -> DataFrame:
     """Stemmed search; its SQL lists the words of the two stems."""
     r = SE.bm25_stemmed(G.content(s, d), ["project_id", "file_path"], "content", ["session", "import"])
     return r.select("project_id", "file_path", "matched", F.round("score", 6).alias("score"))
@@ -575,3 +576,21 @@ def search_names(s: SparkSession, d: str) -> DataFrame:
     """All that a word finds: exact names, beginnings of names, texts."""
     n = G.nodes(s, d, "name", "qualified_name", "docstring", "signature")
     return SE.search_nodes(n, "resolve", 1_000_000).select("id", "way", F.round("score", 6).alias("score"))
+
+
+_HITS = """t AS (SELECT id, name, string_split_regex(lower(concat_ws(' ', name, qualified_name, docstring, signature)), '[^\\p{L}\\p{N}]+') AS w FROM n),
+z AS (SELECT id, name, len(list_filter(w, lambda x: x <> '')) AS size, len(list_filter(w, lambda x: starts_with(x, 'resolve'))) AS tf FROM t), a AS (SELECT count(*) AS n, avg(size) AS mean FROM z WHERE size > 0),
+h AS (SELECT id, name, tf, size FROM z WHERE tf > 0), f AS (SELECT count(*) AS df FROM h),
+s AS (SELECT id, CASE WHEN starts_with(lower(name), 'resolve') THEN 1 ELSE 2 END AS way, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS score FROM h, a, f UNION ALL SELECT id, 0, 0.0 FROM n WHERE lower(name) = 'resolve'),
+found AS (SELECT id FROM (SELECT id, min(way) AS way, max(score) AS score FROM s GROUP BY id) ORDER BY way, score DESC, id LIMIT 200)"""
+
+
+@q(
+    "search_symbols",
+    f"""WITH {S.N}, {_HITS} SELECT id, kind, name FROM n WHERE id IN (SELECT id FROM found) OR name = 'resolve'
+ORDER BY {S.penalty('file_path')}, {S.kind_rank('kind')}, CASE WHEN lower(name) = 'resolve' THEN 0 ELSE 1 END, CASE WHEN starts_with(lower(name), 'resolve') THEN 0 ELSE 1 END, file_path, start_line NULLS FIRST, id LIMIT 50""",
+)
+def search_symbols(s: SparkSession, d: str) -> DataFrame:
+    """The tool's listing: the first fifty by source, kind, name and place."""
+    n = G.nodes(s, d, "project_id", "name", "qualified_name", "file_path", "start_line", "docstring", "signature")
+    return SE.search_text(n, "resolve", 50).select("id", "kind", "name")
