@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterable
 
 from . import jsparse
 
@@ -254,9 +255,9 @@ _LITERALS = {
 _NEEDED = {"css": ("{", ";"), "htmldjango": ("{%", "{{", "<"), "python": ("def", "class", "elif", "except", "with", "import", "self", "None", '"""')}
 
 
-def rank(text: str) -> list[str]:
+def rank(text: str, languages: Iterable[str] = tuple(_SIGNS)) -> list[str]:
     """The languages by how many of their telling tokens the text has."""
-    n = {k: len(p.findall(text)) if k not in _NEEDED or any(x in text for x in _NEEDED[k]) else 0 for k, p in _SIGNS.items()}
+    n = {k: len(_SIGNS[k].findall(text)) if k not in _NEEDED or any(x in text for x in _NEEDED[k]) else 0 for k in languages}
     return sorted(n, key=lambda k: (-n[k], k))
 
 

@@ -80,7 +80,7 @@ def left_open(text: str, rows: list[str] | None = None, code: bool | None = None
 
 def _open_code(text: str, rows: list[str]) -> str | None:
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    kinds = [k for k in rank(text) if k in ("python", "javascript")]
+    kinds = rank(text, ("python", "javascript"))
     if kinds[0] == "python":
         import warnings
 
