@@ -23,6 +23,10 @@ def links(edges: DataFrame, kinds: tuple[str, ...], reverse: bool = False) -> Da
     return e.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
+#: Levels after which seeds that have reached enough are looked for.
+_LOOK = 4
+
+
 def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = None, leaf: Column | None = None) -> DataFrame:
     """``(seed, node, depth, truncated)``: what each ``(seed, node)`` reaches within ``depth``.
 
@@ -35,6 +39,7 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
     first = seeds.select("seed", "node").where(F.col("node").isNotNull()).distinct()
     visited = Growing(scratch, first.select("seed", "node", F.lit(0).alias("depth"), F.lit(False).alias("leaf")))
     full: DataFrame | None = None
+    crowded = lambda: scratch.keep(scratch.write(visited.df.groupBy("seed").count().where(F.col("count") > most).select("seed")))
     for level in range(1, depth + 1):
         frontier = visited.last.where(~F.col("leaf"))
         if full is not None:
@@ -46,8 +51,11 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
             found = found.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= most + 1).drop("n")
         if not visited.add(found):
             break
-        if most is not None and visited.total > most:
-            full = scratch.keep(scratch.write(visited.df.groupBy("seed").count().where(F.col("count") > most).select("seed")))
+        # a level adds at most ``most`` and one, so to look now and then bounds the state as well
+        if most is not None and visited.total > most and level % _LOOK == 0:
+            full = crowded()
+    if most is not None and visited.total > most:
+        full = crowded()
     out = visited.keep().select("seed", "node", "depth")
     if full is None or full.isEmpty():
         return out.withColumn("truncated", F.lit(False))

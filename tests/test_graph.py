@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from symgraph.engine import Engine, Profile
 from symgraph.operators import flows as FL
 from symgraph.operators import graph as GR
+from symgraph.operators import reads as R
 from symgraph.operators import risk as RK
 from symgraph.operators.winnow import parse, winnow
 
@@ -172,3 +173,43 @@ def test_nothing(spark, g):
     assert GR.subclasses(e).count() == 0
     assert GR.restart_walk(n.select("id"), e, n).count() == 0
     assert winnow(n, e, [("kind", "eq", "model")], "risk", None).count() == 0
+
+
+def test_hubs_walk_alike(spark, g):
+    n, e, _ = g
+    seeds = n.where("kind = 'view'").select("id")
+    plain = {r[0]: r[1] for r in rows(GR.restart_walk(seeds, e, n), "id", "rank")}
+    for hub in (1, 3):  # all nodes, or some, are hubs
+        got = {r[0]: r[1] for r in rows(GR.restart_walk(seeds, e, n, hub=hub), "id", "rank")}
+        assert set(got) == set(plain) and all(abs(got[k] - plain[k]) < 1e-12 for k in plain)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("symgraph_")]
+
+
+def test_marks_of_cut_listings(spark, g):
+    n, e, _ = g
+    seeds = n.where("name = 'recalculate_totals'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    whole = GR.impact(seeds, e, n, 2)
+    assert whole.count() == 2 and not whole.where("truncated").count()
+    cut = GR.impact(seeds, e, n, 2, most=1)
+    assert rows(cut, "level", "truncated") == [(1, True)]
+    views = n.where("kind = 'view'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    assert {r[0] for r in rows(GR.feature(views, e, n, most=2), "truncated")} == {True}
+
+
+def test_models_alone(spark, g):
+    n, e, _ = g
+    one = n.where("name = 'Order'").select("id")
+    every = GR.model_fields(e, n)
+    assert rows(GR.model_fields(e, n, one)) == rows(every.join(one.withColumnRenamed("id", "model"), "model", "left_semi").select(*every.columns))
+    more = e.unionByName(spark.createDataFrame([(90, "shop::orders.Order", "platform::base.AuditLog", "relates_to", 1, 0, None), (91, "shop::orders.Order", "platform::base.AuditLog", "relates_to", 2, 0, None), (92, "platform::base.AuditLog", "shop::orders.Order", "relates_to", 1, 0, "synthesis:reverse")], e.schema))
+    assert rows(R.model_relations(one, more, n), "direction", "name") == [("to", "AuditLog")]
+
+
+def test_reach_is_cut_within_levels(spark):
+    """A hub far down and a limit: the first nodes by depth and id, and a mark."""
+    steps = [("s", "a"), ("a", "b"), *[("b", f"h{i:03}") for i in range(40)], ("t", "x")]
+    seeds = spark.createDataFrame([("s", "s"), ("t", "t")], "seed string, node string")
+    df = spark.createDataFrame(steps, "src string, dst string")
+    for depth in (3, 9):
+        got = rows(GR.reach(seeds, df, depth, most=6))
+        assert got == sorted([("s", "s", 0, True), ("s", "a", 1, True), ("s", "b", 2, True), *[("s", f"h{i:03}", 3, True) for i in range(3)], ("t", "t", 0, False), ("t", "x", 1, False)], key=repr)

@@ -363,3 +363,41 @@ def test_an_index_of_postings(spark, tmp_path):
     SE.write_postings(posts, f"file://{tmp_path}/p", 4)
     got = SE.read_postings(spark.read.parquet(f"file://{tmp_path}/p"), ["b", "c"], 4)
     assert rows(got, "k", "term", "tf", "size") == [(1, "b", 2, 3), (2, "b", 1, 2), (2, "c", 1, 2)]
+
+
+def test_modules_by_endings_equal_all_pairs(spark):
+    import random
+
+    rnd = random.Random(4)
+    part = lambda: rnd.choice(["a", "ab", "b", "cab"])
+    nodes = [(i, rnd.choice("xy"), "/".join(part() for _ in range(rnd.randrange(1, 4))) + rnd.choice([".py", "/__init__.py"])) for i in range(60)]
+    asked = [(i, rnd.choice("xyz"), ".".join(part() for _ in range(rnd.randrange(1, 4)))) for i in range(40)] + [(99, "x", ""), (98, "x", None)]
+    dotted = lambda p: p.rsplit(".", 1)[0].removesuffix("/__init__").replace("/", ".")
+    got = RES.by_module(spark.createDataFrame(asked, "r int, name string, module string"), spark.createDataFrame(nodes, "id int, name string, file_path string"))
+    want = sorted((r, i) for r, name, m in asked if m for i, n, p in nodes if n == name and (dotted(p).endswith(m) or m.endswith(dotted(p))))
+    assert [tuple(x) for x in rows(got, "r", "id")] == sorted(want, key=repr) and len(want) > 20
+
+
+def test_receivers(spark):
+    N = "id string, project_id string, kind string, name string, file_path string, qualified_name string"
+    nodes = spark.createDataFrame(
+        [("C", "p", "class", "Cart", "a.py", "a.Cart"), ("C.go", "p", "method", "go", "a.py", "a.Cart.go"), ("B", "p", "class", "Base", "a.py", "a.Base"), ("B.up", "p", "method", "up", "a.py", "a.Base.up"), ("T1", "p", "class", "Twin", "a.py", "a.Twin"), ("T2", "p", "class", "Twin", "b.py", "b.Twin")], N
+    )
+    edges = spark.createDataFrame([("C", "C.go", "contains"), ("B", "B.up", "contains"), ("C", "B", "extends")], "source string, target string, kind string")
+    refs = spark.createDataFrame([(1, "p", "f.py", "go", "calls"), (2, "p", "f.py", "up", "calls"), (3, "p", "f.py", "go", "calls"), (4, "p", "f.py", "go", "calls"), (5, "p", "f.py", "none", "calls")], "ref_id int, project_id string, file_path string, reference_name string, reference_kind string")
+    steer = spark.createDataFrame([(1, True, "Cart"), (2, True, "m.Cart"), (3, False, "Order.cart"), (4, True, "Twin"), (5, False, "C")], "ref_id int, typed boolean, plain string")
+    inherited = spark.createDataFrame([("C", "up", "B.up")], "cls string, name string, method string")
+    typed = RES.typed_classes(refs, steer, nodes)
+    assert rows(typed) == [(1, "C"), (2, "C")]
+    related = RES.related_classes(refs, steer, spark.createDataFrame([("Order", "cart", "Cart")], "owner string, accessor string, related string"), nodes)
+    assert rows(related) == [(3, "C")]
+    mappings = spark.createDataFrame([("p", "f.py", "C", "Cart", "a")], "project_id string, file_path string, local_name string, exported_name string, source string")
+    assert rows(RES.imported_classes(refs, steer, mappings, nodes)) == [(5, "C")]
+    every = typed.unionByName(related)
+    assert rows(RES.receiver_calls(refs, every, edges, nodes, inherited), "ref_id", "target") == [(1, "C.go"), (2, "B.up"), (3, "C.go")]
+
+
+def test_imports_over_lines(spark):
+    text = "from m import (\n    one,  # first\n    two as zwei,\n)\nimport os.path, re as rx  # both\nfrom . import x\nif a:\n    from b.c import d\n"
+    got = rows(RES.import_mappings(spark.createDataFrame([("p", "a.py", text), ("p", "b.js", text), ("p", "n.py", None)], "project_id string, file_path string, content string")), "local_name", "exported_name", "source")
+    assert got == sorted([("one", "one", "m"), ("zwei", "two", "m"), ("os.path", "", "os.path"), ("rx", "", "re"), ("x", "x", "."), ("d", "d", "b.c")], key=repr)
