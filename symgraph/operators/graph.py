@@ -27,12 +27,13 @@ def links(edges: DataFrame, kinds: tuple[str, ...], reverse: bool = False) -> Da
 _LOOK = 4
 
 
-def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = None, leaf: Column | None = None) -> DataFrame:
+def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = None, leaf: Column | None = None, small: int = 1_000_000) -> DataFrame:
     """``(seed, node, depth, truncated)``: what each ``(seed, node)`` reaches within ``depth``.
 
     ``steps(src, dst, ...)``; ``leaf``: steps whose far end is recorded but not walked on from,
     unless another step of the same level leads there. ``most``: a seed that has reached so many
-    nodes stops, keeps its first ones by depth and id, and is marked.
+    nodes stops, keeps its first ones by depth and id, and is marked; from ``small`` rows of state on
+    levels are cut to as many rows of a seed before they are written, with the same result.
     """
     scratch = Scratch(seeds.sparkSession, "reach")
     steps = scratch.keep(scratch.write(steps.withColumn("leaf", leaf if leaf is not None else F.lit(False)).select("src", "dst", "leaf")))
@@ -47,7 +48,8 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, most: int | None = Non
         step = frontier.select("seed", F.col("node").alias("src")).join(steps, "src")
         found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min("leaf").alias("leaf"))
         found = found.join(visited.df.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth"), "leaf")
-        if most is not None:  # cut within the level: no more rows of a seed can be among its first ones
+        # cut within the level: no more rows of a seed can be among its first ones (spared while all is small)
+        if most is not None and visited.total > small:
             found = found.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= most + 1).drop("n")
         if not visited.add(found):
             break

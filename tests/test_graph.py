@@ -210,6 +210,6 @@ def test_reach_is_cut_within_levels(spark):
     steps = [("s", "a"), ("a", "b"), *[("b", f"h{i:03}") for i in range(40)], ("t", "x")]
     seeds = spark.createDataFrame([("s", "s"), ("t", "t")], "seed string, node string")
     df = spark.createDataFrame(steps, "src string, dst string")
-    for depth in (3, 9):
-        got = rows(GR.reach(seeds, df, depth, most=6))
+    for depth, small in ((3, 0), (9, 0), (9, 1000)):
+        got = rows(GR.reach(seeds, df, depth, most=6, small=small))
         assert got == sorted([("s", "s", 0, True), ("s", "a", 1, True), ("s", "b", 2, True), *[("s", f"h{i:03}", 3, True) for i in range(3)], ("t", "t", 0, False), ("t", "x", 1, False)], key=repr)
