@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import subprocess
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -138,6 +140,56 @@ def parse_log(lines: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame]:
     return commits, files
 
 
+def read_blobs(asked: DataFrame) -> DataFrame:
+    """``(root, commit_hash, file_path, content)`` of files as they were in a commit.
+
+    ``asked(root, commit_hash, file_path)``; ``root`` is a checkout that all executors see. Requests
+    are laid together by checkout and spread within it, and one version control process per
+    checkout and batch answers them in turn. What isn't there, or isn't text, has null content.
+    """
+    spread = F.pmod(F.xxhash64("commit_hash", "file_path"), F.lit(_READERS))
+    rows = asked.select("root", "commit_hash", "file_path").where("root IS NOT NULL AND commit_hash IS NOT NULL AND file_path IS NOT NULL").distinct()
+    return rows.repartition("root", spread).mapInPandas(_blobs, "root string, commit_hash string, file_path string, content string")
+
+
+#: Processes that read blobs of one checkout at a time.
+_READERS = 16
+
+
+def _blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for root, some in pdf.groupby("root", sort=False):
+            git = subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+            found: list[str | None] = []
+            try:
+                for commit, path in zip(some["commit_hash"], some["file_path"]):
+                    found.append(_blob(git, commit, path))
+            finally:
+                git.stdin.close()
+                git.stdout.close()
+                git.wait()
+            yield some.assign(content=pd.Series(found, index=some.index, dtype=object))
+
+
+def _blob(git: subprocess.Popen, commit: str, path: str) -> str | None:
+    """One request and its answer, in lock step: no pipe fills up while the other is waited for."""
+    if "\n" in path or not re.fullmatch(r"[0-9A-Za-z][\w./-]*", commit):
+        return None
+    try:
+        git.stdin.write(f"{commit}:{path}\n".encode())
+        git.stdin.flush()
+        head = git.stdout.readline().split()
+    except OSError:  # no repository there
+        return None
+    if len(head) != 3 or not head[2].isdigit():
+        return None
+    data = git.stdout.read(int(head[2]) + 1)[:-1]
+    try:
+        return data.decode() if head[1] == b"blob" else None
+    except UnicodeDecodeError:
+        return None
+
+
 def parse_diff(lines: DataFrame) -> DataFrame:
     """``(file_path, h_start, h_end)`` of the new side of unified diffs ``(diff, n, value)``.
 

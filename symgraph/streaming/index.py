@@ -8,7 +8,8 @@ nothing. Files whose content hash (and extractor version) is stored already are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,12 @@ class IncrementalIndex:
     ``fingerprint`` is the extractors' version: under another one every file is read anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fingerprint: str = "1") -> None:
-        self.spark, self.fingerprint = spark, fingerprint
+    def __init__(self, spark: SparkSession, path: str, fingerprint: str = "1", whole: Callable[[], DataFrame] | None = None) -> None:
+        """``whole``: reads the present checkout, for a walk that is owed after a failed batch."""
+        self.spark, self.fingerprint, self.whole = spark, fingerprint, whole
         self.table = VersionedTable(spark, path)
+        #: A batch failed, so what the index holds may lag behind: the next one walks everything.
+        self.owed = False
 
     @property
     def generation(self) -> int:
@@ -85,25 +89,48 @@ class IncrementalIndex:
         """For ``foreachBatch``: ``changes(project_id, file_path, content, deleted, at)``; of
         several changes of a file in a batch the last holds."""
         last = changes.groupBy("project_id", "file_path").agg(F.max(F.struct("at", "deleted", "content")).alias("v")).select("project_id", "file_path", "v.*")
-        self.apply(last.where(~F.col("deleted")).select("project_id", "file_path", "content"), last.where("deleted"), batch)
+        try:
+            if self.owed and self.whole is not None:
+                self.refresh(self.whole(), batch)
+            else:
+                self.apply(last.where(~F.col("deleted")).select("project_id", "file_path", "content"), last.where("deleted"), batch)
+        except Exception:
+            self.owed = True
+            raise
+        self.owed = False
 
     def follow(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
 
-    def refresh(self, content: DataFrame) -> int:
+    def refresh(self, content: DataFrame, batch: int | None = None) -> int:
         """A full walk: whatever it does not see is gone."""
         stored = self.table.snapshot()
         gone = None
         if stored is not None:
             keys = ["project_id", "file_path"]
             gone = stored.select(*keys).distinct().join(content.select(*keys), keys, "left_anti")
-        return self.apply(content, gone)
+        return self.apply(content, gone, batch)
 
     def roles(self) -> dict[str, DataFrame] | None:
         rows = self.table.snapshot()
         return X.tables(rows) if rows is not None else None
 
 
+class Snapshot:
+    """What ``read`` gives, read again once it is older than ``ttl_s``: a batch sees one state of the
+    working tree, and no later one than that."""
+
+    def __init__(self, read: Callable[[], DataFrame], ttl_s: float = 5.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.read, self.ttl_s, self.clock = read, ttl_s, clock
+        self._held: tuple[float, DataFrame] | None = None
+
+    def get(self) -> DataFrame:
+        now = self.clock()
+        if self._held is None or now - self._held[0] >= self.ttl_s:
+            self._held = (now, self.read())
+        return self._held[1]
+
+
 # Seconds in which a repeated touch does not count again, and the half-life.
 COOLDOWN_S = 300
 HALF_LIFE_S = 600

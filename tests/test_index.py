@@ -247,6 +247,56 @@ def test_files_without_symbols_are_read_once(spark, tmp_path):
     assert index.changed_only(content.where("content IS NOT NULL")).count() == 0
 
 
+def test_blobs_of_commits(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        return
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    (tmp_path / "a b.py").write_text("x = 1\n")
+    (tmp_path / "bin").write_bytes(b"\xff\xfe\x00")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    first = run("rev-parse", "HEAD")
+    (tmp_path / "a b.py").write_text("x = 2\n" * 50_000)
+    run("commit", "-qam", "two")
+    root = str(tmp_path)
+    asked = [(root, first, "a b.py"), (root, "HEAD", "a b.py"), (root, first, "a b.py"), (root, first, "none.py"), (root, first, "bin"), (root, "--all", "a b.py"), ("/nowhere", first, "a"), (None, first, "a")]
+    got = {r[:3]: r[3] for r in rows(code.read_blobs(spark.createDataFrame(asked, "root string, commit_hash string, file_path string")))}
+    assert got[root, first, "a b.py"] == "x = 1\n" and got[root, "HEAD", "a b.py"] == "x = 2\n" * 50_000
+    assert len(got) == 6 and sum(v is None for v in got.values()) == 4
+
+
+def test_a_failed_batch_owes_a_walk(spark, tmp_path, monkeypatch):
+    from symgraph.streaming.index import IncrementalIndex, Snapshot
+
+    C = "project_id string, file_path string, content string"
+    tree = {"a.py": "def a():\n    pass\n", "b.py": "def b():\n    pass\n"}
+    whole = lambda: spark.createDataFrame([("p", k, v) for k, v in tree.items()], C)
+    index = IncrementalIndex(spark, f"file://{tmp_path}/i", whole=whole)
+    change = lambda k: spark.createDataFrame([("p", k, tree.get(k), k not in tree, 1)], C + ", deleted boolean, at bigint")
+    index.on_batch(change("a.py"), 0)
+    monkeypatch.setattr(IncrementalIndex, "apply", lambda *a, **k: 1 / 0)
+    try:
+        index.on_batch(change("b.py"), 1)
+        raise AssertionError
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert index.owed
+    tree["c.py"] = "def c():\n    pass\n"
+    index.on_batch(change("c.py"), 2)  # the batch names c alone, the walk finds b too
+    assert not index.owed and {r[0] for r in rows(index.table.snapshot().where("record = 'node' AND kind = 'function'"), "name")} == {"a", "b", "c"}
+    now = [0.0]
+    reads = []
+    s = Snapshot(lambda: reads.append(1) or len(reads), 5, lambda: now[0])
+    assert (s.get(), s.get()) == (1, 1)
+    now[0] = 5.0
+    assert s.get() == 2
+
+
 def test_registered_extractor(spark):
     X.register("css", lambda path, text: [{"record": "node", "kind": "file", "name": path, "qualified_name": path, "line": 1, "end_line": 1}])
     try:
