@@ -73,7 +73,11 @@ def css(text: str) -> None:
         if not m:
             raise ValueError("open string")
         i = m.end()
-        kind, v = m.lastgroup, m.group()
+        kind = m.lastgroup
+        if kind == "other" or kind == "space":
+            piece.append(m.group())
+            continue
+        v = m.group()
         if kind == "open" and v == "{":
             head = "".join(piece).strip()
             if any(c in "([" for c in stack):
@@ -251,13 +255,43 @@ _LITERALS = {
 }
 
 
-#: A text without any of these has no telling token of the language.
-_NEEDED = {"css": ("{", ";"), "htmldjango": ("{%", "{{", "<"), "python": ("def", "class", "elif", "except", "with", "import", "self", "None", '"""')}
+_LINE_SIGN = re.compile(r"(?:def|class|elif|except|with|async def)\b.*:\s*$")
+_IMPORT_SIGN = re.compile(r"(?:from [\w.]+ )?import [\w., ]+$")
+_STATEMENTS = ("def", "class", "elif", "except", "with", "async def", "from ", "import ")
+_JS_END = re.compile(r";[ \t]*$", re.M)
+
+
+def _words(text: str, *words: str) -> int:
+    """How often words stand alone; a literal search finds the places."""
+    n = 0
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            end = at + len(w)
+            n += not ((at and (text[at - 1].isalnum() or text[at - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")))
+            at = text.find(w, end)
+    return n
+
+
+def _signs(language: str, text: str) -> int:
+    """The number of a language's telling tokens, as ``_SIGNS`` has them, by literal searches first."""
+    if language == "python":
+        n = text.count('"""') + _words(text, "self", "None")
+        for line in text.split("\n"):
+            bare = line.lstrip(" \t")
+            if bare.startswith(_STATEMENTS):
+                n += bool(_LINE_SIGN.match(bare) or len(bare) == len(line) and _IMPORT_SIGN.match(bare))
+        return n
+    if language == "javascript":
+        n = text.count("=>") + text.count("===") + _words(text, "function", "const", "let", "var", "null", "export")
+        return n + (len(_JS_END.findall(text)) if ";" in text else 0) + (len(re.findall(r"\bdocument\.", text)) if "document." in text else 0)
+    needed = ("{", ";") if language == "css" else ("{%", "{{", "<")
+    return len(_SIGNS[language].findall(text)) if any(x in text for x in needed) else 0
 
 
 def rank(text: str, languages: Iterable[str] = tuple(_SIGNS)) -> list[str]:
     """The languages by how many of their telling tokens the text has."""
-    n = {k: len(_SIGNS[k].findall(text)) if k not in _NEEDED or any(x in text for x in _NEEDED[k]) else 0 for k in languages}
+    n = {k: _signs(k, text) for k in languages}
     return sorted(n, key=lambda k: (-n[k], k))
 
 
