@@ -248,6 +248,6 @@ class Engine:
 
 #: The tools by name, for the command line.
 TOOLS = (
-    "node", "at", "callers", "callees", "dark_callers", "impact", "tests", "subclasses", "orphans", "model", "feature", "path", "flows", "affected_flows", "changed",
+    "node", "at", "callers", "callees", "dark_callers", "impact", "tests", "subclasses", "orphans", "model", "model_relations", "feature", "path", "flows", "affected_flows", "changed",
     "winnow", "winnow_cascade", "overview", "files_rollup", "status", "routes", "links", "history", "symbol_history", "as_of", "search", "explore", "enrich", "resolve",
 )

@@ -101,3 +101,16 @@ def test_left_join_spreads_null_keys(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_kept_tables_are_freed(spark):
+    import pytest
+
+    from symgraph.session import Scratch, release
+
+    scratch = Scratch(spark, "freed")
+    df = scratch.keep(scratch.write(spark.range(3)))
+    assert df.count() == 3 and scratch.rows(df) == 3 and scratch.size(df) > 0
+    assert release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        df.count()

@@ -297,6 +297,23 @@ def test_a_failed_batch_owes_a_walk(spark, tmp_path, monkeypatch):
     assert s.get() == 2
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from symgraph.__main__ import main
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.py").write_text("def a():\n    pass\n")
+    table = f"file://{tmp_path}/t"
+    assert main(["index", str(tmp_path / "c"), "p", table]) == 0 and "version 1" in capsys.readouterr().out
+    (tmp_path / "c" / "a.py").unlink()
+    (tmp_path / "c" / "b.py").write_text("def b():\n    pass\n")
+    assert main(["index", str(tmp_path / "c"), "p", table]) == 0
+    assert main(["status", table]) == 0 and "function" in capsys.readouterr().out
+    from symgraph.operators.incremental import VersionedTable
+
+    assert rows(VersionedTable(spark, table).snapshot().where("kind = 'function'"), "name") == [("b",)]
+    assert main(["query", "/root/testdata/sf0.001", "kind_counts"]) == 0 and main(["nothing"]) == 2 and main([]) == 2
+
+
 def test_registered_extractor(spark):
     X.register("css", lambda path, text: [{"record": "node", "kind": "file", "name": path, "qualified_name": path, "line": 1, "end_line": 1}])
     try:
