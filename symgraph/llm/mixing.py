@@ -6,8 +6,10 @@ budget is its share of the total; whole passes over the source are taken as long
 the histogram of lengths: first the same fraction of every length is taken, then lengths are
 taken greedily from the longest down until less than ``window`` tokens (or twice the longest
 document) are missing, then a bounded knapsack over the lengths up to the rest finds the best
-fill. Where that misses the budget and the histogram is small, the knapsack starts over with
-nothing taken before. Documents are then chosen by length count: of each length the first so many in the order of a seeded hash.
+addition. Where that misses the budget, the best exchange of taken documents for others follows;
+it ends with a fill that no other choice of documents exceeds, whatever the size of the source.
+Documents are then chosen by length count: of each length the first so many in the order of a
+seeded hash.
 
 The histogram of one source is one group of at most as many rows as there are distinct lengths
 (fewer than the square root of twice its tokens); documents themselves never meet in one task:
@@ -30,57 +32,155 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-#: Tokens that the exact fill covers at least.
+#: Tokens that the knapsack after the greedy pass covers at least.
 WINDOW = 4096
-#: Budget times items up to which a whole budget is filled exactly (bits, some seconds).
-EXACT = 1 << 36
-#: Bits that it may hold at a time.
-HELD = 1 << 30
 _SLICES = 256
+#: Bit sets that each level of the way back through a knapsack holds.
+_BRANCH = 8
+#: Divisors below this, and those that lengths share with so many of the most frequent ones, are
+#: tried for remainders that no choice of documents has.
+_MODULI = 64
+_FREQUENT = 8
 #: Target sources up to which they are a predicate.
 _NAMED = 1000
 
 
-def fill(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that the sum is the largest that fits ``budget``.
-
-    Bounded knapsack by binary splitting over a bit set of reachable sums; ``O(budget * log)``
-    for each length, lengths above the budget aside.
-    """
-    items: list[tuple[int, int]] = []
+def _parts(lengths: list[int], counts: list[int], most: int) -> list[tuple[int, int]]:
+    """``(length, copies)`` by binary splitting, of each length as many as ``most`` tokens hold."""
+    parts: list[tuple[int, int]] = []
     for n, c in zip(lengths, counts):
-        c = min(c, budget // n) if n > 0 else 0
+        c = min(c, most // n) if n > 0 else 0
         k = 1
         while c > 0:
             k = min(k, c)
-            items.append((n, k))
+            parts.append((n, k))
             c -= k
             k *= 2
+    return parts
+
+
+def _sums(parts: list[tuple[int, int]], most: int, reach: int = 1) -> int:
+    """The sums up to ``most`` that ``parts`` on top of ``reach`` make, as a bit set."""
+    limit = (1 << (most + 1)) - 1
+    reach &= limit
+    for n, k in parts:
+        reach |= (reach << (n * k)) & limit
+    return reach
+
+
+def _back(parts: list[tuple[int, int]], before: int, left: int, taken: dict[int, int]) -> int:
+    """Enter into ``taken`` which of ``parts`` make ``left`` on top of a sum of ``before``: that sum.
+
+    A part is used only where those ahead of it don't make the sum. Bit sets between stretches are
+    built again for each level of stretches, so that few are held at a time.
+    """
+    if len(parts) == 1:
+        ((n, k),) = parts
+        if not before >> left & 1:
+            left -= n * k
+            taken[n] = taken.get(n, 0) + k
+        return left
+    step = -(-len(parts) // _BRANCH)
+    stretches = [parts[i : i + step] for i in range(0, len(parts), step)]
+    kept = [before]
+    for stretch in stretches[:-1]:
+        kept.append(_sums(stretch, left, kept[-1]))
+    while stretches:
+        left = _back(stretches.pop(), kept.pop(), left, taken)
+    return left
+
+
+def fill(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
+    """How many of each length to take so that the sum is the largest that fits ``budget``.
+
+    Bounded knapsack by binary splitting over a bit set of reachable sums; ``O(budget * log)``
+    for each length, lengths above the budget aside.
+    """
+    parts = _parts(lengths, counts, budget)
     limit = (1 << (budget + 1)) - 1
-    # the sums reachable before each stretch of items; those within one are built again on the way back
-    step = max(1, math.isqrt(len(items)))
-    reach, kept = 1, []
-    for i, (n, k) in enumerate(items):
-        if i % step == 0:
-            kept.append(reach)
+    reach = 1
+    for i, (n, k) in enumerate(parts):
         reach |= (reach << (n * k)) & limit
         if reach >> budget & 1:
-            items = items[: i + 1]
+            parts = parts[: i + 1]
             break
-    left = reach.bit_length() - 1
     taken: dict[int, int] = {}
-    for s in range(len(kept) - 1, -1, -1):
-        stretch = items[s * step : (s + 1) * step]
-        before = [kept[s]]
-        for n, k in stretch[:-1]:
-            before.append(before[-1] | (before[-1] << (n * k)) & limit)
-        for (n, k), was in zip(reversed(stretch), reversed(before)):
-            if not was >> left & 1:
-                left -= n * k
-                taken[n] = taken.get(n, 0) + k
+    if parts:
+        _back(parts, 1, reach.bit_length() - 1, taken)
     return taken
 
 
+def _gain(removed: int, added: int, most: int) -> int:
+    """By how much a sum of ``added`` exceeds one of ``removed``: the largest of 0 to ``most``."""
+    low = 0
+    while low < most:
+        mid = (low + most + 1) // 2
+        near, width = removed << mid, 1  # becomes the sums that a gain of mid to most reaches
+        while width <= most - mid:
+            step = min(width, most - mid + 1 - width)
+            near |= near << step
+            width += step
+        low, most = (mid, most) if near & added else (low, mid - 1)
+    return low
+
+
+def _short(lengths: list[int], counts: list[int], budget: int) -> int:
+    """Tokens that every choice leaves of ``budget`` at least, by the remainders that sums have."""
+    least = 0
+    often = sorted(zip(counts, lengths), reverse=True)[:_FREQUENT]
+    for m in sorted({*range(2, _MODULI), *(math.gcd(n, f) for n in lengths for _, f in often)} - {1}):
+        of: dict[int, int] = {}
+        for n, c in zip(lengths, counts):
+            of[n % m] = of.get(n % m, 0) + c
+        ring, reach = (1 << m) - 1, 1
+        for r, k in _parts([r or m for r in of], list(of.values()), m * m):
+            at = r * k % m
+            reach |= (reach << at | reach >> (m - at)) & ring
+            if reach == ring:
+                break
+        least = max(least, next(j for j in range(m) if reach >> (budget - j) % m & 1))
+    return least
+
+
+def exchange(lengths: list[int], taken: list[int], left: list[int], missing: int, window: int = WINDOW) -> list[int]:
+    """The changes to ``taken`` after which the least of ``missing`` tokens is missing still.
+
+    ``missing`` is less than any length that is left. Of the best fills take the one that differs
+    from ``taken`` by the fewest documents, and walk there: remove one while the sum is above that
+    of ``taken``, else add one. The sum never moves up by more than the longest document left, nor
+    down by as much as the longest taken, and never recurs, or the steps between could be spared.
+    So there are fewer steps than both lengths together, and what they remove is at most the
+    product of both. The sums of removed and of added documents up to that product hold a best
+    exchange, however large the source is. They grow from ``window`` tokens and end early at an
+    exchange that leaves no more than common divisors and remainders of the lengths force.
+    """
+    used = [i for i in range(len(lengths)) if taken[i] or left[i]]
+    unit = math.gcd(*(lengths[i] for i in used)) or 1
+    sizes, out, more = [lengths[i] // unit for i in used], [taken[i] for i in used], [left[i] for i in used]
+    there, free = (sum(n * k for n, k in zip(sizes, counts)) for counts in (out, more))
+    changes = [0] * len(lengths)
+    missing //= unit
+    if not (there and free and missing):
+        return changes
+    missing -= _short(sizes, [a + b for a, b in zip(out, more)], there + missing)
+    most = min(max(n for n, k in zip(sizes, out) if k) * max(n for n, k in zip(sizes, more) if k), there, free)
+    window = min(max(1, window // unit), most)
+    while missing:
+        removed = _sums(_parts(sizes, out, window), window)
+        added = _sums(_parts(sizes, more, window + missing), window + missing)
+        if window == most:
+            missing = _gain(removed, added, missing)
+        if both := added >> missing & removed if missing else 0:
+            least = (both & -both).bit_length() - 1
+            del removed, added, both
+            minus, plus = fill(sizes, out, least), fill(sizes, more, least + missing)
+            for i, n in zip(used, sizes):
+                changes[i] = plus.get(n, 0) - minus.get(n, 0)
+            break
+        window = min(4 * window, most)
+    return changes
+
+
 def plan_source(lengths: list[int], counts: list[int], budget: int, cap: int, window: int = WINDOW) -> tuple[int, list[int]]:
     """Whole passes and, for each length, how many documents occur once more."""
     total = sum(n * c for n, c in zip(lengths, counts))
@@ -100,16 +200,14 @@ def plan_source(lengths: list[int], counts: list[int], budget: int, cap: int, wi
         k = min(counts[i] - take[i], max(0, rest - window // 2) // lengths[i])
         take[i] += k
         rest -= k * lengths[i]
-    left = [c - k for c, k in zip(counts, take)]
-    extra = fill(lengths, left, rest)
-    missing = rest - sum(n * k for n, k in extra.items())
-    items = sum(c.bit_length() for c in counts)
-    if missing and whole * items <= EXACT and whole * math.isqrt(items) <= HELD:
+    extra = fill(lengths, [c - k for c, k in zip(counts, take)], rest)
+    take = [k + extra.get(n, 0) for n, k in zip(lengths, take)]
+    missing = whole - sum(n * k for n, k in zip(lengths, take))
+    if missing:
         # what was taken before may stand in the way of the best fill
-        best = fill(lengths, counts, whole)
-        if whole - sum(n * k for n, k in best.items()) < missing:
-            return passes, [best.get(n, 0) for n in lengths]
-    return passes, [k + extra.get(n, 0) for n, k in zip(lengths, take)]
+        left = [c - k if n <= whole else 0 for n, c, k in zip(lengths, counts, take)]
+        take = [k + x for k, x in zip(take, exchange(lengths, take, left, missing, window))]
+    return passes, take
 
 
 def _planner(window: int):

@@ -402,6 +402,40 @@ def _rest(lengths, counts, budget):
     return max(x + _rest(lengths[:-1], counts[:-1], budget - x) for x in tries)
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+@pytest.mark.parametrize("lengths,some", [([6000, 10_007], [193, 88]), ([4100, 9999], [251, 97]), ([5000, 7001, 9000], [41, 90, 13])])
+def test_a_fill_is_as_good_at_any_size(lengths, some, scale):
+    some = [scale * k + 1 for k in some]
+    budget = sum(n * k for n, k in zip(lengths, some))  # so these documents fill it
+    passes, take = mixing.plan_source(lengths, [400 * scale] * len(lengths), budget, 1)
+    assert passes == 0 and all(0 <= k <= 400 * scale for k in take)
+    assert sum(n * k for n, k in zip(lengths, take)) == budget
+
+
+def test_a_fill_of_padded_documents_is_the_best():
+    lengths, counts, budget = [7, 100, 5000, *range(1024, 131_073, 1024)], [1] * 3 + [500] * 128, 2_000_000_999
+    passes, take = mixing.plan_source(lengths, counts, budget, 1)
+    odd = {a + b + c for a in (0, 7) for b in (0, 100) for c in (0, 5000)}
+    assert passes == 0 and budget - sum(n * k for n, k in zip(lengths, take)) == min((budget - x) % 1024 for x in odd)
+
+
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 30), min_size=1, max_size=5), st.sampled_from([1, 1, 2, 3]), st.floats(0, 1), st.sampled_from([1, 16]))
+@settings(max_examples=300, deadline=None)
+def test_exchange_is_the_best(sizes, unit, part, window):
+    lengths, counts = [unit * n for n in sizes], list(sizes.values())
+    budget = int(part * sum(n * c for n, c in zip(lengths, counts)))
+    taken, missing = [], budget
+    for n, c in zip(lengths, counts):
+        taken.append(min(c, missing // n))
+        missing -= n * taken[-1]
+    left = [c - k if n <= budget else 0 for n, c, k in zip(lengths, counts, taken)]
+    now = [k + x for k, x in zip(taken, mixing.exchange(lengths, taken, left, missing, window))]
+    reach = {0}
+    for n, c in zip(lengths, counts):
+        reach = {r + n * k for r in reach for k in range(c + 1) if r + n * k <= budget}
+    assert all(0 <= k <= c for k, c in zip(now, counts)) and sum(n * k for n, k in zip(lengths, now)) == max(reach)
+
+
 def test_mix(spark):
     rnd = random.Random(2)
     docs = [(i, s, rnd.randrange(1, 50)) for i, s in enumerate(["big"] * 300 + ["Small "] * 8 + ["other"] * 20)] + [(900, "big", 0), (901, None, 5), (902, "hot", 7)] + [(1000 + i, "hot", 7) for i in range(400)]
