@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
@@ -355,9 +355,18 @@ def resolve(refs: DataFrame, candidates: DataFrame, nodes: DataFrame, mappings:
     return out.join(refs.select("ref_id", "from_node_id"), "ref_id").where(~F.col("target").eqNullSafe(F.col("from_node_id"))).select(*OUT)
 
 
-def _endings(text: Column) -> Column:
-    """A text's endings, itself among them (nothing for an empty one)."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i < F.length(text)), lambda i: F.substr(text, i + 1))
+def _marks(texts: DataFrame, text: str) -> DataFrame:
+    """``(name, marks)``: per name the lengths and first characters of its texts, at most as many
+    as lengths times characters, however many texts there are."""
+    mark = F.struct(F.length(text).alias("n"), F.substr(text, F.lit(1), F.lit(1)).alias("c"))
+    return texts.where(F.length(text) > 0).groupBy("name").agg(F.collect_set(mark).alias("marks"))
+
+
+def _endings(text: Column, marks: Column) -> Column:
+    """A text's endings, itself among them, that have one of the lengths with its first character."""
+    at = lambda m: F.length(text) - m["n"] + 1
+    fit = F.filter(marks, lambda m: (at(m) > 0) & (F.substr(text, at(m), F.lit(1)) == m["c"]))
+    return F.transform(fit, lambda m: F.substr(text, at(m)))
 
 
 def by_module(asked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -365,28 +374,47 @@ def by_module(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     dotted path and module match: one is an ending of the other.
 
     An ending is looked up by equality, together with the name, so a name that all modules share
-    pairs no module with definitions elsewhere. A pair that matches both ways comes once.
+    pairs no module with definitions elsewhere. Only endings are made that by length and first
+    character may be there. A pair that matches both ways comes once.
     """
-    n = nodes.join(asked.select("name").distinct(), "name", "left_semi").withColumn("_d", P.dotted_module("file_path"))
-    down = asked.join(n.select("*", F.explode(_endings(F.col("_d"))).alias("module")), ["name", "module"])
-    up = asked.select("*", F.explode(_endings(F.col("module"))).alias("_d")).join(n, ["name", "_d"]).where(F.col("_d") != F.col("module"))
-    return down.unionByName(up).drop("_d")
+    n = nodes.withColumn("_d", P.dotted_module("file_path"))
+    held = n.join(_marks(asked, "module"), "name").select(*n.columns, F.explode(_endings(F.col("_d"), F.col("marks"))).alias("module"))
+    down = asked.join(held, ["name", "module"])
+    up = asked.join(_marks(n, "_d"), "name").select(*asked.columns, F.explode(_endings(F.col("module"), F.col("marks"))).alias("_d")).where(F.col("_d") != F.col("module"))
+    return down.unionByName(up.join(n, ["name", "_d"])).drop("_d")
 
 
-def link_projects(refs: DataFrame, steer: DataFrame, nodes: DataFrame, reference_only: DataFrame | None = None) -> DataFrame:
+def link_projects(refs: DataFrame, steer: DataFrame | None, nodes: DataFrame, reference_only: DataFrame | None = None) -> DataFrame:
     """Imports to definitions of other projects: by module path (0.85), else the sole one in the
-    project that is the module's first package (0.8). Generated files are no targets."""
-    n = nodes.where(F.col("kind").isin(*D.LINKABLE_KINDS) & ~P.is_generated_path("file_path")).select("id", F.col("project_id").alias("to"), "name", "file_path")
+    project that is the module's first package (0.8). Generated files are no targets.
+
+    ``steer`` is None where ``refs`` have their ``plain`` already. What a name and module lead to
+    is found once for all projects: the smallest definition and the smallest of another project
+    than that one's answer any of them. Both inputs are read several times, so they are written
+    when this is called.
+    """
+    n = nodes.where(F.col("kind").isin(*D.LINKABLE_KINDS) & ~P.is_generated_path("file_path") & F.col("project_id").isNotNull()).select("id", F.col("project_id").alias("to"), "name", "file_path")
     if reference_only is not None:
         n = n.join(reference_only.select(F.col("id").alias("to")), "to", "left_anti")
-    r = refs.where(F.col("reference_kind") == "imports").join(steer.where(F.col("plain").isNotNull()).select("ref_id", F.col("plain").alias("module")), "ref_id")
-    r = r.select("ref_id", "project_id", F.col("reference_name").alias("name"), "module")
-    asked = r.select("project_id", "name", "module").distinct()
-    best = by_module(asked, n).where(F.col("to") != F.col("project_id")).groupBy("project_id", "name", "module").agg(F.min("id").alias("target"))
-    first = _out(r.join(best, ["project_id", "name", "module"]), 0.85, "link-module")
-    owned = r.join(first.select("ref_id"), "ref_id", "left_anti").withColumn("to", F.substring_index("module", ".", 1)).where(F.col("to") != F.col("project_id"))
-    sole = owned.join(_unique(n, "to", "name"), ["to", "name"])
-    return first.unionByName(_out(sole, 0.8, "link-package"))
+    r = refs.where((F.col("reference_kind") == "imports") & F.col("reference_name").isNotNull())
+    if steer is not None:
+        r = r.join(steer.select("ref_id", "plain"), "ref_id")
+    r = r.where(F.col("plain").isNotNull()).select("ref_id", "project_id", F.col("reference_name").alias("name"), F.col("plain").alias("module"))
+    scratch = Scratch(refs.sparkSession, "links")
+    n, r = (scratch.keep(scratch.write(df)) for df in (n, r))
+    asked = r.select("name", "module").distinct()
+    per = by_module(asked, n).groupBy("name", "module", "to").agg(F.min("id").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("name", "module").orderBy("id", "to"))
+    nth = lambda k: F.max(F.when(F.col("_k") == k, F.struct("to", "id")))
+    two = per.withColumn("_k", rank).where(F.col("_k") <= 2).groupBy("name", "module").agg(nth(1).alias("lo"), nth(2).alias("hi"))
+    sole = n.groupBy("to", "name").agg(F.min("id").alias("sole"), F.max("id").alias("_m")).where(F.col("sole") == F.col("_m")).drop("_m")
+    packaged = asked.withColumn("to", F.substring_index("module", ".", 1)).join(sole, ["to", "name"])
+    hit = r.join(two, ["name", "module"], "left").join(packaged, ["name", "module"], "left")
+    own = F.col("project_id")
+    hit = hit.withColumn("first", F.when(F.col("lo.to") != own, F.col("lo.id")).when(F.col("lo.to") == own, F.col("hi.id")))
+    hit = hit.withColumn("target", F.coalesce("first", F.when(F.col("to") != own, F.col("sole")))).where(F.col("target").isNotNull())
+    by_path = F.col("first").isNotNull()
+    return hit.select("ref_id", "target", F.when(by_path, 0.85).otherwise(0.8).alias("confidence"), F.when(by_path, "link-module").otherwise("link-package").alias("strategy"))
 
 
 def link_names(refs: DataFrame, nodes: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:

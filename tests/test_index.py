@@ -9,10 +9,11 @@ from symgraph.operators import mutations as M
 from symgraph.operators import resolution as RES
 from symgraph.operators import search as SE
 from symgraph.operators import temporal as T
+from symgraph.plans import lifecycle
 from symgraph.sources import code
 from symgraph.streaming.index import IncrementalIndex, bursts, session_recency
 
-from .conftest import rows
+from .conftest import DATA, rows
 from .fixtures import R, graph, node
 
 
@@ -445,6 +446,44 @@ def test_modules_by_endings_equal_all_pairs(spark):
     assert [tuple(x) for x in rows(got, "r", "id")] == sorted(want, key=repr) and len(want) > 20
 
 
+def test_links_of_a_name_in_many_projects_equal_all_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    projects = ["a", "ab", "b", "cab", None]
+    part = lambda: rnd.choice(["a", "ab", "b", "cab", "c"])
+    path = lambda sep: sep.join(part() for _ in range(rnd.randrange(1, 4)))
+    nodes = [(f"{rnd.randrange(9)}::{i}", rnd.choice(projects), "class" if i % 9 else "import", rnd.choice("xyzuvw"), path("/") + rnd.choice([".py", "/__init__.py", "_pb2.py"])) for i in range(90)]
+    nodes += [("0::u", "b", "class", "u", None), ("1::solo", "ab", "class", "solo", "c/d.py")]
+    asked = [(i, rnd.choice(projects), rnd.choice("xyzuvw"), path(".")) for i in range(120)] + [(200, "a", "x", ""), (201, "a", "x", None), (202, "a", None, "ab"), (203, "b", "solo", "ab.z"), (204, "ab", "solo", "ab.z")]
+    n = spark.createDataFrame(nodes, "id string, project_id string, kind string, name string, file_path string")
+    r = spark.createDataFrame(asked, "ref_id int, project_id string, reference_name string, plain string").withColumn("reference_kind", F.lit("imports"))
+    held = [(i, to, name, p.rsplit(".", 1)[0].removesuffix("/__init__").replace("/", ".") if p else "") for i, to, kind, name, p in nodes if kind == "class" and to and not (p or "").endswith("_pb2.py")]
+    want = []
+    for ref, own, name, module in asked:
+        if own is None or name is None or module is None:
+            continue
+        first = [i for i, to, x, d in held if x == name and to != own and d and module and (d.endswith(module) or module.endswith(d))]
+        package = module.split(".")[0]
+        sole = [i for i, to, x, _ in held if x == name and to == package]
+        if first:
+            want.append((ref, min(first), 0.85))
+        elif package != own and len(sole) == 1:
+            want.append((ref, sole[0], 0.8))
+    assert {c for _, _, c in want} == {0.8, 0.85}
+    steer = r.select("ref_id", "plain")
+    for got in (RES.link_projects(r, None, n), RES.link_projects(r.drop("plain"), steer, n)):
+        assert rows(got, "ref_id", "target", "confidence") == sorted(want, key=repr)
+
+
+def test_plan_of_links_stays_small(spark):
+    df = lifecycle.registry.queries["link_projects"](spark, DATA)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # the driver holds plans and the state of every exchange; nodes and edges are read before
+    assert plan.count("Exchange ") <= 20 and "nodes.parquet" not in plan and "edges.parquet" not in plan
+
+
 def test_receivers(spark):
     N = "id string, project_id string, kind string, name string, file_path string, qualified_name string"
     nodes = spark.createDataFrame(
